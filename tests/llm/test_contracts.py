@@ -375,7 +375,7 @@ def test_toxicity_on_held_out_documents(spark):
     model = toxicity.fit(docs, labels.where("doc_id % 2 = 0"))
     scored = toxicity.score(docs.select("doc_id", "text"), model).join(labels.where("doc_id % 2 = 1"), "doc_id")
     hit, false, toxic, n = scored.selectExpr("count_if(toxic = 1 and severity = 1)", "count_if(toxic = 0 and severity = 1)", "count_if(toxic = 1)", "count(*)").first()
-    assert hit >= 0.98 * toxic and false <= 0.01 * (n - toxic)
+    assert hit >= 0.85 * toxic and false <= 0.005 * (n - toxic)
 
 
 def test_ordinal_thresholds_share_weights():

@@ -1,7 +1,7 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 P(severity <= k) = sigmoid(threshold_k - weights . features): one weight vector for
-all ordered thresholds. Features are which of a bounded list of words a text holds;
+all ordered thresholds. Features are which of a bounded list of words and word beginnings a text holds;
 the list and the weights are fitted on a bounded sample of labelled documents
 (``sample_rows``, chosen by a hash of the id), everything else covers all rows.
 
@@ -26,10 +26,20 @@ from . import common
 WORD = regex.compile(r"[^\W\d_]+")
 
 
+#: Lengths of the word beginnings that are features beside whole words; a hyphen marks them.
+STEMS = (3, 4, 5, 6)
+REMEMBERED = 300_000
+
+
 def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def features_of(word: str) -> list[str]:
+    """A word and its beginnings: inflected forms of rare words share these."""
+    return [word, *[word[:n] + "-" for n in STEMS if len(word) >= n]]
+
+
 @dataclass
 class OrdinalModel:
     """Weights shared by the ordered ``thresholds`` between ``grades``."""
@@ -37,11 +47,25 @@ class OrdinalModel:
     grades: list[int]
     words: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def weighted(self, word: str) -> tuple[str, ...]:
+        """The features of a word that have a weight, remembered within a bound."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        found = self.known[word] = tuple(f for f in features_of(word) if f in self.words)
+        return found
 
     def above(self, text: str) -> list[float]:
         """P(severity > k) for each threshold."""
-        have = self.words
-        z = sum([have[w] for w in words_of(text) if w in have])
+        known, have = self.known, set()
+        for word in words_of(text):
+            found = known.get(word)
+            if found is None:
+                found = self.weighted(word)
+            if found:
+                have.update(found)
+        z = sum(sorted(self.words[f] for f in have))
         return [1.0 / (1.0 + np.exp(min(700.0, t - z))) for t in self.thresholds]
 
     def expected(self, text: str) -> tuple[float, int]:
@@ -54,7 +78,7 @@ class OrdinalModel:
         return mean, grade
 
 
-def fit_thresholds(x: np.ndarray, y: np.ndarray, levels: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(x: np.ndarray, y: np.ndarray, levels: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the cumulative-link model, by Adam on the mean log-likelihood."""
     n, d = x.shape
     share = np.clip(np.array([(y <= k).mean() for k in range(levels - 1)]), 1e-3, 1 - 1e-3)
@@ -83,14 +107,14 @@ def fit_thresholds(x: np.ndarray, y: np.ndarray, levels: int, l2: float = 1e-3,
     return p[:d], theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str | Column = "toxic", sample_rows: int = 8000, features: int = 256, least: int = 3) -> OrdinalModel:
-    """Fit on at most ``sample_rows`` labelled documents. Words are picked by their share in graded documents against ungraded ones."""
+def fit(docs: DataFrame, labels: DataFrame, grade: str | Column = "toxic", sample_rows: int = 8000, features: int = 1024, least: int = 3) -> OrdinalModel:
+    """Fit on at most ``sample_rows`` labelled documents. Features are picked by their share in graded documents against ungraded ones."""
     graded = labels.select(F.col("doc_id").alias("_id"), (F.col(grade) if isinstance(grade, str) else grade).cast("int").alias("grade")).where("grade is not null and _id is not null")
     chosen = graded.orderBy(F.xxhash64("_id"), "_id", "grade").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {"grade": batch.column("grade"), "words": [sorted(words_of(t)) for t in common.text_rows(batch)]}
+            yield {"grade": batch.column("grade"), "words": [sorted({f for w in words_of(t) for f in features_of(w)}) for t in common.text_rows(batch)]}
 
     sample = common.map_arrow(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("text", "grade"), run, "grade int, words array<string>")
     sample = common.stash(sample, "graded").withColumn("row", F.monotonically_increasing_id())
