@@ -5,8 +5,10 @@ Every window of ``length`` symbols is anchored at its leftmost smallest hash of
 stands for all of them. Equal windows are anchored alike, so
 1. runs whose anchor occurs once have no repeated window and go;
 2. runs of equal content are one class with its count and smallest document;
-3. where an anchor has several classes, the windows of one run of each class are
-   told apart by 128-bit fingerprints, grouped with map-side combine.
+3. where an anchor has several classes, one run of each class is cut into short
+   stretches by the windows' distance from the anchor. What all windows of a stretch
+   have in common is its core; stretches whose core occurs once go, and the windows of
+   the others are told apart by 128-bit fingerprints, grouped with map-side combine.
 No step needs the rows of a key in one task; joins are sort-merge joins that adaptive
 execution can split.
 """
@@ -184,10 +186,12 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     several = classes.groupBy("k").agg(F.count("*").alias("_classes"), F.min("c").alias("_least"))
     several = several.where("_classes > 1" if earlier else "_classes > 1 and _least = 1").select("k")
     unsure = classes.join(several, "k", "left_semi").groupBy("one.doc_id", "one.tkey").agg(F.collect_list(F.struct("one.at", "one.n", "k", "t", "c", "low")).alias("runs"))
-    windows = common.stash(_windows(docs, unsure, symbols, length), "windows")
-    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("_c"), F.min("low").alias("_low"))
-    shared = shared.where("_c > 1")
-    again = windows.join(shared, ["w1", "w2"])
+    stretches = common.stash(_stretches(docs, unsure, symbols, length, anchor), "stretches")
+    cores = stretches.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
+    windows = stretches.join(cores, "core", "left_semi").select("core", "k", "t", "c", "low", "o", F.posexplode("prints").alias("_more", "w"))
+    windows = common.stash(windows.select("core", "w", "k", "t", "c", "low", (F.col("o") + F.col("_more")).alias("o")), "windows")
+    shared = windows.groupBy("core", "w").agg(F.count("*").alias("_c"), F.min("low").alias("_low")).where("_c > 1")
+    again = windows.join(shared, ["core", "w"])
     again = again.where("_low < low") if earlier else again.where("c = 1")
     spots = again.groupBy("k", "t").agg(F.collect_list("o").alias("spots"))
     judged = classes.select("k", "t", "c", "low").join(spots, ["k", "t"], "left")
@@ -197,38 +201,46 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     return both.where(whole | F.col("spots").isNotNull()).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list(stretches)).alias("found"))
 
 
-def _windows(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int) -> DataFrame:
-    """``k, t, o, c, low, w1, w2``: fingerprints of the windows of the given runs; o is the window's place in its run."""
-    texts = docs.select("doc_id", text_key(), "text")
+def _stretches(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int, anchor: int) -> DataFrame:
+    """``core, k, t, c, low, o, prints``: stretches of the given runs; o is the first window's place in its run, prints the windows' fingerprints."""
     own = unsure.withColumnRenamed("doc_id", "_id").withColumnRenamed("tkey", "_key")
+    texts = docs.select("doc_id", text_key(), "text")
     both = texts.join(own, texts.doc_id.eqNullSafe(own._id) & (F.col("tkey") == F.col("_key"))).select("text", "runs")
+    most = length - anchor
+    step = max(1, most // 15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for text, found in zip(common.text_rows(batch), batch.column("runs"), strict=True):
                 values = found.values
-                at, n, k, t, c, low = (values.field(i).to_numpy(zero_copy_only=False) for i in range(6))
-                which = np.repeat(np.arange(len(at)), n)
-                o = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                own = symbols(text)
-                start = at[which].astype(np.int64) + o
-                w1, w2 = _fingerprints(own, start, length)
-                keep = pa.array(which)
-                yield {"k": k[which], "t": t[which], "o": o.astype(np.int32), "c": c[which], "low": values.field(5).take(keep), "w1": w1, "w2": w2}
-
-    return common.map_arrow(both, run, "k long, t long, o int, c long, low long, w1 long, w2 long")
-
-
-def _fingerprints(own: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two fingerprints of the windows at ``start``, piece by piece for long texts."""
-    out = [np.empty(len(start), dtype=np.int64) for _ in BASES]
-    for at in range(0, len(own), PIECE):
-        inside = (start >= at) & (start < at + PIECE)
-        if inside.any():
-            hashed = Hashed(own[at : at + PIECE + length - 1])
-            for which, column in enumerate(out):
-                column[inside] = hashed.of(start[inside] - at, start[inside] - at + length, which).view(np.int64)
-    return out[0], out[1]
+                at, n = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+                seq = symbols(text)
+                for piece in range(0, len(seq), PIECE):
+                    inside = np.flatnonzero((at >= piece) & (at < piece + PIECE))
+                    if not len(inside):
+                        continue
+                    hashed = Hashed(seq[piece : piece + PIECE + length - 1])
+                    start, many = at[inside] - piece, n[inside]
+                    keys = hashed.all(anchor, 0) & ~LOW_BITS
+                    spot = np.array([a + m - 1 + int(keys[a + m - 1 : a + most + 1].argmin()) for a, m in zip(start.tolist(), many.tolist(), strict=True)])
+                    which = np.repeat(np.arange(len(start)), many)
+                    o = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                    first = start[which] + o
+                    part = (spot[which] - first) // step
+                    heads = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (part[1:] != part[:-1])])
+                    row, near = which[heads], part[heads] * step
+                    far = np.minimum(near + step - 1, most)
+                    core = hashed.of(spot[row] - near, spot[row] - far + length, 0).view(np.int64)
+                    prints = hashed.of(first, first + length, 1).view(np.int64)
+                    take = pa.array(inside[row])
+                    yield {
+                        "core": core,
+                        "o": o[heads].astype(np.int32),
+                        "prints": pa.ListArray.from_arrays(pa.array(np.r_[heads, len(which)].astype(np.int32)), pa.array(prints)),
+                        **{name: values.field(i).take(take) for i, name in enumerate(("k", "t", "c", "low"), 2)},
+                    }
+
+    return common.map_arrow(both, run, "core long, k long, t long, c long, low long, o int, prints array<long>")
 
 
 def covered(n: int, found, length: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,6 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of finished steps, so that Spark's cleaner deletes their shuffle files now and not at some later garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
@@ -28,6 +35,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    settle(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +48,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kind], schema=kind)
+            yield pa.RecordBatch.from_arrays([own.cast(f.type) if isinstance(own := columns[f.name], pa.Array) else pa.array(own, f.type) for f in kind], schema=kind)
 
     return df.mapInArrow(run, schema)
 
