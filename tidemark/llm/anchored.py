@@ -190,10 +190,12 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     cores = stretches.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
     windows = stretches.join(cores, "core", "left_semi").select("core", "k", "t", "c", "low", "o", F.posexplode("prints").alias("_more", "w"))
     windows = common.stash(windows.select("core", "w", "k", "t", "c", "low", (F.col("o") + F.col("_more")).alias("o")), "windows")
+    common.discard(stretches)
     shared = windows.groupBy("core", "w").agg(F.count("*").alias("_c"), F.min("low").alias("_low")).where("_c > 1")
     again = windows.join(shared, ["core", "w"])
     again = again.where("_low < low") if earlier else again.where("c = 1")
-    spots = again.groupBy("k", "t").agg(F.collect_list("o").alias("spots"))
+    spots = common.stash(again.groupBy("k", "t").agg(F.collect_list("o").alias("spots")), "spots")
+    common.discard(windows)
     judged = classes.select("k", "t", "c", "low").join(spots, ["k", "t"], "left")
     both = rows.join(judged, ["k", "t"])
     whole = F.col("low") < F.col("doc_id") if earlier else F.col("c") > 1
