@@ -77,8 +77,7 @@ def daily_scores(spark, sf):
     return alerts.daily_scores(V.headlines(spark, sf), V.calendar(spark)).select("ticker", "session", R("score"), "n")
 
 
-@query(f"""WITH {DAILY}, r AS (SELECT ticker, session, list({{'s': session, 'v': round(score, 4), 'n': n}}) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM daily)
-  SELECT ticker, session, list_aggregate(list_transform(l, x -> x.s || ':' || x.n), 'string_agg', ',') AS recent FROM r""")
+@query(f"WITH {DAILY} SELECT ticker, session, string_agg(session || ':' || n, ',') OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent FROM daily")
 def recent_trend(spark, sf):
     text = F.array_join(F.transform("recent", lambda x: F.concat_ws(":", x["session"].cast("string"), x["n"].cast("string"))), ",")
     return assessed(spark, sf).select("ticker", "session", text.alias("recent"))
