@@ -59,3 +59,12 @@ def policy(label: Column, review: Column, which: str) -> Column:
     """Review overrides by policy (``all`` or ``non_neutral``); a failed review keeps the label."""
     use = review.isNotNull() & (F.lit(which == "all") | (label != "neutral"))
     return F.when(use, review).otherwise(label)
+
+
+def coverage(legacy: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: titles of ``legacy`` since the first of ``new``, how many of them ``new`` has, and their share."""
+    first = new.agg(F.min("published_at").alias("_first"))
+    own = legacy.join(F.broadcast(first), F.col("published_at") >= F.col("_first"))
+    both = own.join(new.select("ticker", "title", F.lit(1).alias("_new")), ["ticker", "title"], "left")
+    counts = both.agg(F.count("*").alias("legacy"), F.count("_new").alias("paired"))
+    return counts.withColumn("coverage", F.try_divide(F.col("paired"), F.col("legacy")))

@@ -73,6 +73,14 @@ def evidence(titles: DataFrame, calendar: DataFrame, n: int = 3) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def with_evidence(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with ``evidence``, the ranked structs of their ticker and session; empty where there are none."""
+    item = F.struct("rank", "title", "source", "published_at", "score")
+    nested = found.groupBy("ticker", "session").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    kind = nested.schema["evidence"].dataType.simpleString()
+    return rows.join(nested, ["ticker", "session"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(kind)))
+
+
 def board(assessed: DataFrame, as_of: str, include_all: bool = True) -> DataFrame:
     rows = assessed.where(F.col("session") == F.lit(as_of).cast("date"))
     rows = rows if include_all else rows.where(F.col("level").isin("high", "watch"))

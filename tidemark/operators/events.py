@@ -40,3 +40,12 @@ def timeline(events: DataFrame, rows: DataFrame, first: int = -10, last: int = 0
     """Rows at each offset before the events, by an equi-join on the ordinal."""
     wanted = events.select("ticker", F.col("ord").alias("event_ord"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("offset"))
     return wanted.withColumn("ord", F.col("event_ord") + F.col("offset")).join(rows, ["ticker", "ord"])
+
+
+def hits(events: DataFrame, levels: DataFrame, before: int = 5) -> DataFrame:
+    """First alerted offset of each event and whether an alert came in the sessions before or on its day; null if none of them can be judged."""
+    rows = timeline(events, levels, -before, 0)
+    hot, known = F.col("level").isin("high", "watch"), F.col("level") != "insufficient"
+    early, today = F.col("offset") < 0, F.col("offset") == 0
+    judged = lambda when: F.when(F.count_if(known & when) > 0, F.count_if(hot & when) > 0)
+    return rows.groupBy("ticker", "event_ord").agg(F.min(F.when(hot, F.col("offset"))).alias("first_offset"), judged(early).alias("early"), judged(today).alias("same_day"))
