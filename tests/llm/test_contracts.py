@@ -168,14 +168,28 @@ def test_repeated_words(spark, docs):
     assert counted(rows_of(queries.op4_substrings(spark, docs)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("cells", [1_500_000, 40, 1])
+def test_buckets_whole_and_split(spark, monkeypatch, cells):
+    """Few words make many different runs share an anchor; small ``cells`` splits such buckets."""
+    from tidemark.llm import anchored
+
+    monkeypatch.setattr(anchored, "CELLS", cells)
+    rng = random.Random(8)
+    rows = [(i, [rng.choice("abc") for _ in range(rng.randint(0, 60))]) for i in range(40)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    want = {i: (len(w), len(w) - len(k)) for i, w, k in stripped(rows, 6)}
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(frame, 6).collect()}
+    assert got == want
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     from tidemark.llm import anchored
 
     monkeypatch.setattr(anchored, "PIECE", 64)
     rng = random.Random(3)
     words = [str(rng.randint(0, 3)) for _ in range(900)]
-    symbols = substrings.symbols(" ".join(words))
-    parts = list(anchored._pieces(iter([" ".join(words)]), substrings.symbols, 13))
+    symbols = substrings.SYMBOLS.numbers(" ".join(words))
+    parts = list(anchored._pieces(iter([" ".join(words)]), substrings.SYMBOLS.numbers, 13))
     total = 0
     for joined, first, last, _, _ in parts:
         total += int(anchored.runs(anchored.Hashed(joined), np.array(first), np.array(last), 13, 5)["n"].sum())

@@ -5,17 +5,24 @@ Every window of ``length`` symbols is anchored at its leftmost smallest hash of
 stands for all of them. Equal windows are anchored alike, so
 1. runs whose anchor occurs once have no repeated window and go;
 2. runs of equal content are one class with its count and smallest document;
-3. where an anchor has several classes, one run of each class is cut into short
-   stretches by the windows' distance from the anchor. What all windows of a stretch
-   have in common is its core; stretches whose core occurs once go, and the windows of
-   the others are told apart by 128-bit fingerprints, grouped with map-side combine.
-No step needs the rows of a key in one task; joins are sort-merge joins that adaptive
+3. where an anchor has several classes, one run of each class travels to the anchor's
+   bucket as one packed string of its symbols. There the strings are sorted twice: by
+   what comes before the anchor, read backwards, and by what follows. Ranks in both
+   orders, cut at a window's two ends, tell exactly which windows are equal;
+4. an anchor with more classes than one task should hold is split: its runs are cut
+   into short stretches by the windows' distance from the anchor. What all windows of a
+   stretch have in common is its core; stretches whose core occurs once go, and the
+   windows of the others are told apart by 128-bit fingerprints, grouped with map-side
+   combine.
+No step needs the rows of a hot key in one task; joins are sort-merge joins that adaptive
 execution can split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,10 @@ MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Symbols handled at once; longer texts are cut into pieces that overlap by a window.
 PIECE = 1 << 19
 LOW_BITS = np.uint64((1 << 21) - 1)
+#: Windows that a bucket's classes may have; a bucket with more is split, and smaller ones are handled together up to it.
+CELLS = 1_500_000
+#: Packed strings written in one batch.
+FLUSH = 4_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,10 +123,22 @@ def runs(hashed: Hashed, first: np.ndarray, last: np.ndarray, length: int, ancho
     return {"at": at, "n": n, "k": own[spot].view(np.int64), "t": (hashed.of(at, at + n + length - 1, 1) ^ n.astype(np.uint64)).view(np.int64)}
 
 
-Symbols = Callable[[str], np.ndarray]
+@dataclass(frozen=True)
+class Symbols:
+    """How a text is read as symbols.
 
+    ``numbers``: a 64-bit number for each symbol of a text, from which hashes are made.
+    ``split``: the symbols themselves; ``pack``: some of them as one string.
+    ``units``: the symbols of packed strings in a row as unsigned big-endian numbers that are equal only for equal symbols.
+    """
+
+    numbers: Callable[[str], np.ndarray]
+    split: Callable[[str], Sequence]
+    pack: Callable[[Sequence], bytes]
+    units: Callable[[list[bytes]], np.ndarray]
 
-def _pieces(texts: Iterator[str], symbols: Symbols, length: int) -> Iterator[tuple[np.ndarray, list, list, list, list]]:
+
+def _pieces(texts: Iterator[str], symbols: Callable[[str], np.ndarray], length: int) -> Iterator[tuple[np.ndarray, list, list, list, list]]:
     """Symbols of several texts in a row, with each stretch's bounds, row and offset in its text."""
     held, first, last, row, offset, size = [], [], [], [], [], 0
     for k, text in enumerate(texts):
@@ -148,7 +171,7 @@ def run_rows(docs: DataFrame, symbols: Symbols, length: int, anchor: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, keys = (batch.column(c) for c in ("doc_id", "tkey"))
-            for joined, first, last, row, offset in _pieces(common.text_rows(batch), symbols, length):
+            for joined, first, last, row, offset in _pieces(common.text_rows(batch), symbols.numbers, length):
                 first, last, row, offset = (np.array(x, dtype=np.int64) for x in (first, last, row, offset))
                 found = runs(Hashed(joined), first, last, length, anchor)
                 which = np.searchsorted(first, found["at"], side="right") - 1
@@ -163,7 +186,7 @@ def anchor_counts(docs: DataFrame, symbols: Symbols, length: int, anchor: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for joined, first, last, _, _ in _pieces(common.text_rows(batch), symbols, length):
+            for joined, first, last, _, _ in _pieces(common.text_rows(batch), symbols.numbers, length):
                 found = runs(Hashed(joined), np.array(first), np.array(last), length, anchor)
                 k, c = np.unique(found["k"], return_counts=True)
                 yield {"k": k, "c": c.astype(np.int32)}
@@ -183,18 +206,23 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     rows = common.stash(run_rows(docs, symbols, length, anchor).join(often, "k", "left_semi"), "runs")
     classes = rows.groupBy("k", "t").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "tkey", "at", "n")).alias("one"))
     classes = common.stash(classes, "classes")
+    most = max(1, CELLS // (length - anchor + 1))
     several = classes.groupBy("k").agg(F.count("*").alias("_classes"), F.min("c").alias("_least"))
-    several = several.where("_classes > 1" if earlier else "_classes > 1 and _least = 1").select("k")
-    unsure = classes.join(several, "k", "left_semi").groupBy("one.doc_id", "one.tkey").agg(F.collect_list(F.struct("one.at", "one.n", "k", "t", "c", "low")).alias("runs"))
-    stretches = common.stash(_stretches(docs, unsure, symbols, length, anchor), "stretches")
+    several = several.where("_classes > 1" if earlier else "_classes > 1 and _least = 1").select("k", (F.col("_classes") > most).alias("wide"))
+    run = F.struct("one.at", "one.n", "k", "t", "c", F.coalesce("low", F.lit(0)).alias("low"), "wide")
+    unsure = classes.join(several, "k").groupBy("one.doc_id", "one.tkey").agg(F.collect_list(run).alias("runs"))
+    packed = common.stash(_packed(docs, unsure, symbols, length, anchor), "packed")
+    buckets = packed.where("core is null").select("k", "t", "c", "low", "n", "spot", "packed").repartition("k").sortWithinPartitions("k")
+    stretches = packed.where("core is not null").select("core", "k", "t", "c", "low", "o", "prints")
     cores = stretches.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
     windows = stretches.join(cores, "core", "left_semi").select("core", "k", "t", "c", "low", "o", F.posexplode("prints").alias("_more", "w"))
     windows = common.stash(windows.select("core", "w", "k", "t", "c", "low", (F.col("o") + F.col("_more")).alias("o")), "windows")
-    common.discard(stretches)
     shared = windows.groupBy("core", "w").agg(F.count("*").alias("_c"), F.min("low").alias("_low")).where("_c > 1")
     again = windows.join(shared, ["core", "w"])
     again = again.where("_low < low") if earlier else again.where("c = 1")
-    spots = common.stash(again.groupBy("k", "t").agg(F.collect_list("o").alias("spots")), "spots")
+    split = again.groupBy("k", "t").agg(F.collect_list("o").alias("spots"))
+    spots = common.stash(_bucket_spots(buckets, symbols, length, anchor, earlier).unionByName(split), "spots")
+    common.discard(packed)
     common.discard(windows)
     judged = classes.select("k", "t", "c", "low").join(spots, ["k", "t"], "left")
     both = rows.join(judged, ["k", "t"])
@@ -203,46 +231,167 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     return both.where(whole | F.col("spots").isNotNull()).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list(stretches)).alias("found"))
 
 
-def _stretches(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int, anchor: int) -> DataFrame:
-    """``core, k, t, c, low, o, prints``: stretches of the given runs; o is the first window's place in its run, prints the windows' fingerprints."""
+def _packed(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int, anchor: int) -> DataFrame:
+    """The given runs as packed strings, those of wide buckets as stretches.
+
+    ``k, t, c, low`` of the run; for packed strings ``n`` windows and ``spot``, the
+    anchor's place in the string; for stretches ``core``, the first window's place ``o``
+    in its run and ``prints``, the windows' fingerprints.
+    """
     own = unsure.withColumnRenamed("doc_id", "_id").withColumnRenamed("tkey", "_key")
     texts = docs.select("doc_id", text_key(), "text")
     both = texts.join(own, texts.doc_id.eqNullSafe(own._id) & (F.col("tkey") == F.col("_key"))).select("text", "runs")
     most = length - anchor
     step = max(1, most // 15)
+    names = ("k", "t", "c", "low")
+
+    def strings(held: list[dict], packed: list[bytes]) -> dict:
+        out = {c: np.concatenate([h[c] for h in held]) for c in (*names, "n", "spot")}
+        return out | {"packed": packed, "core": pa.nulls(len(packed)), "o": pa.nulls(len(packed)), "prints": pa.nulls(len(packed), pa.list_(pa.int64()))}
+
+    def stretches(hashed: Hashed, start: np.ndarray, many: np.ndarray, spot: np.ndarray, run_of: dict) -> dict:
+        which = np.repeat(np.arange(len(start)), many)
+        o = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        first = start[which] + o
+        part = (spot[which] - first) // step
+        heads = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (part[1:] != part[:-1])])
+        row, near = which[heads], part[heads] * step
+        far = np.minimum(near + step - 1, most)
+        prints = hashed.of(first, first + length, 1).view(np.int64)
+        return {c: run_of[c][row] for c in names} | {
+            "core": hashed.of(spot[row] - near, spot[row] - far + length, 0).view(np.int64),
+            "o": o[heads].astype(np.int32),
+            "prints": pa.ListArray.from_arrays(pa.array(np.r_[heads, len(which)].astype(np.int32)), pa.array(prints)),
+        } | {c: pa.nulls(len(heads)) for c in ("n", "spot", "packed")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, strings_held = [], []
         for batch in batches:
             for text, found in zip(common.text_rows(batch), batch.column("runs"), strict=True):
-                values = found.values
-                at, n = (values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-                seq = symbols(text)
-                for piece in range(0, len(seq), PIECE):
+                at, n, *rest, wide = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(7))
+                numbers, seq = symbols.numbers(text), symbols.split(text)
+                for piece in range(0, len(numbers), PIECE):
                     inside = np.flatnonzero((at >= piece) & (at < piece + PIECE))
                     if not len(inside):
                         continue
-                    hashed = Hashed(seq[piece : piece + PIECE + length - 1])
-                    start, many = at[inside] - piece, n[inside]
+                    hashed = Hashed(numbers[piece : piece + PIECE + length - 1])
+                    start, many = at[inside].astype(np.int64) - piece, n[inside].astype(np.int64)
                     keys = hashed.all(anchor, 0) & ~LOW_BITS
                     spot = np.array([a + m - 1 + int(keys[a + m - 1 : a + most + 1].argmin()) for a, m in zip(start.tolist(), many.tolist(), strict=True)])
-                    which = np.repeat(np.arange(len(start)), many)
-                    o = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-                    first = start[which] + o
-                    part = (spot[which] - first) // step
-                    heads = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (part[1:] != part[:-1])])
-                    row, near = which[heads], part[heads] * step
-                    far = np.minimum(near + step - 1, most)
-                    core = hashed.of(spot[row] - near, spot[row] - far + length, 0).view(np.int64)
-                    prints = hashed.of(first, first + length, 1).view(np.int64)
-                    take = pa.array(inside[row])
-                    yield {
-                        "core": core,
-                        "o": o[heads].astype(np.int32),
-                        "prints": pa.ListArray.from_arrays(pa.array(np.r_[heads, len(which)].astype(np.int32)), pa.array(prints)),
-                        **{name: values.field(i).take(take) for i, name in enumerate(("k", "t", "c", "low"), 2)},
-                    }
-
-    return common.map_arrow(both, run, "core long, k long, t long, c long, low long, o int, prints array<long>")
+                    hot = wide[inside]
+                    for kind in (True, False):
+                        of = np.flatnonzero(hot == kind)
+                        if not len(of):
+                            continue
+                        run_of = {c: values[inside[of]] for c, values in zip(names, rest, strict=True)}
+                        if kind:
+                            yield stretches(hashed, start[of], many[of], spot[of], run_of)
+                        else:
+                            held.append(run_of | {"n": many[of], "spot": spot[of] - start[of]})
+                            strings_held += [symbols.pack(seq[piece + a : piece + a + m + length - 1]) for a, m in zip(start[of].tolist(), many[of].tolist(), strict=True)]
+                if len(strings_held) >= FLUSH:
+                    yield strings(held, strings_held)
+                    held, strings_held = [], []
+        if held:
+            yield strings(held, strings_held)
+
+    return common.map_arrow(both, run, "k long, t long, c long, low long, n int, spot int, packed binary, core long, o int, prints array<long>")
+
+
+def _sorted_groups(keys: list[bytes], width: int, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key's rank in the order of all, and for each depth and rank where the group begins that agrees in so many symbols.
+
+    Keys start with four bytes that must agree at every depth.
+    """
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    common_ = np.full(len(keys), -1, dtype=np.int64)
+    for i, (x, y) in enumerate(pairwise(order), 1):
+        a, b = keys[x], keys[y]
+        n = min(len(a), len(b))
+        differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+        common_[i] = (n - (differ.bit_length() + 7) // 8 - 4) // width
+    begins = np.where(common_ < depths[:, None], np.arange(len(keys)), 0)
+    rank = np.empty(len(keys), dtype=np.int64)
+    rank[order] = np.arange(len(keys))
+    return rank, np.maximum.accumulate(begins, axis=1)
+
+
+def _repeated(rows: dict, packed: list[bytes], symbols: Symbols, length: int, anchor: int, earlier: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, places of windows in the row's run) of windows that are repeated among the packed strings of some buckets.
+
+    The order of what precedes an anchor, read backwards from it, and the order of
+    what starts at it combine into the order of the windows: a window that has o
+    symbols before its anchor is its group at depth o in the first and at depth
+    ``length - o`` in the second.
+    """
+    k, n, spot, c, low = (rows[x].astype(np.int64) for x in ("k", "n", "spot", "c", "low"))
+    size, most, m = n + length - 1, length - anchor, len(k)
+    units = symbols.units(packed)
+    width, total = units.itemsize, len(units)
+    ahead, back = units.tobytes(), units[::-1].tobytes()
+    start = np.cumsum(size) - size
+    at = start + spot
+    buckets = np.cumsum(np.r_[0, k[1:] != k[:-1]]).astype(">u4").tobytes()
+    before, after = [], []
+    for i, (s, p, e) in enumerate(zip(start.tolist(), at.tolist(), (start + size).tolist(), strict=True)):
+        bucket = buckets[4 * i : 4 * i + 4]
+        before.append(bucket + back[(total - p) * width : (total - s) * width])
+        after.append(bucket + ahead[p * width : e * width])
+    depths = np.arange(most + 1)
+    rank, begins = _sorted_groups(before, width, depths)
+    rank_after, begins_after = _sorted_groups(after, width, length - depths)
+    row = np.repeat(np.arange(m), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    o = spot[row] - place
+    code = (o * m + begins[o, rank[row]]) * m + begins_after[o, rank_after[row]]
+    order = np.argsort(code, kind="stable")
+    heads = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+    counts = np.diff(np.r_[heads, len(code)])
+    if earlier:
+        again = np.repeat(np.minimum.reduceat(low[row[order]], heads), counts) < low[row[order]]
+    else:
+        again = (np.repeat(counts, counts) > 1) & (c[row[order]] == 1)
+    chosen = np.sort(order[again])
+    of, first = np.unique(row[chosen], return_index=True)
+    yield from zip(of.tolist(), np.split(place[chosen], first[1:]), strict=True)
+
+
+def _bucket_spots(buckets: DataFrame, symbols: Symbols, length: int, anchor: int, earlier: bool) -> DataFrame:
+    """``k, t, spots``: the repeated windows of each packed run; the rows of a bucket come one after another."""
+    most = max(1, CELLS // (length - anchor + 1))
+
+    def judge(batch: pa.RecordBatch) -> Iterator[dict]:
+        rows = {x: batch.column(x).to_numpy() for x in ("k", "t", "c", "low", "n", "spot")}
+        packed = batch.column("packed").to_pylist()
+        heads = np.flatnonzero(np.r_[True, rows["k"][1:] != rows["k"][:-1]])
+        cuts = heads[np.flatnonzero(np.r_[True, heads[1:] // most != heads[:-1] // most])].tolist() + [len(packed)]
+        for low, high in pairwise(cuts):
+            part = {x: v[low:high] for x, v in rows.items()}
+            found = list(_repeated(part, packed[low:high], symbols, length, anchor, earlier))
+            if found:
+                of = [i for i, _ in found]
+                yield {"k": part["k"][of], "t": part["t"][of], "spots": [places for _, places in found]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column("k").to_numpy()
+            last = int(np.searchsorted(k, k[-1]))
+            if last:
+                held.append(batch.slice(0, last))
+            elif held and held[-1].column("k")[-1].as_py() != k[0]:
+                pass
+            else:
+                held.append(batch)
+                continue
+            yield from judge(pa.concat_batches(held))
+            held = [batch.slice(last)]
+        if held:
+            yield from judge(pa.concat_batches(held))
+
+    return common.map_arrow(buckets, run, "k long, t long, spots array<int>")
 
 
 def covered(n: int, found, length: int) -> np.ndarray:

@@ -1,12 +1,15 @@
 """Suffix-array dedup by prefix-free parsing: remove bytes of long strings that occur more than once.
 
 Rolling-hash triggers (the smallest hash in a span, so every string of ``length`` bytes
-holds one) cut texts into overlapping phrases. The dictionary is the set of distinct
-phrases with their counts, the parse the list of phrases of each text. Suffixes that
-start in a phrase and are equal for ``length`` bytes are neighbours in corpus order
-whatever the order is, so order among them is not materialized: a phrase that occurs
-twice settles all suffixes that start in it, and the suffixes of phrases that share a
-trigger are grouped by fingerprints of their first ``length`` bytes.
+holds one) cut texts into overlapping phrases. Only triggers that occur more than once
+can lie in a repeat. For these the dictionary holds what leads up to the trigger and the
+parse what goes on from it; phrases that agree in both are one entry with a count. In a
+trigger's bucket two suffix arrays are built, of the dictionary (phrase ends, sorted from
+the trigger backwards, so the suffixes that phrases share lie together) and of the parse
+(the texts from the trigger on). Ranks in both combine into the order of all suffixes that
+reach the trigger; neighbours equal for ``length`` bytes are the repeats. A phrase that
+occurs twice settles all its suffixes at once. Order between buckets is not needed and is
+not made; ``anchored`` says what happens to a trigger with very many entries.
 
 Null texts are empty; texts shorter than ``length`` lose nothing; repeated rows and
 repeated ids are separate texts; other columns stay.
@@ -28,13 +31,20 @@ TRIGGER_BYTES = 64
 BYTES = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def symbols(text: str) -> np.ndarray:
+def _numbers(text: str) -> np.ndarray:
     return BYTES[np.frombuffer(text.encode(), dtype=np.uint8)]
 
 
+def _units(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.uint8)
+
+
+SYMBOLS = anchored.Symbols(numbers=_numbers, split=str.encode, pack=bytes, units=_units)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, the ``kept`` bytes and ``spans`` removed."""
-    found = anchored.flagged(docs.select("doc_id", "text"), symbols, length, min(TRIGGER_BYTES, length), earlier=False)
+    found = anchored.flagged(docs.select("doc_id", "text"), SYMBOLS, length, min(TRIGGER_BYTES, length), earlier=False)
     both = anchored.with_found(docs.select("doc_id", "text"), found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

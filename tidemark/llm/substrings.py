@@ -1,9 +1,10 @@
 """Substring dedup by super-k-mers: remove words of windows that already start in an earlier document.
 
 A window is ``length`` words, its minimiser the smallest hash of a few words in it.
-Consecutive windows that share a minimiser travel as one row to the minimiser's
-bucket. Minimisers that occur once go at once; in the other buckets equal super-k-mers
-merge, and windows of different ones are counted by fingerprint.
+Consecutive windows that share a minimiser are one super-k-mer. Minimisers that occur
+once go at once, and equal super-k-mers merge; the different ones of a minimiser travel
+as one packed string each to its bucket, where sorting their words counts the windows
+exactly. ``anchored`` says what happens to a minimiser with very many super-k-mers.
 
 Null texts have no words; rows without an id lose nothing and make nothing a repeat;
 rows of one id are not earlier than each other; other columns stay.
@@ -39,13 +40,26 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
-def symbols(text: str) -> np.ndarray:
-    words = text.encode().split()
+def _split(text: str) -> list[bytes]:
+    return text.encode().split()
+
+
+def _numbers(text: str) -> np.ndarray:
+    words = _split(text)
     return np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def _units(packed: list[bytes]) -> np.ndarray:
+    words = b" ".join(packed).split()
+    known = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(known.__getitem__, words), dtype=">u4", count=len(words))
+
+
+SYMBOLS = anchored.Symbols(numbers=_numbers, split=_split, pack=b" ".join, units=_units)
+
+
 def _found(docs: DataFrame, length: int) -> DataFrame:
-    found = anchored.flagged(docs.select("doc_id", "text"), symbols, length, min(MINIMISER_WORDS, length), earlier=True)
+    found = anchored.flagged(docs.select("doc_id", "text"), SYMBOLS, length, min(MINIMISER_WORDS, length), earlier=True)
     return anchored.with_found(docs, found)
 
 
