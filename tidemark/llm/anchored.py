@@ -352,6 +352,8 @@ def _repeated(rows: dict, packed: list[bytes], symbols: Symbols, length: int, an
     else:
         again = (np.repeat(counts, counts) > 1) & (c[row[order]] == 1)
     chosen = np.sort(order[again])
+    if not len(chosen):
+        return
     of, first = np.unique(row[chosen], return_index=True)
     yield from zip(of.tolist(), np.split(place[chosen], first[1:]), strict=True)
 
