@@ -174,6 +174,7 @@ def test_buckets_whole_and_split(spark, monkeypatch, cells):
     from tidemark.llm import anchored
 
     monkeypatch.setattr(anchored, "CELLS", cells)
+    monkeypatch.setattr(anchored, "LEAST", 2 if cells == 40 else 1_000)
     rng = random.Random(8)
     rows = [(i, [rng.choice("abc") for _ in range(rng.randint(0, 60))]) for i in range(40)]
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)

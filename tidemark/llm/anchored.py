@@ -39,6 +39,8 @@ PIECE = 1 << 19
 LOW_BITS = np.uint64((1 << 21) - 1)
 #: Windows that a bucket's classes may have; a bucket with more is split, and smaller ones are handled together up to it.
 CELLS = 1_500_000
+#: A key with more rows than one in SHARE of all, LEAST at least, is dealt over several tasks.
+SHARE, LEAST = 10_000, 1_000
 #: Packed strings written in one batch.
 FLUSH = 4_000
 
@@ -194,6 +196,21 @@ def anchor_counts(docs: DataFrame, symbols: Symbols, length: int, anchor: int) -
     return common.map_arrow(docs.select("text"), run, "k long, c int").groupBy("k").agg(F.sum("c").alias("c"))
 
 
+def _dealt_join(rows: DataFrame, keyed: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of runs with a table of distinct keys and their counts ``c``, which ``counts`` has too; rows of frequent keys are dealt over several tasks.
+
+    At most SHARE keys are frequent enough, so they can be broadcast, and their copies in
+    ``keyed`` are at most twice as many.
+    """
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    share = max(total // SHARE, LEAST)
+    hot = F.broadcast(counts.where(F.col("c") > share).select(*keys, F.ceil(F.col("c") / share).cast("int").alias("_parts")))
+    one = F.coalesce("_parts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64("doc_id", "at"), one).cast("int")).drop("_parts")
+    right = keyed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("c") > share, F.ceil(F.col("c") / share).cast("int")).otherwise(1) - 1)))
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
 def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier: bool) -> DataFrame:
     """``doc_id, tkey, found``: for each text the stretches (at, n) of windows that are repeated.
 
@@ -202,8 +219,10 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     take no part.
     """
     docs = docs.where("doc_id is not null") if earlier else docs
-    often = anchor_counts(docs, symbols, length, anchor).where("c > 1").select("k")
-    rows = common.stash(run_rows(docs, symbols, length, anchor).join(often, "k", "left_semi"), "runs")
+    often = common.stash(anchor_counts(docs, symbols, length, anchor).where("c > 1"), "often")
+    every = run_rows(docs, symbols, length, anchor)
+    rows = common.stash(_dealt_join(every, often, often, ["k"]).select(*every.columns), "runs")
+    common.discard(often)
     classes = rows.groupBy("k", "t").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "tkey", "at", "n")).alias("one"))
     classes = common.stash(classes, "classes")
     most = max(1, CELLS // (length - anchor + 1))
@@ -225,7 +244,7 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     common.discard(packed)
     common.discard(windows)
     judged = classes.select("k", "t", "c", "low").join(spots, ["k", "t"], "left")
-    both = rows.join(judged, ["k", "t"])
+    both = _dealt_join(rows, judged, classes, ["k", "t"])
     whole = F.col("low") < F.col("doc_id") if earlier else F.col("c") > 1
     stretches = F.when(whole, F.array(F.struct("at", "n"))).otherwise(F.transform(F.coalesce("spots", F.array().cast("array<int>")), lambda o: F.struct((F.col("at") + o).alias("at"), F.lit(1).alias("n"))))
     return both.where(whole | F.col("spots").isNotNull()).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list(stretches)).alias("found"))
