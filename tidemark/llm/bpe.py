@@ -4,8 +4,8 @@ The merges compile into a deterministic automaton over tokens whose paths are ex
 the token sequences that BPE produces. It starts as one state with a loop for every
 base symbol; each merge (u, v) -> w applies a gadget: u now leads to a copy of its
 target that lacks the arc v, and every state with an arc u also gets an arc w to
-where v led. A word has one path, so encoding fills a table of the state reached at
-each byte, and decoding emits the labels of the arcs.
+where v led. A word has one path, which encoding follows arc by arc, and decoding emits
+the labels of the arcs.
 
 Nulls count as empty texts; empty texts have no tokens. Texts of any length are read
 whole, repeated rows each give a row, and other columns are ignored. Letters are those
@@ -37,6 +37,8 @@ ODD_SPACES = regex.compile("[\x1c-\x1f]")
 #: Words kept in each of the two generations of a worker's memory.
 REMEMBERED = 250_000
 STEPS_KEPT = 2_000_000
+#: First bytes that tell how long a token may be at most.
+HEAD = 3
 
 
 def read_vocabulary(path: str) -> dict:
@@ -88,7 +90,10 @@ class MergeAutomaton:
                 self.inner[bytes([raw[c] for c in s])] = i
         if not end:
             self.final = self.inner
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.reach: dict[bytes, int] = {}
+        for token in (*self.inner, *self.final):
+            if len(token) > HEAD:
+                self.reach[token[:HEAD]] = max(len(token), self.reach.get(token[:HEAD], 0))
 
     def _gadget(self, rank: int, last: int, u: int, v: int, w: int) -> None:
         """Merge (u, v) -> w: take the arc v from the state behind u, and lead w to where v led."""
@@ -121,28 +126,38 @@ class MergeAutomaton:
         return found
 
     def encode(self, word: bytes) -> list[int]:
-        n, longest, known, has_arc = len(word), self.longest, self.known, self.has_arc
-        came, arc = [0] * (n + 1), [-1] * (n + 1)
-        table = self.inner
-        for i in range(1, n + 1):
-            if i == n:
-                table = self.final
-            for j in range(i - 1, max(-1, i - longest - 1), -1):
-                token = table.get(word[j:i])
+        """The word's path, sought along arcs with the longest token first.
+
+        Every start of a word has one path too, so a place that proves a dead end on
+        the way is never entered again.
+        """
+        n, known, has_arc, reach = len(word), self.known, self.has_arc, self.reach
+        inner, final = self.inner, self.final
+        ids, places, blind = [], [], set()
+        place, before, far = 0, -1, min(n, reach.get(word[:HEAD], HEAD))
+        while True:
+            for to in range(far, place, -1):
+                if to in blind:
+                    continue
+                token = final.get(word[place:to]) if to == n else inner.get(word[place:to])
                 if token is None:
                     continue
-                if j:
-                    before = arc[j]
+                if before >= 0:
                     open_ = known.get(before << 20 | token)
                     if not (has_arc(before, token) if open_ is None else open_):
                         continue
-                came[i], arc[i] = j, token
                 break
-        ids, i = [], n
-        while i > 0:
-            ids.append(arc[i])
-            i = came[i]
-        return ids[::-1]
+            else:
+                blind.add(place)
+                far = place - 1
+                ids.pop()
+                place, before = places.pop(), ids[-1] if ids else -1
+                continue
+            ids.append(token)
+            if to == n:
+                return ids
+            places.append(place)
+            place, before, far = to, token, min(n, to + reach.get(word[to : to + HEAD], HEAD))
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, parted by spaces, as a tokenizer without a decoder gives them."""
@@ -163,7 +178,7 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> tuple[bytes, str]:
         found = self.older.get(chunk)
         if found is None:
-            words = self.words.findall(chunk)
+            words = [chunk] if chunk.isalpha() else self.words.findall(chunk)
             if len(words) == 1:
                 ids = self.automaton.encode(words[0].encode())
                 found = (struct.pack(f"<{len(ids)}I", *ids), self.automaton.decode(ids) if self.labels else "")
