@@ -1,5 +1,8 @@
 """Boundary cases of the single operators on small frames."""
 
+import math
+import re
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
-from tidemark.operators import agreement, alerts, corpus, storage
+from tidemark.operators import agreement, alerts, corpus, ordering, storage
+from tidemark.plans import queries as plans
 from tidemark.sources import views as V
 
 
@@ -134,3 +138,42 @@ def test_export_gates():
     for bad in ((13, 10, False, None, None), (20, 10, True, None, None), (20, 10, False, "2025-01-01", "2025-01-02")):
         with pytest.raises(ValueError, match="export refused"):
             storage.check_export(*bad)
+
+
+def test_keywords_against_plain_python(spark):
+    """The query over a whole table, term by term."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    at = "/root/testdata/sf0.001"
+    stop = set(StopWordsRemover.loadDefaultStopWords("english"))
+    texts = [r.text for r in V.read(spark, at, "benchmark").select("text").collect()]
+    docs = [Counter(w for w in re.findall(r"\b(\w\w+)\b", t.lower()) if w not in stop) for t in texts]
+    df, total = Counter(w for d in docs for w in d), sum(docs, Counter())
+    kept = sorted((w for w in df if df[w] <= 0.8 * len(docs)), key=lambda w: (-total[w], w))[:500]
+    idf = {w: math.log((1 + len(docs)) / (1 + df[w])) + 1 for w in kept}
+    score = Counter()
+    for d in docs:
+        own = {w: n * idf[w] for w, n in d.items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        for w, x in own.items():
+            score[w] += x / norm
+    got = {r.term: r.score for r in plans.keywords(spark, at).collect()}
+    allowed = {w: x for w, x in score.items() if w != "the" and not w.isdigit()}
+    least = sorted(allowed.values(), reverse=True)[len(got) - 1]
+    assert len(got) == min(15, len(allowed))
+    assert all(abs(allowed[w] - x) < 1e-3 and allowed[w] > least - 1e-3 for w, x in got.items())
+
+
+def test_keywords_drop_the_ticker_numbers_and_stop_words(spark):
+    rows = spark.createDataFrame([(1, "The 2330.TW chip 2024 rises"), (2, "chip falls"), (3, "bank falls"), (4, ""), (5, None)], "doc long, text string")
+    found = [r.term for r in corpus.keywords(rows, "2330.TW").collect()]
+    assert "chip" in found and "falls" in found
+    assert not {"the", "2330", "2024"} & set(found)
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 5, 200])
+def test_running_total(spark, ranges):
+    rows = spark.createDataFrame([(x, n) for n, x in enumerate(["b", "a", "é", "", "ab" * 60, "ab" * 50, None], 1)], "k string, n long")
+    found = {r.k: r.upto for r in ordering.running_total(rows, "k", F.col("n"), "upto", ranges).collect()}
+    assert found == {None: 7, "": 11, "a": 13, "ab" * 50: 19, "ab" * 60: 24, "b": 25, "é": 28}
+    assert ordering.running_total(rows.limit(0), "k", F.col("n"), "upto", ranges).count() == 0

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .ordering import running_total
 
 
 def confusion(rows: DataFrame, truth: str = "h", pred: str = "m") -> DataFrame:
@@ -42,10 +43,10 @@ def mcnemar(rows: DataFrame, a: str, b: str, truth: str = "h") -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Rank with ties averaged, from counts of distinct values: only these are ordered in one place."""
-    counts = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(column))
-    ranks = counts.select(F.col(column).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(name))
+    """Rank with ties averaged, from counts of distinct values, which are ordered in ranges."""
+    counts = rows.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running_total(counts, "_v", F.col("_n"), "_upto")
+    ranks = upto.select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return rows.join(ranks, F.col(column) == F.col("_v")).drop("_v")
 
 

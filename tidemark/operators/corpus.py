@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .ordering import running_total
 
 
 def dedup(rows: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def permute_labels(rows: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame:
     """Labels permuted over distinct texts; equal texts share their new label."""
     own = rows.groupBy("text").agg(F.min_by("label", "idx").alias("label"))
     keyed = own.withColumn("h", F.md5(F.concat(F.col("text"), F.lit(f"|{seed}"))))
-    a = keyed.withColumn("n", F.row_number().over(Window.orderBy("text"))).select("text", "n")
-    b = keyed.withColumn("n", F.row_number().over(Window.orderBy("h"))).select(F.col("label").alias("permuted"), "n")
+    a = running_total(keyed, "text", F.lit(1), "n").select("text", "n")
+    b = running_total(keyed, "h", F.lit(1), "n").select(F.col("label").alias("permuted"), "n")
     return rows.join(a.join(b, "n").drop("n"), "text")
 
 
@@ -67,7 +68,9 @@ def char_grams(texts: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
 def most_similar(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Largest tf-idf cosine of each query against the corpus; idf and vocabulary are the corpus's.
 
-    Rare grams come first in the join on shared grams, so a pair needs no cross join.
+    Pairs come from a join on shared grams and are summed in the task before the
+    shuffle. A gram that most texts have pairs all queries with all texts, so the
+    queries are meant to be a stated, small set.
     """
     c, q = char_grams(corpus), char_grams(queries)
     docs = corpus.agg(F.count("*").alias("docs"))

@@ -300,9 +300,20 @@ def keywords(spark, sf):
     return corpus.keywords(docs, "THE").select("term", R("score", 4))
 
 
-@query()
+GRAMS = """x AS (SELECT 'q' AS side, CAST(item_id AS VARCHAR) AS doc, text FROM benchmark UNION ALL SELECT 'c', conv_id || '-' || turn, text FROM conversations WHERE role = 'user'),
+  w AS (SELECT side, doc, ' ' || w || ' ' AS w FROM (SELECT side, doc, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM x) WHERE w <> ''),
+  n AS (SELECT side, doc, w, k, unnest(generate_series(1, length(w) - k + 1)) AS i FROM w, (SELECT unnest([3, 4, 5]) AS k) WHERE length(w) >= k),
+  tf AS (SELECT side, doc, substring(w, i, k) AS gram, count(*) AS tf FROM n GROUP BY ALL),
+  idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM x WHERE side = 'c')) / (1 + count(*))) + 1 AS idf FROM tf WHERE side = 'c' GROUP BY gram),
+  v AS (SELECT side, doc, gram, tf * idf AS w FROM tf JOIN idf USING (gram)),
+  u AS (SELECT side, doc, gram, w / sqrt(sum(w * w) OVER (PARTITION BY side, doc)) AS w FROM v),
+  s AS (SELECT a.doc, sum(a.w * b.w) AS cosine FROM u a JOIN u b USING (gram) WHERE a.side = 'q' AND b.side = 'c' GROUP BY a.doc, b.doc),
+  m AS (SELECT doc, max(cosine) AS cosine FROM s GROUP BY doc)"""
+
+
+@query(f"WITH {GRAMS} SELECT count(*) FILTER (cosine >= 0.9) AS near, count(*) FILTER (cosine >= 0.7 AND cosine < 0.9) AS similar, round(max(cosine), 4) AS most FROM m")
 def contamination(spark, sf):
-    """Each benchmark item's largest cosine with any other benchmark item's n-grams in the conversations."""
+    """How many benchmark items come close to a user's turn: each item's largest cosine over character n-grams."""
     queries = V.read(spark, sf, "benchmark").select(F.col("item_id").alias("doc"), "text")
     turns = V.read(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("doc"), "text")
     sims = corpus.most_similar(queries, turns)
