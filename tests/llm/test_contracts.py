@@ -197,6 +197,30 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     assert total == 888 and len(symbols) == 900
 
 
+def test_repeat_late_in_a_very_long_text(spark):
+    from tidemark.llm import anchored
+
+    rng, length = random.Random(12), 400
+    say = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage = say(1000)
+    rows = [(1, say(2**21 + 5000) + passage + say(300)), (2, say(700) + passage), (3, say(900))]
+    seen = [np.fromiter((hash(t[a : a + length]) for a in range(len(t) - length + 1)), dtype=np.int64) for _, t in rows]
+    values, counts = np.unique(np.concatenate(seen), return_counts=True)
+    want = {}
+    for (i, t), own in zip(rows, seen, strict=True):
+        gone = np.zeros(len(t), dtype=bool)
+        for a in np.flatnonzero(np.isin(own, values[counts > 1])):
+            gone[a : a + length] = True
+        want[i] = (len(t), int(gone.sum()), hashlib.sha256(np.frombuffer(t.encode(), dtype=np.uint8)[~gone].tobytes()).hexdigest())
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(frame, length).collect()}
+    assert got == want and want[1][1] >= 1000
+    parts = list(anchored._pieces(iter([t for _, t in rows]), repeats.SYMBOLS.numbers, length))
+    assert max(len(p[0]) for p in parts) < 2 * anchored.PIECE + length
+    with pytest.raises(ValueError):
+        anchored.runs(anchored.Hashed(np.ones(2**21, dtype=np.uint64)), np.array([0]), np.array([2**21]), length, 64)
+
+
 def brute_print(text):
     raw = (text or "").encode()
     words = [w.lower() for w in SPLIT.findall(raw)]

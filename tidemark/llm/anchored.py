@@ -96,6 +96,8 @@ class Hashed:
 def runs(hashed: Hashed, first: np.ndarray, last: np.ndarray, length: int, anchor: int) -> dict[str, np.ndarray]:
     """Runs of windows in a piece whose sequences are [first, last): position, windows, anchor and content hashes."""
     none = np.empty(0, dtype=np.int64)
+    if hashed.n > int(LOW_BITS):
+        raise ValueError(f"{hashed.n} symbols at once; an anchor's place has room for {int(LOW_BITS)}")
     if hashed.n < length:
         return {"at": none, "n": none, "k": none, "t": none}
     own = hashed.all(anchor, 0)
@@ -155,9 +157,9 @@ def _pieces(texts: Iterator[str], symbols: Callable[[str], np.ndarray], length:
             last.append(size)
             row.append(k)
             offset.append(at)
-        if size >= PIECE:
-            yield np.concatenate(held), first, last, row, offset
-            held, first, last, row, offset, size = [], [], [], [], [], 0
+            if size >= PIECE:
+                yield np.concatenate(held), first, last, row, offset
+                held, first, last, row, offset, size = [], [], [], [], [], 0
     if held:
         yield np.concatenate(held), first, last, row, offset
 
