@@ -450,6 +450,58 @@ def test_chat_stretches_as_plain_viterbi(spark, monkeypatch):
     assert counted(rows_of(chat.recover(turns, model)), "conv_id", "turn", "recovered") == whole
 
 
+@pytest.fixture
+def small_parts(spark):
+    """Shuffled partitions stay apart, however small."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def odd_turns():
+    """A conversation without id, one with a single turn number, one with two numbers, and turns that are equal in all columns."""
+    rng, rows = random.Random(21), []
+    for n, conv, numbers in ((150, None, [None]), (90, 7, [3]), (70, 8, [None, 2**40]), (9, 9, range(9)), (1, 10, [0])):
+        for k in range(n):
+            role = rng.choice(["system", "user", "assistant", "tool", "", None])
+            rows.append((conv, numbers[k % len(numbers)], role, rng.choice([None, "User: hi?", "Assistant: so\nit is", f"text {rng.randint(0, 99)}"])))
+    rows += [(None, None, None, None)] * 60
+    rng.shuffle(rows)
+    return rows, "conv_id long, turn long, role string, text string"
+
+
+def in_order(rows):
+    """Turns of each conversation, nulls first."""
+    first = lambda v: (v is not None, v if v is not None else 0)
+    text = lambda v: (v is not None, (v or "").encode())
+    convs = defaultdict(list)
+    for r in rows:
+        convs[r[0]].append(r)
+    return {c: sorted(own, key=lambda r: (first(r[1]), text(r[2]), text(r[3]))) for c, own in convs.items()}
+
+
+def test_chat_stretches_of_odd_turn_numbers(spark, monkeypatch, small_parts):
+    rows, kind = odd_turns()
+    frame = spark.createDataFrame(rows, kind).repartition(3)
+    rng = np.random.default_rng(5)  # no two paths score alike
+    model = {"start": rng.normal(size=3), "move": 0.5 * rng.normal(size=(3, 3)), "emit": rng.normal(size=(3, chat.SYMBOLS))}
+    symbol = {(r.role, r.text): r.symbol for r in chat.observed(frame).collect()}
+    want = Counter()
+    for conv, own in in_order(rows).items():
+        path = chat.viterbi(model, np.array([symbol[r[2], r[3]] for r in own]), model["start"])
+        want.update((conv, r[1], r[2], chat.ROLES[p]) for r, p in zip(own, path, strict=True))
+    monkeypatch.setattr(chat, "STRETCH", 8)
+    found = sorted(chat.stretches(frame).collect(), key=lambda r: r.stretch)
+    parts, joined = [(r.conv_id, r.stretch, len(r.turns)) for r in found], defaultdict(list)
+    for r in found:
+        joined[r.conv_id] += [(r.conv_id, t.turn, t.role, t.text) for t in r.turns]
+    assert joined == in_order(rows)
+    assert max(n for *_, n in parts) <= 8 and len({s for _, s, _ in parts}) == len(parts)
+    assert len({s >> 32 for c, s, _ in parts if c is None}) > 1
+    assert counted(rows_of(chat.recover(frame, model)), "conv_id", "turn", "role", "recovered") == want
+
+
 def test_chat_markers_and_nulls(spark):
     rows = [(1, 0, None, "User: hello?"), (1, 1, None, "Assistant: hi <|x|>"), (None, None, None, None), (1, 1, None, "Assistant: hi <|x|>")]
     got = chat.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -4,8 +4,9 @@ A turn's observation is its speaker marker and line features (question mark, num
 lines, length). Start, transition and emission counts come from one aggregation over
 all turns that carry a role. Viterbi runs by stretches of a conversation: a stretch is
 summed up by a max-plus matrix between roles, the matrices of a conversation give the
-roles at the stretches' borders, and each stretch is then decoded alone, so a very long
-conversation is no single task.
+roles at the stretches' borders, and each stretch is then decoded alone. Stretches are
+cut by numbers of rows from ranges of the order of all turns, so a very long
+conversation is no single task, whatever its turn numbers.
 
 Null texts are empty turns; null turns come first; ties of turn are ordered by role and
 text; repeated rows are turns of their own; rows without a conversation id form one
@@ -115,16 +116,52 @@ def borders(model: dict[str, np.ndarray], parts: list[np.ndarray]) -> list[tuple
     return out[::-1]
 
 
-def _stretches(turns: DataFrame) -> DataFrame:
-    stretch = F.floor(F.coalesce("turn", F.lit(0)) / STRETCH).alias("stretch")
-    return turns.groupBy("conv_id", stretch).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "symbol"))).alias("turns"))
+def stretches(turns: DataFrame) -> DataFrame:
+    """``conv_id, stretch, turns``: consecutive turns of a conversation, STRETCH at most; ``stretch`` is unique and follows their order.
+
+    All turns are dealt over ranges of their order, and a random salt deals what is
+    equal in every column, so neither a conversation nor a turn number is one task.
+    Each task cuts its sorted rows where the conversation or the count says so.
+    """
+    most, order = STRETCH, ("conv_id", "turn", "role", "text")
+    salted = turns.select(*order, F.rand(11).alias("_salt"))
+    dealt = salted.repartitionByRange(*order, "_salt").sortWithinPartitions(*order)
+    rows = observed(dealt.drop("_salt")).withColumn("_part", F.spark_partition_id())
+    names = ("turn", "role", "text", "symbol")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, done = None, 0
+
+        def found(rows: pa.RecordBatch, edges: np.ndarray) -> dict:
+            own = rows.slice(0, int(edges[-1]))
+            turns = pa.StructArray.from_arrays([own.column(c) for c in names], names=names)
+            number = (rows.column("_part")[0].as_py() << 32) + done + np.arange(len(edges) - 1)
+            return {"conv_id": own.column("conv_id").take(pa.array(edges[:-1])), "stretch": number, "turns": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), turns)}
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            conv = rows.column("conv_id")
+            ids, none = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])])
+            place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
+            edges = np.flatnonzero(place % most == 0)
+            if len(edges) > 1:
+                yield found(rows, edges)
+                done += len(edges) - 1
+            held = rows.slice(int(edges[-1]))  # may go on in the next batch
+        if held is not None:
+            yield found(held, np.array([0, held.num_rows]))
+
+    return common.map_arrow(rows, cut, "conv_id long, stretch long, turns array<struct<turn: long, role: string, text: string, symbol: int>>")
 
 
 def recover(turns: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
     """``conv_id, turn, role, recovered, rendered``: each turn with its recovered role and canonical rendering."""
     model = fit(turns) if model is None else model
     shared = turns.sparkSession.sparkContext.broadcast(model)
-    parts = common.stash(_stretches(observed(turns)), "stretches")
+    parts = common.stash(stretches(turns), "stretches")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
