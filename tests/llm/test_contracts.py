@@ -502,6 +502,25 @@ def test_chat_stretches_of_odd_turn_numbers(spark, monkeypatch, small_parts):
     assert counted(rows_of(chat.recover(frame, model)), "conv_id", "turn", "role", "recovered") == want
 
 
+def test_chat_fit_over_borders_and_unlabelled_turns(spark, monkeypatch, small_parts):
+    rows, kind = odd_turns()
+    frame = spark.createDataFrame(rows, kind).repartition(3)
+    start, move = np.ones(3), np.ones((3, 3))
+    for own in in_order(rows).values():
+        for k, r in enumerate(own):
+            if r[2] in chat.ROLES:
+                to = chat.ROLES.index(r[2])
+                if not k:
+                    start[to] += 1
+                elif own[k - 1][2] in chat.ROLES:
+                    move[chat.ROLES.index(own[k - 1][2]), to] += 1
+    monkeypatch.setattr(chat, "STRETCH", 8)
+    model = chat.fit(frame)
+    assert np.allclose(np.exp(model["start"]), start / start.sum()) and np.allclose(np.exp(model["move"]), move / move.sum(axis=1, keepdims=True))
+    monkeypatch.setattr(chat, "STRETCH", 4096)
+    assert all(np.array_equal(model[k], v) for k, v in chat.fit(frame).items())
+
+
 def test_chat_markers_and_nulls(spark):
     rows = [(1, 0, None, "User: hello?"), (1, 1, None, "Assistant: hi <|x|>"), (None, None, None, None), (1, 1, None, "Assistant: hi <|x|>")]
     got = chat.recover(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -2,7 +2,7 @@
 
 A turn's observation is its speaker marker and line features (question mark, number of
 lines, length). Start, transition and emission counts come from one aggregation over
-all turns that carry a role. Viterbi runs by stretches of a conversation: a stretch is
+all turns that carry a role, over the borders of stretches too. Viterbi runs by stretches of a conversation: a stretch is
 summed up by a max-plus matrix between roles, the matrices of a conversation give the
 roles at the stretches' borders, and each stretch is then decoded alone. Stretches are
 cut by numbers of rows from ranges of the order of all turns, so a very long
@@ -52,10 +52,19 @@ def observed(turns: DataFrame) -> DataFrame:
 
 def fit(turns: DataFrame) -> dict[str, np.ndarray]:
     """Log start, transition and emission probabilities with add-one smoothing, from all turns that carry a role."""
-    own = observed(turns).select("conv_id", "turn", "role", "text", "symbol")
-    order = Window.partitionBy("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / STRETCH)).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    pairs = own.withColumn("before", F.coalesce(F.lag("role").over(order), F.lit("")))
-    pairs = pairs.where(F.col("role").isin(*ROLES)).groupBy("before", "role", "symbol").agg(F.count("*").alias("n"))
+    return fit_stretches(common.stash(stretches(turns), "stretches"))
+
+
+def fit_stretches(parts: DataFrame) -> dict[str, np.ndarray]:
+    """``fit`` on stretches. Only the first turn of a conversation is a start; a turn after one without a known role is neither a start nor a transition."""
+    size = "size(turns)"
+    inside = parts.select(F.expr(f"slice(turns.role, 1, {size} - 1)").alias("before"), F.expr(f"slice(turns.role, 2, {size})").alias("role"), F.expr(f"slice(turns.symbol, 2, {size})").alias("symbol"))
+    inside = inside.select(F.lit(False).alias("opens"), F.inline(F.arrays_zip("before", "role", "symbol")))
+    order = Window.partitionBy("conv_id").orderBy("stretch")
+    ends = parts.select("conv_id", "stretch", F.expr("turns[0].role").alias("role"), F.expr("turns[0].symbol").alias("symbol"), F.expr(f"turns[{size} - 1].role").alias("last"))
+    heads = ends.select((F.row_number().over(order) == 1).alias("opens"), F.lag("last").over(order).alias("before"), "role", "symbol")
+    pairs = inside.union(heads).where(F.col("role").isin(*ROLES)).withColumn("before", F.when(F.col("before").isin(*ROLES), F.col("before")))
+    pairs = pairs.groupBy("opens", "before", "role", "symbol").agg(F.count("*").alias("n"))
     start, move, emit = np.ones(3), np.ones((3, 3)), np.full((3, SYMBOLS), 0.1)
     for k, role in enumerate(ROLES):
         plain, marked = range(SYMBOLS // 4), range((k + 1) * SYMBOLS // 4, (k + 2) * SYMBOLS // 4)
@@ -66,7 +75,7 @@ def fit(turns: DataFrame) -> dict[str, np.ndarray]:
         emit[to, r["symbol"]] += r["n"]
         if r["before"] in ROLES:
             move[ROLES.index(r["before"]), to] += r["n"]
-        elif r["before"] == "":
+        elif r["opens"]:
             start[to] += r["n"]
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
     return {"start": log(start), "move": log(move), "emit": log(emit)}
@@ -159,9 +168,9 @@ def stretches(turns: DataFrame) -> DataFrame:
 
 def recover(turns: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
     """``conv_id, turn, role, recovered, rendered``: each turn with its recovered role and canonical rendering."""
-    model = fit(turns) if model is None else model
-    shared = turns.sparkSession.sparkContext.broadcast(model)
     parts = common.stash(stretches(turns), "stretches")
+    model = fit_stretches(parts) if model is None else model
+    shared = turns.sparkSession.sparkContext.broadcast(model)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
