@@ -111,6 +111,14 @@ def test_warc(spark, tmp_path):
     assert counted(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
 
 
+def test_warc_revisits_of_pages_with_one_id(spark):
+    a, b = "a" * 1500, "b" * 1600
+    pages = spark.createDataFrame([(5, "u", a), (5, "u", b), (3, "u", a), (4, "u", b)], "page_id long, url string, html string")
+    got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive(pages).collect()}
+    own = lambda t: (len(t), hashlib.sha1(t.encode()).hexdigest())
+    assert got == {(5, *own(a), "response", None), (5, *own(b), "response", None), (3, *own(a), "revisit", 5), (4, *own(b), "revisit", 5)}
+
+
 def test_warc_reconstructs_records(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "p" * 1500), (2, "http://b/", "p" * 1500), (3, None, "q")], "page_id long, url string, html string")
     path = str(tmp_path / "archive")

@@ -107,10 +107,11 @@ def read(spark: SparkSession, path: str, archive_id: str) -> DataFrame:
     return rows.withColumn("payload", F.when(F.col("record_type") == "response", checked))
 
 
-def split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exact record headers, and payloads once for each verified digest."""
-    headers = records.drop("payload")
-    payloads = records.where("record_type = 'response'").groupBy("strong").agg(F.first("payload").alias("payload"))
+def split(records: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """Exact record headers, and payloads (or what else is ``carried`` of them) once for each verified digest."""
+    carried = carried or ("payload",)
+    headers = records.drop(*carried)
+    payloads = records.where("record_type = 'response'").groupBy("strong").agg(*(F.first(c).alias(c) for c in carried))
     return headers, payloads
 
 
@@ -122,17 +123,15 @@ def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Write pages as an archive in the shared folder and read it back: one row for each page.
 
-    Revisits take size and digest from the record that they refer to, through a join
-    on ids that carries digests instead of payloads.
+    Revisits are rebuilt by the join of their headers with the payload table on the
+    strong digest in their own header; it carries sizes and digests instead of payloads.
     """
     spark = pages.sparkSession
     archive_id = str(uuid.uuid4())
     path = f"{common.shared_dir(spark)}/warc-{archive_id}"
     write(pages, path, archive_id, least)
-    rows = read(spark, path, archive_id).select(
-        "page_id", "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to"
-    )
-    rows = common.stash(rows, "records")
-    stored = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("_page")).agg(F.first("payload_bytes").alias("_bytes"), F.first("payload_digest").alias("_digest"))
-    revisits = rows.where("record_type = 'revisit'").join(stored, F.col("refers_to") == F.col("_page")).select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to", "url")
+    payload = (F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("payload_digest"))
+    rows = common.stash(read(spark, path, archive_id).select("page_id", "url", "strong", *payload, "record_type", "refers_to"), "records")
+    headers, payloads = split(rows, "payload_bytes", "payload_digest")
+    revisits = reconstruct(headers.where("record_type = 'revisit'"), payloads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
     return rows.where("record_type = 'response'").select(*revisits.columns).union(revisits)
