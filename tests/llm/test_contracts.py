@@ -395,6 +395,33 @@ def test_dominance_keeps_optimum():
         assert fixed + optimum(left, capacity) == optimum(items, capacity) <= used
 
 
+def test_best_fit_fills_one_sequence_before_the_next():
+    for capacity, items in ((400, [250, 250, 50, 50] + [36] * 5), (200, [115, 115] + [36] * 3 + [20] * 4), (40, [21, 21, 21] + [7] * 5 + [3] * 6)):
+        counts = np.bincount(items, minlength=capacity + 1)
+        want = []
+        for x in sorted(items, reverse=True):
+            fits = [k for k, room in enumerate(want) if room >= x]
+            if fits:
+                want[min(fits, key=want.__getitem__)] -= x
+            else:
+                want.append(capacity - x)
+        got = [capacity - sum(lengths) for lengths, times in packing.best_fit(counts, capacity) for _ in range(times)]
+        assert sorted(got) == sorted(want)
+
+
+def test_dominance_of_three_keeps_optimum():
+    rng, threes = random.Random(10), 0
+    for _ in range(300):
+        capacity = 30
+        items = [rng.randint(5, capacity) for _ in range(rng.randint(3, 9))]
+        counts = np.bincount(items, minlength=capacity + 1)
+        fixed = packing.reduce_by_dominance(counts, capacity)
+        threes += sum(n for lengths, n in fixed if len(lengths) == 3)
+        left = [x for x in range(capacity + 1) for _ in range(int(counts[x]))]
+        assert sum(n for _, n in fixed) + optimum(left, capacity) == optimum(items, capacity)
+    assert threes > 0
+
+
 def optimum(items, capacity):
     items = sorted(items, reverse=True)
     best = [len(items)]

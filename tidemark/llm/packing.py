@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,8 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[tuple[i
 
     {a} dominates if nothing fits beside a. {a, b}, b the largest that fits, dominates
     if it fills the sequence, or if every other selection beside a sums to at most b.
+    {a, b, c}, c the largest that fits beside both, dominates if no three fit beside a
+    and of every two that do, the smaller is at most c or both sum to at most b.
     """
     fixed = []
     changed = True
@@ -72,7 +75,17 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[tuple[i
                     break
                 b = int(there[-1])
                 if b != room and _beats(there, counts, b, room):
-                    break
+                    counts[a] -= 1
+                    c = _third(there, counts, b, room)
+                    counts[a] += 1
+                    if not c:
+                        break
+                    times = min(int(counts[x]) // n for x, n in Counter((a, b, c)).items())
+                    fixed.append(((a, b, c), times))
+                    for x in (a, b, c):
+                        counts[x] -= times
+                    changed = True
+                    continue
                 times = int(counts[a]) // 2 if a == b else int(min(counts[a], counts[b]))
                 fixed.append(((a, b), times))
                 counts[a] -= times
@@ -97,6 +110,22 @@ def _beats(there: np.ndarray, counts: np.ndarray, b: int, room: int) -> bool:
     return bool(sums >> (b + 1))
 
 
+def _third(there: np.ndarray, counts: np.ndarray, b: int, room: int) -> int:
+    """The length that makes a dominating set of three with ``b``, or 0. ``counts`` are without the first item."""
+    least = np.repeat(there, np.minimum(counts[there], 3))[:3]
+    if len(least) == 3 and least.sum() <= room:
+        return 0
+    beside = there[(there <= room - b) & (counts[there] > (there == b))]
+    if not len(beside):
+        return 0
+    c = int(beside[-1])
+    for q in map(int, there[there > c]):
+        p = there[(there >= q) & (there <= room - q) & (there + q > b)]
+        if len(p) and (p[-1] > q or counts[q] > 1):
+            return 0
+    return c
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit, largest first, over runs of equal lengths: (lengths, how often)."""
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -125,12 +154,16 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
             if not open_[room]:
                 del open_[room]
                 rooms.pop(k)
-            each = min(room // size, max(1, left // times))
+            each = room // size
             used = min(times, left // each)
+            if used:
+                add(room - each * size, lengths + (size,) * each, used)
+                left -= used * each
+            if used < times and left:  # fewer than one sequence takes
+                add(room - left * size, lengths + (size,) * left, 1)
+                used, left = used + 1, 0
             if used < times:
                 add(room, lengths, times - used)
-            add(room - each * size, lengths + (size,) * each, used)
-            left -= used * each
     return [x for groups in open_.values() for x in groups]
 
 
