@@ -177,3 +177,10 @@ def test_running_total(spark, ranges):
     found = {r.k: r.upto for r in ordering.running_total(rows, "k", F.col("n"), "upto", ranges).collect()}
     assert found == {None: 7, "": 11, "a": 13, "ab" * 50: 19, "ab" * 60: 24, "b": 25, "é": 28}
     assert ordering.running_total(rows.limit(0), "k", F.col("n"), "upto", ranges).count() == 0
+
+
+def test_keywords_of_a_single_title(spark):
+    rows = spark.createDataFrame([(1, "2330 chip sales rise and the chip")], "doc long, text string")
+    got = [(r.term, round(r.score, 4)) for r in corpus.keywords(rows, "2330.TW").collect()]
+    assert got == [("chip", 0.7559), ("rise", 0.378), ("sales", 0.378)]
+    assert corpus.keywords(rows.where("doc = 2"), "2330.TW").count() == 0

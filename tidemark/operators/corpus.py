@@ -41,13 +41,15 @@ def permute_labels(rows: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame:
 
 
 def keywords(titles: DataFrame, ticker: str, n: int = 15, max_df: float = 0.8, features: int = 500) -> DataFrame:
-    """Terms by summed L2-normalised tf-idf; ticker, all-digit and stop words drop out; ties go by term."""
+    """Terms by summed L2-normalised tf-idf; ticker, all-digit and stop words drop out; ties go by term. ``max_df`` holds if any term passes it."""
     stop = StopWordsRemover.loadDefaultStopWords("english")
     tokens = titles.select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))).alias("term"))
     tokens = tokens.where(~F.col("term").isin(*stop))
     tf = tokens.groupBy("doc", "term").agg(F.count("*").alias("tf"))
     docs = titles.agg(F.count("*").alias("docs"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(docs)).where(F.col("df") <= max_df * F.col("docs"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).join(F.broadcast(docs)).withColumn("rare", F.col("df") <= max_df * F.col("docs"))
+    some = df.agg(F.max("rare").alias("some"))
+    df = df.join(F.broadcast(some)).where("rare or not some").drop("rare", "some")
     top = df.orderBy(F.desc("total"), "term").limit(features).withColumn("idf", F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)
     weighted = tf.join(F.broadcast(top.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
