@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -84,11 +85,32 @@ def test_bpe_as_the_library(spark, docs):
 
 
 def test_automaton_on_repetitive_words():
-    tokenizer, encoder = Tokenizer.from_file(queries.VOCABULARY), bpe.Encoder(bpe.read_vocabulary(queries.VOCABULARY))
+    tokenizer, encoder = Tokenizer.from_file(queries.VOCABULARY), bpe.Encoder(bpe.compiled(queries.VOCABULARY))
     for text in ("a" * 200, "anan" * 50, "hahahahhahaa", "ththth", "x" * 2000, "!!!???''s", "ééééé", "12345", "🙂🙂"):
         assert list(memoryview(encoder.ids(text)).cast("I")) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_kind_of_letter_as_the_library():
+    tokenizer, encoder = Tokenizer.from_file(queries.VOCABULARY), bpe.Encoder(bpe.compiled(queries.VOCABULARY))
+    odd = [c for a, b in bpe.UNKNOWN for c in {a, b}] + [*bpe.LOWER, *bpe.LOWER.values(), *range(0x3000), *range(0x3000, 0x110000, 97)]
+    texts = [f"a{chr(c)}a b{chr(c)} {chr(c)}I" for c in odd if not 0xD800 <= c < 0xE000]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert list(memoryview(encoder.ids(text)).cast("I")) == want.ids, hex(ord(text[1]))
+
+
+def test_encoder_that_starts_anew(monkeypatch):
+    tokenizer, encoder = Tokenizer.from_file(queries.VOCABULARY), bpe.Encoder(bpe.compiled(queries.VOCABULARY))
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "STATES", 7)
+    text = " ".join(t for _, t in corpus() if t)[:20000]
+    assert list(memoryview(encoder.ids(text)).cast("I")) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_an_error():
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.read_vocabulary(queries.VOCABULARY.replace("word_bpe_49k", "byte_bpe_50k"))
+
+
 def test_general_encoder_gives_ids(spark, docs):
     row = bpe.encode_documents(common.documents(spark, docs).where("doc_id = 4"), queries.VOCABULARY, ids=True).first()
     assert len(row.ids) == row.n_tokens and row.decoded == "one</w> two</w> three</w>"
@@ -111,6 +133,16 @@ def test_warc(spark, tmp_path):
     assert counted(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
 
 
+def test_sql_of_the_operators(spark):
+    duck, at = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents", "pages"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{at}/{name}.parquet')")
+    for name, sql in queries.ORACLE_SQL.items():
+        cur = duck.execute(sql)
+        names = [c[0] for c in cur.description]
+        assert counted(rows_of(queries.QUERIES[name](spark, at)), *names) == Counter(cur.fetchall())
+
+
 def test_warc_revisits_of_pages_with_one_id(spark):
     a, b = "a" * 1500, "b" * 1600
     pages = spark.createDataFrame([(5, "u", a), (5, "u", b), (3, "u", a), (4, "u", b)], "page_id long, url string, html string")

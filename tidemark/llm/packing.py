@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int = 0
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = bpe.worker_encoder(shared, False)
+        encoder = bpe.worker_encoder(shared)
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.text_rows(batch), strict=True):

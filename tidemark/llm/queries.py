@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
+
 from . import bpe, chat, common, media, neighbours, packing, repeats, simhash, substrings, toxicity, warc
 
 #: Where the tokenizer's file is; a parameter of the operators.
-VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
+VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe(spark, sf_dir):
@@ -60,7 +62,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc": """
-        WITH p AS (SELECT page_id, CAST(coalesce(html, '') AS BLOB) AS b FROM pages),
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest, b FROM p),
         m AS (SELECT *, max(page_id) OVER (PARTITION BY b) AS response_id FROM d)
         SELECT page_id, payload_bytes, payload_digest,
