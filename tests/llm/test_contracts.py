@@ -223,6 +223,32 @@ def test_buckets_whole_and_split(spark, monkeypatch, cells):
     assert got == want
 
 
+def test_regular_texts_are_told_apart(spark):
+    """A word of Thue and Morse and its complement agree in any polynomial modulo 2^64."""
+    rng = random.Random(15)
+    say = lambda: "".join(rng.choices("cdefghijk", k=230))
+    before, after = say(), say()
+    middle = "c"
+    while len(middle) < 256:
+        middle += middle.translate(str.maketrans("cy", "yc"))
+    frame = spark.createDataFrame([(1, before + middle + after), (2, before + middle.translate(str.maketrans("cy", "yc")) + after)], "doc_id long, text string")
+    assert [r.n_removed for r in repeats.remove_repeats(frame).collect()] == [0, 0]
+
+
+def test_field_arithmetic():
+    from tidemark.llm import anchored
+
+    rng = random.Random(4)
+    x = [rng.randrange(anchored.PRIME) for _ in range(500)] + [0, 1, anchored.PRIME - 1]
+    y = x[::-1]
+    a, b = (np.array(v, dtype=np.uint64) for v in (x, y))
+    assert anchored.product(a, b).tolist() == [p * q % anchored.PRIME for p, q in zip(x, y, strict=True)]
+    assert anchored.running(a).tolist() == [sum(x[:k]) % anchored.PRIME for k in range(len(x) + 1)]
+    for point, (power, inverse) in zip(anchored.POINTS, anchored.POWERS.in_field(900), strict=True):
+        assert power[:900].tolist() == [pow(point, k, anchored.PRIME) for k in range(900)]
+        assert (anchored.product(power, inverse) == 1).all()
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     from tidemark.llm import anchored
 
@@ -234,7 +260,7 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     total = 0
     for joined, first, last, _, _ in parts:
         total += int(anchored.runs(anchored.Hashed(joined), np.array(first), np.array(last), 13, 5)["n"].sum())
-    assert total == 888 and len(symbols) == 900
+    assert total == 888 and symbols.shape[1] == 900
 
 
 def test_repeat_late_in_a_very_long_text(spark):
@@ -256,9 +282,9 @@ def test_repeat_late_in_a_very_long_text(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(frame, length).collect()}
     assert got == want and want[1][1] >= 1000
     parts = list(anchored._pieces(iter([t for _, t in rows]), repeats.SYMBOLS.numbers, length))
-    assert max(len(p[0]) for p in parts) < 2 * anchored.PIECE + length
+    assert max(p[0].shape[1] for p in parts) < 2 * anchored.PIECE + length
     with pytest.raises(ValueError):
-        anchored.runs(anchored.Hashed(np.ones(2**21, dtype=np.uint64)), np.array([0]), np.array([2**21]), length, 64)
+        anchored.runs(anchored.Hashed(np.ones((1, 2**21), dtype=np.uint64)), np.array([0]), np.array([2**21]), length, 64)
 
 
 def brute_print(text):

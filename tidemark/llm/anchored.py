@@ -12,8 +12,11 @@ stands for all of them. Equal windows are anchored alike, so
 4. an anchor with more classes than one task should hold is split: its runs are cut
    into short stretches by the windows' distance from the anchor. What all windows of a
    stretch have in common is its core; stretches whose core occurs once go, and the
-   windows of the others are told apart by 128-bit fingerprints, grouped with map-side
-   combine.
+   windows of the others are grouped with map-side combine.
+Equal content, of runs in 2 and of windows in 4, means equal values of two polynomials
+over their symbols, at two points drawn once from the field of 2^61 - 1 elements. Two
+given sequences of n symbols that differ agree in both with a chance below (n / 2^61)^2.
+The smallest hashes only choose anchors and buckets; a collision there costs time.
 No step needs the rows of a hot key in one task; joins are sort-merge joins that adaptive
 execution can split.
 """
@@ -31,8 +34,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Odd multipliers of the two fingerprints, and of the hash that orders anchors.
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: An odd multiplier for the hash that orders anchors.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The field of the fingerprints and the points at which they are taken, drawn from a fixed seed.
+PRIME = (1 << 61) - 1
+POINTS = tuple(map(int, np.random.default_rng(61).integers(1 << 40, PRIME, 2)))
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Symbols handled at once; longer texts are cut into pieces that overlap by a window.
 PIECE = 1 << 19
@@ -50,57 +56,100 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def field(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^64 modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of field elements, from halves of 31 bits: 2^62 is 2 there, and 2^61 is 1."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    mid = ah * bl + al * bh
+    return field(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half) + al * bl)
+
+
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... field elements."""
+    out = np.zeros(len(x) + 1, dtype=np.uint64)
+    high = np.cumsum(x >> np.uint64(32))
+    shifted = (high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    out[1:] = field(field(shifted) + field(np.cumsum(x & np.uint64((1 << 32) - 1))))
+    return out
+
+
 class Powers:
-    """Powers of the bases and of their inverses modulo 2^64, as far as a piece needs them."""
+    """Powers of numbers and of their inverses as far as a piece needs them: of BASE modulo 2^64, and of POINTS in the field."""
 
     def __init__(self):
-        self.of: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if not self.of or len(self.of[0][0]) < n:
-            self.of = []
-            for base in BASES:
-                pair = []
-                for b in (int(base), pow(int(base), -1, 1 << 64)):
-                    steps = np.full(n, b, dtype=np.uint64)
-                    steps[0] = 1
-                    pair.append(np.multiply.accumulate(steps))
-                self.of.append(tuple(pair))
-        return self.of
+        self.plain: tuple[np.ndarray, ...] = ()
+        self.points: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def upto(self, n: int) -> tuple[np.ndarray, ...]:
+        if not self.plain or len(self.plain[0]) < n:
+            found = []
+            for b in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+                steps = np.full(n, b, dtype=np.uint64)
+                steps[0] = 1
+                found.append(np.multiply.accumulate(steps))
+            self.plain = tuple(found)
+        return self.plain
+
+    def in_field(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.points or len(self.points[0][0]) < n:
+            self.points = [(self._doubled(b, n), self._doubled(pow(b, -1, PRIME), n)) for b in POINTS]
+        return self.points
+
+    @staticmethod
+    def _doubled(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, dtype=np.uint64)
+        while len(out) < n:
+            out = np.concatenate([out, product(out, np.uint64(pow(base, len(out), PRIME)))])
+        return out[:n]
 
 
 POWERS = Powers()
 
 
 class Hashed:
-    """Fingerprints of any stretch of a symbol sequence from two running sums."""
+    """Hashes of any stretch of a symbol sequence from running sums.
+
+    ``symbols`` has a row of numbers, or two that are independent of each other, one for each point.
+    """
 
     def __init__(self, symbols: np.ndarray):
-        self.n, self.sums = len(symbols), []
-        self.powers = POWERS.upto(max(2 * PIECE, len(symbols)) + 1)
-        for power, _ in self.powers:
-            total = np.zeros(len(symbols) + 1, dtype=np.uint64)
-            np.cumsum(symbols * power[: len(symbols)], out=total[1:])
-            self.sums.append(total)
-
-    def of(self, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        total, inverse = self.sums[which], self.powers[which][1]
-        return mixed((total[end] - total[start]) * inverse[start])
-
-    def all(self, length: int, which: int) -> np.ndarray:
-        total, inverse = self.sums[which], self.powers[which][1]
+        self.symbols, self.n = symbols, symbols.shape[1]
+        self.room = max(2 * PIECE, self.n) + 1
+        power, self.inverse = POWERS.upto(self.room)
+        self.total = np.zeros(self.n + 1, dtype=np.uint64)
+        np.cumsum(symbols[0] * power[: self.n], out=self.total[1:])
+        self.sums: list[np.ndarray] = []
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.total[end] - self.total[start]) * self.inverse[start])
+
+    def all(self, length: int) -> np.ndarray:
         n = self.n - length + 1
-        return mixed((total[length:] - total[:n]) * inverse[:n])
+        return mixed((self.total[length:] - self.total[:n]) * self.inverse[:n])
+
+    def prints(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Fingerprints of stretches, one for each point."""
+        points = POWERS.in_field(self.room)
+        if not self.sums:
+            self.sums = [running(product(field(row), power[: self.n])) for row, (power, _) in zip((self.symbols[0], self.symbols[-1]), points, strict=True)]
+        prime = np.uint64(PRIME)
+        return [product(field(total[end] + prime - total[start]), inverse[start]).view(np.int64) for total, (_, inverse) in zip(self.sums, points, strict=True)]
 
 
 def runs(hashed: Hashed, first: np.ndarray, last: np.ndarray, length: int, anchor: int) -> dict[str, np.ndarray]:
-    """Runs of windows in a piece whose sequences are [first, last): position, windows, anchor and content hashes."""
+    """Runs of windows in a piece whose sequences are [first, last): position, windows and anchor's hash."""
     none = np.empty(0, dtype=np.int64)
     if hashed.n > int(LOW_BITS):
         raise ValueError(f"{hashed.n} symbols at once; an anchor's place has room for {int(LOW_BITS)}")
     if hashed.n < length:
-        return {"at": none, "n": none, "k": none, "t": none}
-    own = hashed.all(anchor, 0)
+        return {"at": none, "n": none, "k": none}
+    own = hashed.all(anchor)
     keys = own & ~LOW_BITS | np.arange(len(own), dtype=np.uint64)
     span, power, low = length - anchor + 1, 1, keys
     while 2 * power <= span:
@@ -124,14 +173,14 @@ def runs(hashed: Hashed, first: np.ndarray, last: np.ndarray, length: int, ancho
     ends = np.r_[at[1:], windows]
     n = upto[ends - 1] - upto[at] + 1
     spot = place[at]
-    return {"at": at, "n": n, "k": own[spot].view(np.int64), "t": (hashed.of(at, at + n + length - 1, 1) ^ n.astype(np.uint64)).view(np.int64)}
+    return {"at": at, "n": n, "k": own[spot].view(np.int64)}
 
 
 @dataclass(frozen=True)
 class Symbols:
     """How a text is read as symbols.
 
-    ``numbers``: a 64-bit number for each symbol of a text, from which hashes are made.
+    ``numbers``: rows of a number below 2^61 for each symbol of a text, from which hashes are made.
     ``split``: the symbols themselves; ``pack``: some of them as one string.
     ``units``: the symbols of packed strings in a row as unsigned big-endian numbers that are equal only for equal symbols.
     """
@@ -147,21 +196,21 @@ def _pieces(texts: Iterator[str], symbols: Callable[[str], np.ndarray], length:
     held, first, last, row, offset, size = [], [], [], [], [], 0
     for k, text in enumerate(texts):
         own = symbols(text)
-        for at in range(0, max(len(own) - length, 0) + 1, PIECE):
-            part = own[at : at + PIECE + length - 1]
-            if len(part) < length:
+        for at in range(0, max(own.shape[1] - length, 0) + 1, PIECE):
+            part = own[:, at : at + PIECE + length - 1]
+            if part.shape[1] < length:
                 continue
             held.append(part)
             first.append(size)
-            size += len(part)
+            size += part.shape[1]
             last.append(size)
             row.append(k)
             offset.append(at)
             if size >= PIECE:
-                yield np.concatenate(held), first, last, row, offset
+                yield np.concatenate(held, axis=1), first, last, row, offset
                 held, first, last, row, offset, size = [], [], [], [], [], 0
     if held:
-        yield np.concatenate(held), first, last, row, offset
+        yield np.concatenate(held, axis=1), first, last, row, offset
 
 
 def text_key(column: str = "text"):
@@ -170,19 +219,21 @@ def text_key(column: str = "text"):
 
 
 def run_rows(docs: DataFrame, symbols: Symbols, length: int, anchor: int) -> DataFrame:
-    """``doc_id, tkey, at, n, k, t``: every run of every text."""
+    """``doc_id, tkey, at, n, k, t, u``: every run of every text; ``t, u`` are its content's fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             ids, keys = (batch.column(c) for c in ("doc_id", "tkey"))
             for joined, first, last, row, offset in _pieces(common.text_rows(batch), symbols.numbers, length):
                 first, last, row, offset = (np.array(x, dtype=np.int64) for x in (first, last, row, offset))
-                found = runs(Hashed(joined), first, last, length, anchor)
+                hashed = Hashed(joined)
+                found = runs(hashed, first, last, length, anchor)
+                t, u = hashed.prints(found["at"], found["at"] + found["n"] + length - 1)
                 which = np.searchsorted(first, found["at"], side="right") - 1
                 rows = pa.array(row[which])
-                yield {"doc_id": ids.take(rows), "tkey": keys.take(rows), "at": (found["at"] - first[which] + offset[which]).astype(np.int32), "n": found["n"].astype(np.int32), "k": found["k"], "t": found["t"]}
+                yield {"doc_id": ids.take(rows), "tkey": keys.take(rows), "at": (found["at"] - first[which] + offset[which]).astype(np.int32), "n": found["n"].astype(np.int32), "k": found["k"], "t": t, "u": u}
 
-    return common.map_arrow(docs.select("doc_id", text_key(), "text"), run, "doc_id long, tkey long, at int, n int, k long, t long")
+    return common.map_arrow(docs.select("doc_id", text_key(), "text"), run, "doc_id long, tkey long, at int, n int, k long, t long, u long")
 
 
 def anchor_counts(docs: DataFrame, symbols: Symbols, length: int, anchor: int) -> DataFrame:
@@ -225,37 +276,37 @@ def flagged(docs: DataFrame, symbols: Symbols, length: int, anchor: int, earlier
     every = run_rows(docs, symbols, length, anchor)
     rows = common.stash(_dealt_join(every, often, often, ["k"]).select(*every.columns), "runs")
     common.discard(often)
-    classes = rows.groupBy("k", "t").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "tkey", "at", "n")).alias("one"))
+    classes = rows.groupBy("k", "t", "u").agg(F.count("*").alias("c"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "tkey", "at", "n")).alias("one"))
     classes = common.stash(classes, "classes")
     most = max(1, CELLS // (length - anchor + 1))
     several = classes.groupBy("k").agg(F.count("*").alias("_classes"), F.min("c").alias("_least"))
     several = several.where("_classes > 1" if earlier else "_classes > 1 and _least = 1").select("k", (F.col("_classes") > most).alias("wide"))
-    run = F.struct("one.at", "one.n", "k", "t", "c", F.coalesce("low", F.lit(0)).alias("low"), "wide")
+    run = F.struct("one.at", "one.n", "k", "t", "u", "c", F.coalesce("low", F.lit(0)).alias("low"), "wide")
     unsure = classes.join(several, "k").groupBy("one.doc_id", "one.tkey").agg(F.collect_list(run).alias("runs"))
     packed = common.stash(_packed(docs, unsure, symbols, length, anchor), "packed")
-    buckets = packed.where("core is null").select("k", "t", "c", "low", "n", "spot", "packed").repartition("k").sortWithinPartitions("k")
-    stretches = packed.where("core is not null").select("core", "k", "t", "c", "low", "o", "prints")
+    buckets = packed.where("core is null").select("k", "t", "u", "c", "low", "n", "spot", "packed").repartition("k").sortWithinPartitions("k")
+    stretches = packed.where("core is not null").select("core", "k", "t", "u", "c", "low", "o", "prints")
     cores = stretches.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
-    windows = stretches.join(cores, "core", "left_semi").select("core", "k", "t", "c", "low", "o", F.posexplode("prints").alias("_more", "w"))
-    windows = common.stash(windows.select("core", "w", "k", "t", "c", "low", (F.col("o") + F.col("_more")).alias("o")), "windows")
+    windows = stretches.join(cores, "core", "left_semi").select("core", "k", "t", "u", "c", "low", "o", F.posexplode("prints").alias("_more", "w"))
+    windows = common.stash(windows.select("core", "w", "k", "t", "u", "c", "low", (F.col("o") + F.col("_more")).alias("o")), "windows")
     shared = windows.groupBy("core", "w").agg(F.count("*").alias("_c"), F.min("low").alias("_low")).where("_c > 1")
     again = windows.join(shared, ["core", "w"])
     again = again.where("_low < low") if earlier else again.where("c = 1")
-    split = again.groupBy("k", "t").agg(F.collect_list("o").alias("spots"))
+    split = again.groupBy("k", "t", "u").agg(F.collect_list("o").alias("spots"))
     spots = common.stash(_bucket_spots(buckets, symbols, length, anchor, earlier).unionByName(split), "spots")
     common.discard(packed)
     common.discard(windows)
-    judged = classes.select("k", "t", "c", "low").join(spots, ["k", "t"], "left")
-    both = _dealt_join(rows, judged, classes, ["k", "t"])
+    judged = classes.select("k", "t", "u", "c", "low").join(spots, ["k", "t", "u"], "left")
+    both = _dealt_join(rows, judged, classes, ["k", "t", "u"])
     whole = F.col("low") < F.col("doc_id") if earlier else F.col("c") > 1
     stretches = F.when(whole, F.array(F.struct("at", "n"))).otherwise(F.transform(F.coalesce("spots", F.array().cast("array<int>")), lambda o: F.struct((F.col("at") + o).alias("at"), F.lit(1).alias("n"))))
-    return both.where(whole | F.col("spots").isNotNull()).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list(stretches)).alias("found"))
+    return both.where(whole | F.col("spots").isNotNull()).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_set(stretches)).alias("found"))
 
 
 def _packed(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int, anchor: int) -> DataFrame:
     """The given runs as packed strings, those of wide buckets as stretches.
 
-    ``k, t, c, low`` of the run; for packed strings ``n`` windows and ``spot``, the
+    ``k, t, u, c, low`` of the run; for packed strings ``n`` windows and ``spot``, the
     anchor's place in the string; for stretches ``core``, the first window's place ``o``
     in its run and ``prints``, the windows' fingerprints.
     """
@@ -264,11 +315,11 @@ def _packed(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int, a
     both = texts.join(own, texts.doc_id.eqNullSafe(own._id) & (F.col("tkey") == F.col("_key"))).select("text", "runs")
     most = length - anchor
     step = max(1, most // 15)
-    names = ("k", "t", "c", "low")
+    names = ("k", "t", "u", "c", "low")
 
     def strings(held: list[dict], packed: list[bytes]) -> dict:
         out = {c: np.concatenate([h[c] for h in held]) for c in (*names, "n", "spot")}
-        return out | {"packed": packed, "core": pa.nulls(len(packed)), "o": pa.nulls(len(packed)), "prints": pa.nulls(len(packed), pa.list_(pa.int64()))}
+        return out | {"packed": packed, "core": pa.nulls(len(packed)), "o": pa.nulls(len(packed)), "prints": pa.nulls(len(packed))}
 
     def stretches(hashed: Hashed, start: np.ndarray, many: np.ndarray, spot: np.ndarray, run_of: dict) -> dict:
         which = np.repeat(np.arange(len(start)), many)
@@ -278,26 +329,26 @@ def _packed(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int, a
         heads = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (part[1:] != part[:-1])])
         row, near = which[heads], part[heads] * step
         far = np.minimum(near + step - 1, most)
-        prints = hashed.of(first, first + length, 1).view(np.int64)
+        prints = pa.StructArray.from_arrays(hashed.prints(first, first + length), names=["a", "b"])
         return {c: run_of[c][row] for c in names} | {
-            "core": hashed.of(spot[row] - near, spot[row] - far + length, 0).view(np.int64),
+            "core": hashed.of(spot[row] - near, spot[row] - far + length).view(np.int64),
             "o": o[heads].astype(np.int32),
-            "prints": pa.ListArray.from_arrays(pa.array(np.r_[heads, len(which)].astype(np.int32)), pa.array(prints)),
+            "prints": pa.ListArray.from_arrays(pa.array(np.r_[heads, len(which)].astype(np.int32)), prints),
         } | {c: pa.nulls(len(heads)) for c in ("n", "spot", "packed")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held, strings_held = [], []
         for batch in batches:
             for text, found in zip(common.text_rows(batch), batch.column("runs"), strict=True):
-                at, n, *rest, wide = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(7))
+                at, n, *rest, wide = (found.values.field(i).to_numpy(zero_copy_only=False) for i in range(8))
                 numbers, seq = symbols.numbers(text), symbols.split(text)
-                for piece in range(0, len(numbers), PIECE):
+                for piece in range(0, numbers.shape[1], PIECE):
                     inside = np.flatnonzero((at >= piece) & (at < piece + PIECE))
                     if not len(inside):
                         continue
-                    hashed = Hashed(numbers[piece : piece + PIECE + length - 1])
+                    hashed = Hashed(numbers[:, piece : piece + PIECE + length - 1])
                     start, many = at[inside].astype(np.int64) - piece, n[inside].astype(np.int64)
-                    keys = hashed.all(anchor, 0) & ~LOW_BITS
+                    keys = hashed.all(anchor) & ~LOW_BITS
                     spot = np.array([a + m - 1 + int(keys[a + m - 1 : a + most + 1].argmin()) for a, m in zip(start.tolist(), many.tolist(), strict=True)])
                     hot = wide[inside]
                     for kind in (True, False):
@@ -316,7 +367,7 @@ def _packed(docs: DataFrame, unsure: DataFrame, symbols: Symbols, length: int, a
         if held:
             yield strings(held, strings_held)
 
-    return common.map_arrow(both, run, "k long, t long, c long, low long, n int, spot int, packed binary, core long, o int, prints array<long>")
+    return common.map_arrow(both, run, "k long, t long, u long, c long, low long, n int, spot int, packed binary, core long, o int, prints array<struct<a: long, b: long>>")
 
 
 def _sorted_groups(keys: list[bytes], width: int, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,11 +431,11 @@ def _repeated(rows: dict, packed: list[bytes], symbols: Symbols, length: int, an
 
 
 def _bucket_spots(buckets: DataFrame, symbols: Symbols, length: int, anchor: int, earlier: bool) -> DataFrame:
-    """``k, t, spots``: the repeated windows of each packed run; the rows of a bucket come one after another."""
+    """``k, t, u, spots``: the repeated windows of each packed run; the rows of a bucket come one after another."""
     most = max(1, CELLS // (length - anchor + 1))
 
     def judge(batch: pa.RecordBatch) -> Iterator[dict]:
-        rows = {x: batch.column(x).to_numpy() for x in ("k", "t", "c", "low", "n", "spot")}
+        rows = {x: batch.column(x).to_numpy() for x in ("k", "t", "u", "c", "low", "n", "spot")}
         packed = batch.column("packed").to_pylist()
         heads = np.flatnonzero(np.r_[True, rows["k"][1:] != rows["k"][:-1]])
         cuts = heads[np.flatnonzero(np.r_[True, heads[1:] // most != heads[:-1] // most])].tolist() + [len(packed)]
@@ -393,7 +444,7 @@ def _bucket_spots(buckets: DataFrame, symbols: Symbols, length: int, anchor: int
             found = list(_repeated(part, packed[low:high], symbols, length, anchor, earlier))
             if found:
                 of = [i for i, _ in found]
-                yield {"k": part["k"][of], "t": part["t"][of], "spots": [places for _, places in found]}
+                yield {x: part[x][of] for x in ("k", "t", "u")} | {"spots": [places for _, places in found]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[pa.RecordBatch] = []
@@ -414,7 +465,7 @@ def _bucket_spots(buckets: DataFrame, symbols: Symbols, length: int, anchor: int
         if held:
             yield from judge(pa.concat_batches(held))
 
-    return common.map_arrow(buckets, run, "k long, t long, spots array<int>")
+    return common.map_arrow(buckets, run, "k long, t long, u long, spots array<int>")
 
 
 def covered(n: int, found, length: int) -> np.ndarray:

@@ -28,11 +28,11 @@ from . import anchored, common
 
 TRIGGER_BYTES = 64
 #: A random number for each byte value, from a fixed seed.
-BYTES = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64)
+BYTES = np.random.default_rng(2024).integers(1, anchored.PRIME, 256, dtype=np.uint64)
 
 
 def _numbers(text: str) -> np.ndarray:
-    return BYTES[np.frombuffer(text.encode(), dtype=np.uint8)]
+    return BYTES[np.frombuffer(text.encode(), dtype=np.uint8)][None]
 
 
 def _units(packed: list[bytes]) -> np.ndarray:

@@ -13,6 +13,7 @@ rows of one id are not earlier than each other; other columns stay.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +29,23 @@ REMEMBERED = 500_000
 
 
 class WordHashes(dict):
-    """Hashes of the words a worker has met, within a bound."""
+    """Two independent numbers below 2^61 for each word a worker has met, within a bound."""
+
+    def __init__(self):
+        self.pairs = array("Q")
 
     def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self)
+        both = xxhash.xxh3_128_intdigest(word)
+        self.pairs.extend((both >> 67 | 1, both & anchored.PRIME))
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word) | 1
-        return found
+            self.pairs = array("Q")
+        which = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.frombuffer(self.pairs, dtype=np.uint64).reshape(-1, 2)[which].T if len(words) else np.empty((2, 0), dtype=np.uint64)
 
 
 HASHES = WordHashes()
@@ -45,8 +56,7 @@ def _split(text: str) -> list[bytes]:
 
 
 def _numbers(text: str) -> np.ndarray:
-    words = _split(text)
-    return np.fromiter(map(HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return HASHES.of(_split(text))
 
 
 def _units(packed: list[bytes]) -> np.ndarray:
