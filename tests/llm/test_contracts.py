@@ -382,6 +382,28 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(89, 0)}
 
 
+@pytest.mark.parametrize("small", [1, 64])
+def test_neighbours_of_any_bucket_size(spark, monkeypatch, small):
+    """Counts and components as brute force over the links found, whichever way a bucket is verified; rows may share an id."""
+    monkeypatch.setattr(neighbours, "SMALL", small)
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    rng = np.random.default_rng(2)
+    groups = [rng.normal(size=16) + 0.02 * rng.normal(size=(n, 16)) for n in (3, 70, 90, 1, 12)]
+    x = np.concatenate([*groups, groups[0][:2]])
+    ids = [int(i) for i in rng.permutation(len(x)) // 2]  # every id twice
+    frame = spark.createDataFrame([(i, [float(c) for c in v], "x") for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, key string").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    reach = np.linalg.matrix_power(near.astype(float), 4) > 0
+    want = Counter((ids[k], int(near[k].sum()) - 1, min(ids[m] for m in np.flatnonzero(reach[k]))) for k in range(len(x)))
+    assert counted(rows_of(neighbours.linked(frame)), "vec_id", "n_links", "component_id") == want
+
+
+def test_neighbours_that_share_an_id(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.01, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r.n_links, r.component_id, r.kept) for r in neighbours.linked(frame).collect()] == [(1, 1, True)] * 2
+
+
 def test_media(spark, docs):
     got = rows_of(queries.op8_media(spark, docs))
     want = Counter()

@@ -2,29 +2,36 @@
 
 Equal vectors are one class. A class goes to a bucket for each table: the nearest
 corners of two pseudo-random rotations (three rounds of signs and fast Hadamard
-transforms); multiprobe adds the buckets of the next corners. Pairs that share a bucket
-(one of them by its own corners) are verified by cosine in double precision, in blocks
-for large buckets. A pair that meets in several buckets counts in the first only, so
-links are counted without listing pairs; each task gives edges that span its links.
+transforms); multiprobe adds the buckets of the next corners. Sizes of buckets are
+counted on ids alone; only classes that meet another in a bucket travel there, once for
+each bucket, with their components as they came. Pairs that share a bucket (one of them
+by its own corners) are verified by cosine in double precision, in blocks for large
+buckets. A pair that meets in several buckets counts in the first only, so links are
+counted without listing pairs; each task gives edges that span its links.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing,
-as do rows without an id. Vectors of different sizes never link. Repeated rows are
-vectors of their own and link with each other.
+as do rows without an id. Vectors of different sizes never link. Rows are vectors of
+their own, also if they share an id or are equal in all, and link with each other.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from . import common, simhash
 
 BLOCK = 1024
+#: Buckets of so many classes are verified pair by pair, larger ones by matrix products.
+SMALL = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -37,14 +44,16 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def corners(x: np.ndarray, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of unit vectors: (rows, tables, 3), own corners first and then the probes; codes are unique over tables."""
+def corners(x: np.ndarray, tables: int, seed: int) -> np.ndarray:
+    """Corners of unit vectors: (rows, tables, 3), own corners first and then the probes; codes are unique within a table."""
     n, d = x.shape
     size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = x
     rng = np.random.default_rng([seed, d])
-    codes = np.empty((n, tables, 3), dtype=np.int64)
+    if 4 * size * size >= 1 << 31:
+        raise ValueError(f"vectors of {d} components: codes have room for 16384")
+    codes = np.empty((n, tables, 3), dtype=np.int32)
     for t in range(tables):
         first, second, loss = [], [], []
         for _ in range(2):
@@ -59,123 +68,185 @@ def corners(x: np.ndarray, tables: int, seed: int) -> tuple[np.ndarray, np.ndarr
             code = top * 2 + sign
             first.append(code[:, 0])
             second.append(code[:, 1])
-        base = (d * tables + t) * (4 * size * size)
         for k, (a, b) in enumerate(((first[0], first[1]), (second[0], first[1]), (first[0], second[1]))):
-            codes[:, t, k] = base + a * 2 * size + b
+            codes[:, t, k] = a * 2 * size + b
     return codes
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of finite components, not all zero, as unit vectors in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def classes(vectors: DataFrame) -> DataFrame:
-    """``vec_id, key, unit``: key and unit vector (doubles as bytes), null for vectors that link with nothing."""
+    """``vec_id, key, vec``: digest and components (as bytes), null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            keys, units = [], []
+            keys, vecs = [], []
             for value, id_ in zip(batch.column("embedding"), batch.column("vec_id"), strict=True):
-                key = unit = None
+                key = vec = None
                 own = value.values
                 if own is not None and len(own) and not own.null_count and id_.is_valid:
-                    x = own.to_numpy(zero_copy_only=False).astype(np.float64)
-                    if np.isfinite(x).all() and (top := np.abs(x).max()) > 0:
-                        y = x / top
-                        unit = (y / np.sqrt((y * y).sum())).tobytes()
-                        key = hashlib.md5(x.tobytes()).digest()
+                    x = own.to_numpy(zero_copy_only=False) + 0  # -0.0 is 0.0
+                    if np.isfinite(x).all() and x.any():
+                        vec = x.tobytes()
+                        key = hashlib.md5(vec).digest()
                 keys.append(key)
-                units.append(unit)
-            yield {"vec_id": batch.column("vec_id"), "key": keys, "unit": units}
+                vecs.append(vec)
+            yield {"vec_id": batch.column("vec_id"), "key": keys, "vec": vecs}
+
+    return common.map_arrow(vectors.select("vec_id", "embedding"), run, "vec_id long, key binary, vec binary")
+
 
-    return common.map_arrow(vectors.select("vec_id", "embedding"), run, "vec_id long, key binary, unit binary")
+def _matrix(vecs: pa.Array, kind: type) -> np.ndarray:
+    """Rows of equally long binary cells as a matrix."""
+    return np.frombuffer(b"".join(vecs.to_pylist()), dtype=kind).reshape(len(vecs), -1)
 
 
-def _bucketed(nodes: DataFrame, tables: int, seed: int) -> DataFrame:
-    """``node, mult, unit, codes``: codes lists the own bucket and two probes of each table."""
+def _bucketed(nodes: DataFrame, kind: type, tables: int, seed: int) -> DataFrame:
+    """``key, low, mult, vec, codes, places``: codes lists the own corners and two probes of each table, places numbers their buckets over all sizes and tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            raw = batch.column("unit").to_pylist()
-            codes: list = [None] * len(raw)
-            for size in {len(r) for r in raw}:
-                which = [k for k, r in enumerate(raw) if len(r) == size]
-                x = np.frombuffer(b"".join([raw[k] for k in which])).reshape(len(which), -1)
-                for k, c in zip(which, corners(x, tables, seed).reshape(len(which), -1), strict=True):
-                    codes[k] = c
-            yield {c: batch.column(c) for c in ("node", "mult", "unit")} | {"codes": codes}
+            raw = batch.column("vec")
+            sizes = pc.binary_length(raw).to_numpy()
+            codes, places = np.empty((len(raw), tables * 3), dtype=np.int32), np.empty((len(raw), tables * 3), dtype=np.int64)
+            for size in np.unique(sizes):
+                which = np.flatnonzero(sizes == size)
+                x = _matrix(raw.take(pa.array(which)), kind)
+                codes[which] = corners(_unit(x), tables, seed).reshape(len(which), -1)
+                places[which] = (x.shape[1] * tables + np.arange(tables * 3) // 3 << 32) + codes[which]
+            edges = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * (tables * 3))
+            lists = {"codes": pa.ListArray.from_arrays(edges, pa.array(codes.ravel())), "places": pa.ListArray.from_arrays(edges, pa.array(places.ravel()))}
+            yield {c: batch.column(c) for c in ("key", "low", "mult", "vec")} | lists
 
-    return common.map_arrow(nodes, run, "node long, mult long, unit binary, codes array<long>")
+    return common.map_arrow(nodes, run, "key binary, low long, mult long, vec binary, codes array<int>, places array<long>")
 
 
 def linked(vectors: DataFrame, least: float = 0.95, tables: int = 8, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector."""
-    rows = common.stash(classes(vectors), "vectors")
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("unit").alias("unit"))
-    hashed = common.stash(_bucketed(nodes.select("node", "mult", "unit"), tables, seed), "hashed")
-    keyed = hashed.select("node", F.posexplode("codes").alias("place", "bucket"))
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64
+    rows = common.stash(classes(vectors.withColumn("embedding", F.col("embedding").cast("array<float>" if kind is np.float32 else "array<double>"))), "vectors")
+    known = rows.where("key is not null")
+    nodes = known.groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
+    hashed = common.stash(_bucketed(nodes, kind, tables, seed).withColumn("node", F.monotonically_increasing_id()), "hashed")
+    keyed = hashed.select("node", F.posexplode("places").alias("place", "bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if(F.col("place") % 3 == 0).alias("own")).where("size > 1 and own > 0")
     sizes = sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    met = hashed.select("node", "mult", "unit", "codes", F.posexplode("codes").alias("place", "bucket")).join(sizes, "bucket")
+    # A class has at most three places for each table.
+    met = keyed.join(sizes, "bucket").groupBy("node").agg(F.collect_list(F.struct("place", "bucket", "blocks")).alias("met"))
+    met = hashed.select("node", "mult", "vec", "codes").join(met, "node").select("node", "mult", "vec", "codes", F.inline("met"))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A block meets itself and every other block of its bucket once.
     dealt = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    found = common.stash(_verified(dealt.select("bucket", "lo", "hi", "block", "place", "node", "mult", "unit", "codes"), least), "links")
+    found = common.stash(_verified(dealt.select("bucket", "lo", "hi", "block", "place", "node", "mult", "vec", "codes"), kind, least), "links")
     more = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     parts = common.components(found.select("a", "b"))
-    named = rows.join(nodes.select("key", "node", "mult"), "key", "left")
-    named = named.join(more, F.col("node") == F.col("a"), "left").join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    component = F.coalesce("component", "node", "vec_id")
-    return named.select("vec_id", F.coalesce(F.col("mult") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
-
-
-def _verified(dealt: DataFrame, least: float) -> DataFrame:
+    named = hashed.select("key", "node", "low", "mult").join(more, F.col("node") == F.col("a"), "left").join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    named = named.select("key", "low", F.coalesce("component", "node").alias("root"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = common.stash(named.join(smallest, "root").select("key", "n_links", "component_id"), "named")
+    for done in (hashed, found):
+        common.discard(done)
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = known.select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id").union(alone)
+    return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _verified(dealt: DataFrame, kind: type, least: float) -> DataFrame:
     """``a, b, links``: for each class and block pair the rows it links with that meet it here first, and an edge."""
 
-    def links(group: dict, lo: int, hi: int) -> dict:
-        n = len(group["node"])
-        x = np.frombuffer(b"".join(group["unit"])).reshape(n, -1)
-        codes, place, block = np.array(group["codes"]), np.array(group["place"]), np.array(group["block"])
-        mult, node, bucket = np.array(group["mult"]), np.array(group["node"]), group["bucket"]
-        own = place % 3 == 0
-        count, pairs = np.zeros(n, dtype=np.int64), []
-        left = np.flatnonzero(block == lo)
-        right = np.flatnonzero(block == hi)
-        for at in range(0, len(left), BLOCK):
-            i = left[at : at + BLOCK]
-            near = (x[i] @ x[right].T >= least) & (own[i][:, None] | own[right][None, :])
-            near &= (node[i][:, None] < node[right][None, :]) if lo == hi else (node[i][:, None] != node[right][None, :])
-            a, b = np.nonzero(near)
-            a, b = i[a], right[b]
-            for start in range(0, len(a), 1 << 16):
-                p, q = a[start : start + (1 << 16)], b[start : start + (1 << 16)]
-                first = _first_meeting(codes[p], codes[q]) == bucket
-                np.add.at(count, p[first], mult[q[first]])
-                np.add.at(count, q[first], mult[p[first]])
-                pairs.append((p, q))
-        label = simhash.spanning(n, iter(pairs))
+    def near_pairs(heads: np.ndarray, ends: np.ndarray, x: list[np.ndarray], own: np.ndarray, block: np.ndarray, crossed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of pairs that link, of all block pairs in the rows."""
+        small = ends - heads <= SMALL
+        group = np.repeat(np.arange(len(heads)), ends - heads)
+        for matrix, first in x:  # runs of rows whose vectors have one size
+            inside = np.arange(first, first + len(matrix))
+            inside = inside[small[group[inside]]]
+            for step in range(1, SMALL):
+                i = inside[inside + step < len(group)]
+                i = i[group[i] == group[i + step]]
+                if not len(i):
+                    break
+                j = i + step
+                meet = (own[i] | own[j]) & (~crossed[i] | (block[i] != block[j]))
+                i, j = i[meet], j[meet]
+                for at in range(0, len(i), 1 << 14):
+                    a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    near = np.einsum("ij,ij->i", matrix[a - first], matrix[b - first]) >= least
+                    yield a[near], b[near]
+            for g in np.flatnonzero(~small):
+                if not first <= heads[g] < first + len(matrix):
+                    continue
+                of = np.arange(heads[g], ends[g])
+                if crossed[heads[g]]:
+                    left, right = of[block[of] == block[of].min()], of[block[of] == block[of].max()]
+                else:
+                    left = right = of
+                for at in range(0, len(left), BLOCK):
+                    i = left[at : at + BLOCK]
+                    near = (matrix[i - first] @ matrix[right - first].T >= least) & (own[i][:, None] | own[right][None, :])
+                    if left is right:
+                        near &= i[:, None] < right[None, :]
+                    a, b = np.nonzero(near)
+                    yield i[a], right[b]
+
+    def judge(rows: pa.RecordBatch) -> dict:
+        n = rows.num_rows
+        bucket, lo, hi, block, place, node, mult = (rows.column(c).to_numpy() for c in ("bucket", "lo", "hi", "block", "place", "node", "mult"))
+        codes = rows.column("codes").flatten().to_numpy().reshape(n, -1)
+        heads = np.flatnonzero(_new(bucket, lo, hi))
+        sizes = pc.binary_length(rows.column("vec")).to_numpy()
+        turns = np.flatnonzero(np.r_[True, sizes[1:] != sizes[:-1]]).tolist() + [n]
+        x = [(_unit(_matrix(rows.column("vec").slice(a, b - a), kind)), a) for a, b in pairwise(turns)]
+        count = np.zeros(n, dtype=np.int64)
+
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for p, q in near_pairs(heads, np.r_[heads[1:], n], x, place % 3 == 0, block, lo != hi):
+                for at in range(0, len(p), 1 << 16):
+                    a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                    table, code = _first_meeting(codes[a], codes[b])
+                    first = (table == place[a] // 3) & (code == codes[a, place[a]])
+                    count[:] += np.bincount(a[first], mult[b[first]], n).astype(np.int64) + np.bincount(b[first], mult[a[first]], n).astype(np.int64)
+                yield p, q
+
+        label = simhash.spanning(n, counted())
         which = np.flatnonzero((label != np.arange(n)) | (count > 0))
         return {"a": node[which], "b": node[label[which]], "links": count[which]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, held = None, None
+        held = None
         for batch in batches:
-            columns = batch.to_pydict()
-            for row in zip(*(columns[c] for c in ("bucket", "lo", "hi", "block", "place", "node", "mult", "unit", "codes")), strict=True):
-                if row[:3] != key:
-                    if held and len(held["node"]) > 1:
-                        yield links(held, *key[1:])
-                    key, held = row[:3], {"bucket": row[0]} | {c: [] for c in ("block", "place", "node", "mult", "unit", "codes")}
-                for c, value in zip(("block", "place", "node", "mult", "unit", "codes"), row[3:], strict=True):
-                    held[c].append(value)
-        if held and len(held["node"]) > 1:
-            yield links(held, *key[1:])
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            last = int(np.flatnonzero(_new(*(rows.column(c).to_numpy() for c in ("bucket", "lo", "hi"))))[-1])
+            if last:
+                yield judge(rows.slice(0, last))
+            held = rows.slice(last)  # a block pair may go on in the next batch
+        if held is not None:
+            yield judge(held)
 
     return common.map_arrow(dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi"), run, "a long, b long, links long")
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first bucket, in the order of places, that two classes share with one of them there by its own corners."""
-    best = np.full(len(a), np.iinfo(np.int64).max)
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the keys changes."""
+    return np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+
+
+def _first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table and code of the first bucket that two classes share with one of them there by its own corners."""
+    table, code = np.full(len(a), -1), np.full(len(a), -1, dtype=np.int32)
     for t in range(0, a.shape[1], 3):
+        low = np.full(len(a), np.iinfo(np.int32).max, dtype=np.int32)
         for i, j in ((0, 0), (0, 1), (0, 2), (1, 0), (2, 0)):
             same = a[:, t + i] == b[:, t + j]
-            best[same] = np.minimum(best[same], a[same, t + i])
-    return best
+            low[same] = np.minimum(low[same], a[same, t + i])
+        new = (table < 0) & (low < np.iinfo(np.int32).max)
+        table[new], code[new] = t // 3, low[new]
+    return table, code
