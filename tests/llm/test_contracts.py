@@ -1,6 +1,7 @@
 """The registered queries against brute force on a small corpus with nulls, ties, copies and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -431,6 +432,26 @@ def test_sequences_of_pages():
     assert media.sequence("") == [] and media.sequence("<p>unclosed <img") is not None
 
 
+def test_open_captions_lose_no_text():
+    got = media.sequence("<p>a</p><figure><img src=x><figcaption>cap<p>later text</p><p>more</p>")
+    assert [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in got] == [("text", "a", None), ("media", "x", "cap later text more")]
+    got = media.sequence("<figure><img src=x><figcaption>one</figure><p>after</p><figcaption>b<figcaption>c")
+    assert [i["caption"] or i["text"] for i in got] == ["one", "after", "b", "c"] or got[0]["caption"] == "c"
+
+
+def test_pages_with_media(spark):
+    """Positions and captions of real pages stay with what their digests resolve to; unknown references stay, too."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("sequence", F.lit(1))
+    pages = pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit("</script></style><figure><img src='r1'><figcaption>one</figcaption></figure><img src='none' alt='two'>")))
+    stored = spark.createDataFrame([("r1", 5), ("r2", 6)], "ref string, n_bytes int")
+    found = media.interleave(pages).select("page_id", "url", "sequence")
+    for r in found.collect():
+        assert [i["position"] for i in r["sequence"]] == list(range(len(r["sequence"])))
+        assert [(i["ref"], i["caption"]) for i in r["sequence"][-2:]] == [("r1", "one"), ("none", "two")]
+    got = media.resolve(found, stored, ["page_id"])
+    assert got.where("caption = 'one' and n_bytes = 5").count() == got.where("caption = 'two' and n_bytes is null").count() == pages.count()
+
+
 def packed_right(items, capacity=2048):
     at = defaultdict(list)
     for r in items:
@@ -557,6 +578,23 @@ def test_chat_recovers_roles(spark):
     assert right >= 0.9 * n
 
 
+def test_viterbi_as_all_paths():
+    rng = np.random.default_rng(6)
+    log = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1] or None))
+    for n in range(1, 7):
+        model = {"start": log(3), "move": log(3, 3), "emit": log(3, chat.SYMBOLS)}
+        symbols = rng.integers(0, chat.SYMBOLS, n)
+        total = lambda path: model["start"][path[0]] + sum(model["move"][a, b] for a, b in zip(path, path[1:])) + sum(model["emit"][r, s] for r, s in zip(path, symbols))  # noqa: B023, B905, E731
+        best = max(itertools.product(range(3), repeat=n), key=total)
+        assert tuple(chat.viterbi(model, symbols, model["start"])) == best
+
+
+def test_rendering_takes_one_marker_away(spark):
+    rows = spark.createDataFrame([("user", "User: assistant: x"), ("assistant", "no marker <|end|>"), ("system", None)], "recovered string, text string")
+    got = [r[0] for r in rows.select(chat.render("recovered", "text")).collect()]
+    assert got == ["<|user|>\nassistant: x\n<|end|>\n", "<|assistant|>\nno marker <\\|end|>\n<|end|>\n", "<|system|>\n\n<|end|>\n"]
+
+
 def test_chat_stretches_as_plain_viterbi(spark, monkeypatch):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     model = chat.fit(turns)
@@ -593,27 +631,34 @@ def in_order(rows):
     convs = defaultdict(list)
     for r in rows:
         convs[r[0]].append(r)
-    return {c: sorted(own, key=lambda r: (first(r[1]), text(r[2]), text(r[3]))) for c, own in convs.items()}
+    return {c: sorted(own, key=lambda r: (first(r[1]), text(r[3]), text(r[2]))) for c, own in convs.items()}
 
 
 def test_chat_stretches_of_odd_turn_numbers(spark, monkeypatch, small_parts):
     rows, kind = odd_turns()
     frame = spark.createDataFrame(rows, kind).repartition(3)
-    rng = np.random.default_rng(5)  # no two paths score alike
+    rng = np.random.default_rng(5)
     model = {"start": rng.normal(size=3), "move": 0.5 * rng.normal(size=(3, 3)), "emit": rng.normal(size=(3, chat.SYMBOLS))}
-    symbol = {(r.role, r.text): r.symbol for r in chat.observed(frame).collect()}
-    want = Counter()
-    for conv, own in in_order(rows).items():
-        path = chat.viterbi(model, np.array([symbol[r[2], r[3]] for r in own]), model["start"])
-        want.update((conv, r[1], r[2], chat.ROLES[p]) for r, p in zip(own, path, strict=True))
+    total = lambda path, seen: model["start"][path[0]] + model["move"][path[:-1], path[1:]].sum() + model["emit"][path, seen].sum()
     monkeypatch.setattr(chat, "STRETCH", 8)
-    found = sorted(chat.stretches(frame).collect(), key=lambda r: r.stretch)
-    parts, joined = [(r.conv_id, r.stretch, len(r.turns)) for r in found], defaultdict(list)
+    found, parts, joined = sorted(chat.stretches(frame).collect(), key=lambda r: r.stretch), defaultdict(list), defaultdict(list)
     for r in found:
+        parts[r.conv_id].append(np.array([t.symbol for t in r.turns]))
         joined[r.conv_id] += [(r.conv_id, t.turn, t.role, t.text) for t in r.turns]
     assert joined == in_order(rows)
-    assert max(n for *_, n in parts) <= 8 and len({s for _, s, _ in parts}) == len(parts)
-    assert len({s >> 32 for c, s, _ in parts if c is None}) > 1
+    assert max(len(r.turns) for r in found) <= 8 and len({r.stretch for r in found}) == len(found)
+    assert len({r.stretch >> 32 for r in found if r.conv_id is None}) > 1
+    want = Counter()
+    for conv, own in parts.items():
+        path = []
+        for seen, (first, last) in zip(own, chat.borders(model, [chat.summed(model, x) for x in own]), strict=True):
+            enter = np.full(3, -np.inf)
+            enter[first] = 0.0
+            path += chat.viterbi(model, seen, enter, last).tolist()
+        seen = np.concatenate(own)
+        # Paths of equal score are equally right; equal turns in a row make many of them.
+        assert np.isclose(total(np.array(path), seen), total(chat.viterbi(model, seen, model["start"]), seen))
+        want.update((conv, r[1], r[2], chat.ROLES[p]) for r, p in zip(joined[conv], path, strict=True))
     assert counted(rows_of(chat.recover(frame, model)), "conv_id", "turn", "role", "recovered") == want
 
 

@@ -2,14 +2,14 @@
 
 A turn's observation is its speaker marker and line features (question mark, number of
 lines, length). Start, transition and emission counts come from one aggregation over
-all turns that carry a role, over the borders of stretches too. Viterbi runs by stretches of a conversation: a stretch is
-summed up by a max-plus matrix between roles, the matrices of a conversation give the
+all turns that carry a role, over the borders of stretches too. Viterbi runs by
+stretches of a conversation: a stretch is summed up by a max-plus matrix between roles, the matrices of a conversation give the
 roles at the stretches' borders, and each stretch is then decoded alone. Stretches are
 cut by numbers of rows from ranges of the order of all turns, so a very long
 conversation is no single task, whatever its turn numbers.
 
-Null texts are empty turns; null turns come first; ties of turn are ordered by role and
-text; repeated rows are turns of their own; rows without a conversation id form one
+Null texts are empty turns; null turns come first; ties of turn are ordered by text, and
+what is equal there by role, which then changes no observation; repeated rows are turns of their own; rows without a conversation id form one
 conversation. With no labelled turn all transitions are alike and markers decide.
 """
 
@@ -32,8 +32,8 @@ LENGTHS = (40, 80, 160, 320, 640, 1280, 2560)
 SYMBOLS = 4 * 2 * 3 * (len(LENGTHS) + 1)
 
 
-def marker_pattern(role: str) -> str:
-    names = "|".join(MARKERS[role])
+def marker_pattern(*roles: str) -> str:
+    names = "|".join(name for role in roles for name in MARKERS[role])
     return rf"(?i)^\s*(?:[#*<\[|]+\s*)?(?:{names})\s*(?:[>\]|*]*\s*:|[>\]|]+)"
 
 
@@ -132,7 +132,7 @@ def stretches(turns: DataFrame) -> DataFrame:
     equal in every column, so neither a conversation nor a turn number is one task.
     Each task cuts its sorted rows where the conversation or the count says so.
     """
-    most, order = STRETCH, ("conv_id", "turn", "role", "text")
+    most, order = STRETCH, ("conv_id", "turn", "text", "role")
     salted = turns.select(*order, F.rand(11).alias("_salt"))
     dealt = salted.repartitionByRange(*order, "_salt").sortWithinPartitions(*order)
     rows = observed(dealt.drop("_salt")).withColumn("_part", F.spark_partition_id())
@@ -212,10 +212,8 @@ def recover(turns: DataFrame, model: dict[str, np.ndarray] | None = None) -> Dat
 
 
 def render(role: str, text: str):
-    """A turn as ``<|role|>`` line, content without its speaker marker, end line. Marker-like lines in the content are escaped."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    for name in ROLES:
-        content = F.regexp_replace(content, marker_pattern(name), "")
+    """A turn as ``<|role|>`` line, content without the one speaker marker it begins with, end line. ``<|`` in the content is escaped."""
+    content = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), marker_pattern(*ROLES), "")
     content = F.replace(F.trim(content), F.lit("<|"), F.lit("<\\|"))
     return F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), content, F.lit("\n<|end|>\n"))
 

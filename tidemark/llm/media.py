@@ -98,6 +98,18 @@ class _Interleave(HTMLParser):
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
         self.held = []
 
+    def end_caption(self) -> None:
+        """Give the open caption to the last medium of its figure; without one it is text."""
+        if self.caption is None:
+            return
+        text = " ".join("".join(self.caption).split())
+        media = [i for i in self.items[self.figure or 0 :] if i["kind"] == "media"]
+        if media:
+            media[-1]["caption"] = text
+        elif text:
+            self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
+        self.caption = None
+
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
@@ -107,9 +119,12 @@ class _Interleave(HTMLParser):
                 self.flush()
                 self.items.append({"kind": "media", "text": None, "ref": own["src"], "caption": own.get("alt")})
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in BREAKS:
+            if self.caption is not None:
+                self.caption.append(" ")
             self.flush()
             if tag == "figure":
                 self.figure = len(self.items)
@@ -117,17 +132,12 @@ class _Interleave(HTMLParser):
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            media = [i for i in self.items[self.figure or 0 :] if i["kind"] == "media"]
-            if media:
-                media[-1]["caption"] = text
-            elif text:
-                self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in BREAKS:
             self.flush()
             if tag == "figure":
+                self.end_caption()
                 self.figure = None
 
     def handle_data(self, data):
@@ -136,23 +146,25 @@ class _Interleave(HTMLParser):
 
 
 def sequence(html: str) -> list[dict]:
-    """Ordered text and media references of a page."""
+    """Ordered text and media references of a page. A caption that nothing closes ends with its figure or the page."""
     parser = _Interleave()
     parser.feed(html)
     parser.close()
+    parser.end_caption()
     parser.flush()
     return [{"position": k} | item for k, item in enumerate(parser.items)]
 
 
 def interleave(pages: DataFrame, column: str = "html") -> DataFrame:
-    """All columns plus ``sequence``, the ordered structs of the page."""
-    names = pages.columns
+    """All columns plus ``sequence``, the ordered structs of the page; a column of that name is replaced."""
+    pages = pages.withColumn("_tm_html", F.col(column)).drop("sequence")
+    names = [c for c in pages.columns if c != "_tm_html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {c: batch.column(c) for c in names} | {"sequence": [sequence(t) for t in common.text_rows(batch, column)]}
+            yield {c: batch.column(c) for c in names} | {"sequence": [sequence(t) for t in common.text_rows(batch, "_tm_html")]}
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in names)
     return common.map_arrow(pages, run, f"{kinds}, sequence {SEQUENCE}")
 
 

@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str | Column = "toxic", sampl
             yield {"grade": batch.column("grade"), "words": [sorted({f for w in words_of(t) for f in features_of(w)}) for t in common.text_rows(batch)]}
 
     sample = common.map_arrow(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("text", "grade"), run, "grade int, words array<string>")
-    sample = common.stash(sample, "graded").withColumn("row", F.monotonically_increasing_id())
+    sample = common.stash(sample, "graded")
     sizes = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     grades = sorted(sizes) or [0]
     if len(grades) < 2:
@@ -154,9 +154,10 @@ def score(docs: DataFrame, model: OrdinalModel, expected: str = "expected_severi
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the model gives the lowest grade; rows without text stay."""
+    """Documents that the model gives the lowest grade; rows without text stay, whatever the grade of an empty text."""
     model = fit(docs, labels)
-    kept = score(docs, model, "_tm_expected", "_tm_severity").where(F.col("_tm_severity") == model.grades[0])
+    empty = F.coalesce("text", F.lit("")) == ""
+    kept = score(docs, model, "_tm_expected", "_tm_severity").where((F.col("_tm_severity") == model.grades[0]) | empty)
     return kept.drop("_tm_expected", "_tm_severity")
 
 
