@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tidemark.plans import queries as plans
-from tidemark.plans import reports  # noqa: F401  registers its queries
+from tidemark.plans import reports, studies  # noqa: F401  register their queries
 
 AT = os.environ.get("TIDEMARK_TEST_DATA", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -19,3 +19,6 @@ TARGET_DELIMITER = " ||| "
 EVENT_ABNORMAL, EVENT_RAW, EVENT_GAP = -0.07, -0.05, 20
 KAPPA_ADOPT, KAPPA_DISCLOSE, MIN_COVERAGE, MIN_PAIRS = 0.60, 0.40, 0.95, 200
 EXPORT_MIN_COVERAGE = 0.70
+JUDGE_ALPHA, JUDGE_NEGATIVE_RECALL, JUDGE_AGREEMENT, JUDGE_KAPPA = 0.05, 0.60, 0.70, 0.50
+MIN_EVENTS, LEAK_TOLERANCE = 5, 0.05
+RECENT_LIMIT, STALE_HOURS, NEWS_LIMIT, NEWS_MOST = 6, 48, 20, 100

@@ -90,6 +90,25 @@ def kappa(agreed: Column, expected: Column, when_certain: Column) -> Column:
     return F.when(expected < 1, (agreed - expected) / F.nullif(1 - expected, F.lit(0.0))).otherwise(when_certain)
 
 
+def softmax(*logits: Column) -> list[Column]:
+    """Probabilities of logits, shifted by the largest."""
+    top = F.greatest(*logits)
+    parts = [F.exp(x - top) for x in logits]
+    total = sum(parts[1:], parts[0])
+    return [p / total for p in parts]
+
+
+def aligned(found: Column) -> list[Column]:
+    """Probabilities of the three labels from a map by label; a label it lacks has 0."""
+    return [F.coalesce(F.try_element_at(found, F.lit(x)), F.lit(0.0)) for x in C.LABELS]
+
+
+def scale_position(label: Column, confidence: Column) -> Column:
+    """Place on a scale from 0 to 100 percent: the label's sign times the confidence, within -1 and 1."""
+    sign = F.when(label == "negative", -1.0).when(label == "positive", 1.0).otherwise(0.0)
+    return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sign * confidence)) + 1) * 50
+
+
 def switch_verdict(kappa_: Column, coverage: Column, pairs: Column) -> Column:
     return (
         F.when(pairs < C.MIN_PAIRS, "no conclusion: pairs").when(coverage < C.MIN_COVERAGE, "no conclusion: coverage").when(kappa_ >= C.KAPPA_ADOPT, "adopt").when(kappa_ >= C.KAPPA_DISCLOSE, "adopt and disclose").otherwise("pause")

@@ -18,8 +18,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC form. ASCII text is left to the JVM; only other rows need Python."""
-    return F.when(text.rlike(r"^\p{ASCII}*\z"), text).otherwise(_nfkc(text))
+    """NFKC form. ASCII text stays in the JVM: Python gets null in its place."""
+    plain = text.rlike(r"^\p{ASCII}*\z")
+    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
 
 
 def strip_markup(text: Column) -> Column:
@@ -35,7 +36,7 @@ def clean_text(text: Column) -> Column:
 
 def target_text(target: Column, text: Column) -> Column:
     """``target ||| text`` of cleaned parts; a blank target leaves the text."""
-    a, b = strip_markup(target), strip_markup(text)
+    a, b = clean_text(target), clean_text(text)
     return F.when(a == "", b).otherwise(F.concat(a, F.lit(C.TARGET_DELIMITER), b))
 
 
@@ -102,6 +103,28 @@ def model_version(name: Column, trained_at: Column) -> Column:
     return F.concat(name, F.lit("-"), F.left(trained_at, F.lit(10)))
 
 
+def signed(x: Column, digits: int = 2) -> Column:
+    """A number with its sign and so many digits; null stays."""
+    return F.when(x.isNotNull(), F.format_string(f"%+.{digits}f", x.cast("double")))
+
+
+def percent(x: Column, digits: int = 0) -> Column:
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f%%", x.cast("double") * 100))
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """How long ago: just now, minutes, hours, days up to seven, else the date."""
+    minutes = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 60)
+    text = F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min")))
+    text = text.when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h")))
+    return text.when(minutes <= 7 * 1440, F.concat(F.floor(minutes / 1440).cast("string"), F.lit(" d"))).otherwise(F.date_format(then, "yyyy-MM-dd"))
+
+
+def allowed_ticker(ticker: Column, allowed: list[str]) -> Column:
+    """Well formed, and on the list unless that is empty."""
+    return valid_ticker(ticker) & (F.upper(ticker).isin(*allowed) if allowed else F.lit(True))
+
+
 def retry_seconds(delay: Column) -> Column:
     """``"12s"`` to 13.0: the stated delay and one second."""
     return F.nullif(F.regexp_extract(delay, r"^([0-9.]+)s$", 1), F.lit("")).cast("double") + 1

@@ -16,13 +16,19 @@ def dedup(rows: DataFrame) -> DataFrame:
 
 
 def split_rows(rows: DataFrame, by: str, key: str, seed: int = C.SPLIT_SEED) -> DataFrame:
-    """Stratified split by ``by``: rows in hash order of ``key``, floors for train and validation, the rest for test."""
-    order = Window.partitionBy(by).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), key)
-    n = F.count("*").over(Window.partitionBy(by))
-    at = F.row_number().over(order)
-    train = F.floor(n * C.SPLIT_RATIOS[0])
-    val = F.floor(n * C.SPLIT_RATIOS[1])
-    return rows.withColumn("split", F.when(at <= train, "train").when(at <= train + val, "val").otherwise("test"))
+    """Stratified split by ``by``: rows in hash order of ``key``, floors for train and validation, the rest for test.
+
+    Places come from running counts over ranges of (class, hash), so no class is one task. Keys are distinct.
+    """
+    own = F.col(key).cast("string")
+    place = F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("\x01"), F.md5(F.concat(own, F.lit(f"|{seed}"))), F.lit("|"), own)
+    dealt = running_total(rows.withColumn("_place", place), "_place", F.lit(1), "_upto")
+    sizes = dealt.groupBy(F.col(by).alias("_by")).agg((F.min("_upto") - 1).alias("_before"), F.count("*").alias("_n"))
+    both = dealt.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    at = F.col("_upto") - F.col("_before")
+    train = F.floor(F.col("_n") * C.SPLIT_RATIOS[0])
+    val = F.floor(F.col("_n") * C.SPLIT_RATIOS[1])
+    return both.select(*rows.columns, F.when(at <= train, "train").when(at <= train + val, "val").otherwise("test").alias("split"))
 
 
 def grouped_split(rows: DataFrame, group: str, seed: int = C.SPLIT_SEED) -> DataFrame:
@@ -40,9 +46,9 @@ def permute_labels(rows: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame:
     return rows.join(a.join(b, "n").drop("n"), "text")
 
 
-def keywords(titles: DataFrame, ticker: str, n: int = 15, max_df: float = 0.8, features: int = 500) -> DataFrame:
+def keywords(titles: DataFrame, ticker: str, n: int = 15, max_df: float = 0.8, features: int = 500, stop: list[str] | None = None) -> DataFrame:
     """Terms by summed L2-normalised tf-idf; ticker, all-digit and stop words drop out; ties go by term. ``max_df`` holds if any term passes it."""
-    stop = StopWordsRemover.loadDefaultStopWords("english")
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop
     tokens = titles.select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))).alias("term"))
     tokens = tokens.where(~F.col("term").isin(*stop))
     tf = tokens.groupBy("doc", "term").agg(F.count("*").alias("tf"))
@@ -59,6 +65,13 @@ def keywords(titles: DataFrame, ticker: str, n: int = 15, max_df: float = 0.8, f
     return out.orderBy(F.desc("score"), "term").limit(n)
 
 
+def without_own_name(terms: DataFrame, own: list[str]) -> DataFrame:
+    """Terms that are no part of the ticker's own name; all of them where nothing else is left."""
+    lower = [w.lower() for w in own]
+    marked = terms.withColumn("_own", F.lower("term").isin(*lower)).withColumn("_some", F.max(~F.col("_own")).over(Window.partitionBy()))
+    return marked.where(~F.col("_own") | ~F.col("_some")).drop("_own", "_some")
+
+
 def char_grams(texts: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
     """``doc, gram, tf`` of character n-grams inside space-padded words."""
     words = texts.select("doc", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").select("doc", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))

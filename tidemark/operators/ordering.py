@@ -23,6 +23,20 @@ def range_of(rows: DataFrame, key: str, ranges: int = RANGES) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
 
 
+def percentiles(rows: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row with ``n`` and ``p``, the exact percentiles by linear interpolation, from running counts of the distinct values.
+
+    Nulls don't count.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
+    upto = running_total(counts, "x", F.col("c"), "upto").join(F.broadcast(counts.agg(F.sum("c").alias("n"))))
+    at = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    value = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
+    found = upto.agg(F.max("n").alias("n"), *(value(F.floor(a)).alias(f"l{k}") for k, a in enumerate(at)), *(value(F.ceil(a)).alias(f"h{k}") for k, a in enumerate(at)))
+    part = lambda s: s * (F.col("n") - 1) - F.floor(s * (F.col("n") - 1))
+    return found.select("n", F.array(*(F.col(f"l{k}") + part(F.lit(s)) * (F.col(f"h{k}") - F.col(f"l{k}")) for k, s in enumerate(shares))).alias("p"))
+
+
 def running_total(rows: DataFrame, key: str, weight: Column, name: str, ranges: int = RANGES) -> DataFrame:
     """Add the sum of ``weight`` over all rows whose key is not above the own; keys are distinct.
 

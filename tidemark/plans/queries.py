@@ -11,6 +11,7 @@ from .. import constants as C
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import agreement, alerts, corpus, events, storage
+from ..operators.ordering import percentiles
 from ..sources import views as V
 
 AS_OF = "2024-01-30"
@@ -268,18 +269,18 @@ def length_percentiles(spark, sf):
     return ranks.where(F.col("upto") > F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1)).groupBy("p").agg(F.min("x").alias("words"))
 
 
-@query("WITH l AS (SELECT (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 3600 - value AS lag FROM events) SELECT round(min(lag), 4) AS low, round(quantile_cont(lag, 0.25), 4) AS p25, round(quantile_cont(lag, 0.5), 4) AS p50, round(quantile_cont(lag, 0.75), 4) AS p75, round(quantile_cont(lag, 0.95), 4) AS p95, round(max(lag), 4) AS high, count(*) FILTER (lag < 0) AS negative, round(count(*) FILTER (lag < 0) / count(*), 6) AS share FROM l")
+@query("WITH l AS (SELECT (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 3600 - value AS lag FROM events) SELECT round(min(lag), 4) AS low, round(quantile_cont(lag, 0.25), 4) AS p25, round(quantile_cont(lag, 0.5), 4) AS p50, round(quantile_cont(lag, 0.75), 4) AS p75, round(quantile_cont(lag, 0.95), 4) AS p95, round(max(lag), 4) AS high, round(avg(lag), 4) AS mean, count(*) AS n, count(*) FILTER (lag IS NULL) AS unparsable, count(*) FILTER (lag < 0) AS negative, round(count(*) FILTER (lag < 0) / count(*), 6) AS share FROM l")
 def lag_percentiles(spark, sf):
     lag = S.lag_hours(F.date_trunc("second", "published_at"), F.lit(None).cast("timestamp"), F.lit("2024-02-01").cast("timestamp")) - F.col("value")
-    rows = V.headlines(spark, sf).join(V.read(spark, sf, "events").select("event_id", "value"), "event_id").select(lag.alias("lag"))
-    p = F.percentile("lag", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
-    rows = rows.agg(F.min("lag").alias("low"), p.alias("p"), F.max("lag").alias("high"), F.count_if(F.col("lag") < 0).alias("negative"), F.count("*").alias("n"))
-    return rows.select(R("low", 4), *(F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p25", "p50", "p75", "p95"))), R("high", 4), "negative", F.round(F.col("negative") / F.col("n"), 6).alias("share"))
+    rows = V.headlines(spark, sf).select(lag.alias("lag"))
+    p = percentiles(rows, "lag", (0.25, 0.5, 0.75, 0.95)).select("p")
+    rows = rows.agg(F.min("lag").alias("low"), F.max("lag").alias("high"), F.avg("lag").alias("mean"), F.count_if(F.col("lag") < 0).alias("negative"), F.count_if(F.col("lag").isNull()).alias("unparsable"), F.count("*").alias("n")).join(p)
+    return rows.select(R("low", 4), *(F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p25", "p50", "p75", "p95"))), R("high", 4), R("mean", 4), "n", "unparsable", "negative", F.round(F.col("negative") / F.col("n"), 6).alias("share"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), 'https?://[^\s]+|www\.[^\s]+', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM pages")
 def clean_pages(spark, sf):
-    return V.read(spark, sf, "pages").select("page_id", T.strip_markup(F.col("html")).alias("text"))
+    return V.read(spark, sf, "pages").select("page_id", T.clean_text(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, coalesce(regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '^www\\.', ''), '') AS host FROM pages")

@@ -27,6 +27,7 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("source"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
         "event_id",
+        "value",
     )
 
 
@@ -113,6 +114,16 @@ def cached_articles(cache: DataFrame) -> DataFrame:
     return cache.select("ticker", "bucket", "created_at", F.explode(F.from_json("payload", kind)).alias("a")).select("ticker", "bucket", "created_at", "a.*")
 
 
+def trading_dates(raw: DataFrame) -> DataFrame:
+    """Distinct sessions of a feed's ``date`` strings, in order; what is no date goes."""
+    return raw.select(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date").alias("session")).where("session is not null").distinct().orderBy("session")
+
+
+def model_labels(cache: DataFrame, model: str) -> DataFrame:
+    """Rows of a label cache of one model with a legal label."""
+    return cache.where((F.col("model") == model) & F.col("label").isin(*C.LABELS))
+
+
 def or_else(first: DataFrame, second: DataFrame) -> DataFrame:
     """The first source, or the second where the first has no rows."""
     return first if first.take(1) else second
