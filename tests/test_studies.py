@@ -2,14 +2,16 @@
 
 import json
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
-from tidemark.operators import classify, corpus, ordering, studies
+from tidemark.operators import classify, corpus, ordering, storage, studies
 from tidemark.sources import views as V
+from tidemark.streaming import feeds
 
 
 def one(spark, *columns):
@@ -127,3 +129,43 @@ def test_missing_predictions_and_repeats(spark):
     assert {(r.title, r.m) for r in got.collect()} == {("a", "positive"), ("b", "missing")}
     stored, again = studies.record_scores(spark.createDataFrame([("a", 1.0), ("b", None)], "title string, score double"), ["title"], "score")
     assert [r.title for r in stored.collect()] == ["a"] and [r.title for r in again.collect()] == ["b"]
+
+
+KIND = "ticker string, title string, published_at timestamp, url string, source string, fetched_at string, origin string"
+
+
+def headline(title, at, url="u"):
+    return ("x", title, datetime.fromisoformat(at), url, "s", "f", "live")
+
+
+def test_streamed_upserts_keep_the_earliest(spark, tmp_path):
+    inbox, store, checks = (str(tmp_path / n) for n in ("in", "store", "checks"))
+    batches = [[headline("a", "2024-01-02T10:00", "first"), headline("b", "2024-01-02T11:00")], [headline("a", "2024-01-02T09:00", "earlier"), headline("c", "2024-01-03T00:00")], [headline("a", "2024-01-02T09:00", "tie"), headline("b", "2024-01-05T00:00")]]
+    for rows in batches:
+        spark.createDataFrame(rows, KIND).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(KIND).parquet(inbox)
+        feeds.upsert_into(stream, store, checks).awaitTermination()
+    got = {(r.title, r.url, str(r.published_at)) for r in feeds.upserted(spark, store).collect()}
+    assert got == {("a", "earlier", "2024-01-02 09:00:00"), ("b", "u", "2024-01-02 11:00:00"), ("c", "u", "2024-01-03 00:00:00")}
+
+
+def test_streamed_counts_and_first_seen(spark, tmp_path):
+    inbox = str(tmp_path / "in")
+    spark.createDataFrame([headline("a", "2024-01-02T10:10"), headline("a", "2024-01-02T10:20"), headline("b", "2024-01-02T11:00")], KIND).coalesce(1).write.parquet(inbox)
+    stream = lambda: spark.readStream.schema(KIND).parquet(inbox)
+    for name, frame, mode in (("counts", feeds.hourly_counts(stream()), "update"), ("first", feeds.first_seen(stream()), "append")):
+        frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.n for r in spark.table("counts").collect()) == [1, 2]
+    assert sorted(r.title for r in spark.table("first").collect()) == ["a", "b"]
+
+
+def test_storage_for_exports(spark):
+    old = spark.createDataFrame([("m1", 1), ("m2", 2)], "model string, v int")
+    assert {tuple(r) for r in storage.replace_by(old, spark.createDataFrame([("m1", 9)], "model string, v int"), "model", "m1").collect()} == {("m2", 2), ("m1", 9)}
+
+
+def test_most_similar_sent_or_joined(spark):
+    c = spark.createDataFrame([(f"c{k}", f"alpha beta {k} gamma delta") for k in range(20)], "doc string, text string")
+    q = spark.createDataFrame([("q1", "alpha beta 3 gamma delta"), ("q2", "zzz")], "doc string, text string")
+    sent, joined = ({r.q: round(r.cosine, 9) for r in corpus.most_similar(q, c, n).collect()} for n in (10**6, 0))
+    assert sent == joined and sent["q1"] == 1.0

@@ -80,12 +80,12 @@ def char_grams(texts: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
     return grams.groupBy("doc", "gram").agg(F.count("*").alias("tf"))
 
 
-def most_similar(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def most_similar(queries: DataFrame, corpus: DataFrame, sent_rows: int = 2_000_000) -> DataFrame:
     """Largest tf-idf cosine of each query against the corpus; idf and vocabulary are the corpus's.
 
-    Pairs come from a join on shared grams and are summed in the task before the
-    shuffle. A gram that most texts have pairs all queries with all texts, so the
-    queries are meant to be a stated, small set.
+    The corpus is dealt by text, so a text's products with the queries' grams are summed
+    where it lies and only the largest of each query travels. The queries' grams are sent
+    to the tasks if they are ``sent_rows`` at most; beyond, both sides join by gram.
     """
     c, q = char_grams(corpus), char_grams(queries)
     docs = corpus.agg(F.count("*").alias("docs"))
@@ -96,5 +96,10 @@ def most_similar(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         return w.join(norm, "doc").select(F.col("doc").alias(name), "gram", (F.col("w") / F.col("norm")).alias(f"w{name}"))
 
-    pairs = weighted(q, "q").join(weighted(c, "c"), "gram").groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("cosine"))
+    wanted = weighted(q, "q")
+    if wanted.limit(sent_rows + 1).count() <= sent_rows:
+        pairs = weighted(c, "c").repartition("c").join(F.broadcast(wanted), "gram")
+    else:
+        pairs = weighted(c, "c").join(wanted, "gram")
+    pairs = pairs.groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("cosine"))
     return pairs.groupBy("q").agg(F.max("cosine").alias("cosine"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import storage
@@ -18,13 +18,17 @@ def first_seen(titles: DataFrame, late: str = "48 hours") -> DataFrame:
 
 
 def upsert_into(stream: DataFrame, path: str, checkpoint: str):
-    """Each micro-batch joins the stored headlines by the keep-earliest rule; a new version is written beside the old one."""
+    """Store each micro-batch in a folder of its own, which a retry replaces; what is stored is never rewritten.
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        own = batch.withColumn("seq", F.lit(epoch + 1).cast("long"))
-        before = f"{path}/v{epoch - 1}"
-        rows = own if epoch == 0 else spark.read.parquet(before).withColumn("seq", F.lit(0).cast("long")).unionByName(own)
-        storage.upsert_earliest(rows).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+    ``upserted`` reads the result. A folder takes one stream.
+    """
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/seq={epoch}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """Headlines of all micro-batches by the keep-earliest rule."""
+    return storage.upsert_earliest(spark.read.parquet(path))
