@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in a local session without it (tests) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
         at = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -98,6 +100,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         roots = after.select(F.col("b").alias("a")).distinct()
         many = after.groupBy("a").count().where("count > 1").select("a")
         done = not roots.join(after, "a", "left_semi").union(many).take(1)
+        discard(now)
         now = after
         if done:
             break
