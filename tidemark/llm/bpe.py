@@ -53,8 +53,8 @@ UNKNOWN = (
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Chunks and table states that a worker keeps at most; beyond, it starts anew.
-REMEMBERED = 600_000
-STATES = 250_000
+REMEMBERED = 250_000
+STATES = 130_000
 
 
 def read_vocabulary(path: str) -> dict:
@@ -169,10 +169,13 @@ class ByteTable:
                         self.final.append(-1)
                     node = to
                 ends[node] = i
+        self.states: dict[tuple, State] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.states: dict[tuple, State] = {}
+        for state in self.states.values():  # they point at each other
+            state.clear()
+        self.states = {}
         self.arcs: dict[int, bool] = {}
         self.start = self._state(((0, -1),), -1, -1)
 
@@ -268,16 +271,9 @@ class Encoder(dict):
         return " ".join(map(self.label.__getitem__, memoryview(ids).cast("I")))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def worker_encoder(shared) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
-    key = shared.value["key"]
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
+    return common.remembered(shared.value["key"], lambda: Encoder(shared.value))
 
 
 def compiled(path: str) -> dict:
@@ -287,9 +283,15 @@ def compiled(path: str) -> dict:
     return {"key": key, "special": vocabulary["special"], "automaton": MergeAutomaton(vocabulary)}
 
 
+_SHARED: dict[tuple, object] = {}
+
+
 def share_vocabulary(spark, path: str):
-    """Broadcast of a compiled vocabulary; its size is that of the tokenizer's file, whatever the corpus."""
-    return spark.sparkContext.broadcast(compiled(path))
+    """Broadcast of a compiled vocabulary, one for each session and file; its size is that of the file, whatever the corpus."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SHARED:
+        _SHARED[key] = spark.sparkContext.broadcast(compiled(path))
+    return _SHARED[key]
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, ids: bool = False) -> DataFrame:

@@ -70,6 +70,18 @@ def text_rows(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield value.as_py() or ""
 
 
+_KEPT: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks. Workers serve several operators in turn, so only the last one's memory stays."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

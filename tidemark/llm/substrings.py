@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import anchored, common
 
 MINIMISER_WORDS = 5
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 class WordHashes(dict):
@@ -48,15 +48,12 @@ class WordHashes(dict):
         return np.frombuffer(self.pairs, dtype=np.uint64).reshape(-1, 2)[which].T if len(words) else np.empty((2, 0), dtype=np.uint64)
 
 
-HASHES = WordHashes()
-
-
 def _split(text: str) -> list[bytes]:
     return text.encode().split()
 
 
 def _numbers(text: str) -> np.ndarray:
-    return HASHES.of(_split(text))
+    return common.remembered("words", WordHashes).of(_split(text))
 
 
 def _units(packed: list[bytes]) -> np.ndarray:

@@ -28,7 +28,7 @@ WORD = regex.compile(r"[^\W\d_]+")
 
 #: Lengths of the word beginnings that are features beside whole words; a hyphen marks them.
 STEMS = (3, 4, 5, 6)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def words_of(text: str) -> set[str]:
