@@ -41,7 +41,7 @@ PRIME = (1 << 61) - 1
 POINTS = tuple(map(int, np.random.default_rng(61).integers(1 << 40, PRIME, 2)))
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Symbols handled at once; longer texts are cut into pieces that overlap by a window.
-PIECE = 1 << 19
+PIECE = 1 << 17
 LOW_BITS = np.uint64((1 << 21) - 1)
 #: Windows that a bucket's classes may have; a bucket with more is split, and smaller ones are handled together up to it.
 CELLS = 1_500_000

@@ -53,8 +53,8 @@ UNKNOWN = (
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Chunks and table states that a worker keeps at most; beyond, it starts anew.
-REMEMBERED = 250_000
-STATES = 130_000
+REMEMBERED = 200_000
+STATES = 80_000
 
 
 def read_vocabulary(path: str) -> dict:
@@ -139,7 +139,7 @@ class State(dict):
 
     ``last`` is the last token of the path that ends here and ``final`` the one if the
     word ends here. ``open`` lists the tokens that may still be under way: their place in
-    the tree of tokens and the token before them.
+    the tree of tokens and, in the low 20 bits, one more than the token before them.
     """
 
     __slots__ = ("table", "open", "last", "final")
@@ -177,7 +177,7 @@ class ByteTable:
             state.clear()
         self.states = {}
         self.arcs: dict[int, bool] = {}
-        self.start = self._state(((0, -1),), -1, -1)
+        self.start = self._state((0,), -1, -1)
 
     def _state(self, open_: tuple, last: int, final: int) -> State:
         found = self.states.get((open_, final))
@@ -196,12 +196,12 @@ class ByteTable:
     def step(self, state: State, byte: int) -> State:
         tree, has_arc = self.tree, self.has_arc
         open_, last, final = [], -1, -1
-        for node, before in state.open:
-            to = tree[node].get(byte)
+        for place in state.open:
+            to, before = tree[place >> 20].get(byte), (place & 0xFFFFF) - 1
             if to is None:
                 continue
             if tree[to]:
-                open_.append((to, before))
+                open_.append(to << 20 | before + 1)
             token = self.inner[to]
             if last < 0 <= token and (before < 0 or has_arc(before, token)):
                 last = token
@@ -209,7 +209,7 @@ class ByteTable:
             if final < 0 <= token and (before < 0 or has_arc(before, token)):
                 final = token
         if last >= 0:
-            open_.append((0, last))
+            open_.append(last + 1)
         return self._state(tuple(open_), last, final)
 
     def encode(self, word: bytes) -> bytes:
