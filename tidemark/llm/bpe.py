@@ -53,8 +53,8 @@ UNKNOWN = (
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Chunks and table states that a worker keeps at most; beyond, it starts anew.
-REMEMBERED = 200_000
-STATES = 80_000
+REMEMBERED = 500_000
+STATES = 250_000
 
 
 def read_vocabulary(path: str) -> dict:
