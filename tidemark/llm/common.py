@@ -78,6 +78,7 @@ def remembered(name: str, make: Callable[[], object]):
     if name not in _KEPT:
         _KEPT.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _KEPT[name] = make()
     return _KEPT[name]
 
