@@ -53,6 +53,7 @@ def empty(spark, tmp_path_factory):
         "pages": "page_id long, url string, html string",
         "embeddings": "vec_id long, embedding array<float>, label int",
         "conversations": "conv_id long, turn long, role string, text string",
+        "benchmark": "item_id long, text string",
     }.items():
         spark.createDataFrame([], schema).write.parquet(f"{at}/{name}.parquet")
     return at

@@ -29,7 +29,7 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
     Cuts the lineage with files that outlive executors, so a table used by several
@@ -37,10 +37,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    settle(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """``keep``, then let go of the shuffle files that led to the table."""
+    kept = keep(df, name)
+    settle(df.sparkSession)
+    return kept
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``stash`` that nothing needs any more."""
     spark = df.sparkSession

@@ -6,7 +6,7 @@ import os
 
 import public_tokenizers
 
-from . import bpe, chat, common, media, neighbours, packing, repeats, simhash, substrings, toxicity, warc
+from . import bpe, chat, common, divergence, media, mixing, neighbours, packing, repeats, resampling, simhash, substrings, toxicity, warc
 
 #: Where the tokenizer's file is; a parameter of the operators.
 VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
@@ -55,9 +55,24 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op11_divergence(spark, sf_dir):
+    """Divergences of every (lang, source) from the others of its language, and its overused words."""
+    return divergence.audit(common.documents(spark, sf_dir))
+
+
+def op12_mixing(spark, sf_dir):
+    """Words that the mix takes of every document."""
+    return mixing.mix(common.documents(spark, sf_dir))
+
+
+def op13_resampling(spark, sf_dir):
+    """Scores of all documents against the benchmark's distribution, and the ranks of the drawn ones."""
+    return resampling.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_warc, op3_repeats, op4_substrings, op5_chat, op6_toxicity, op7_neighbours, op8_media, op9_packing, op10_simhash)
+    for f in (op1_bpe, op2_warc, op3_repeats, op4_substrings, op5_chat, op6_toxicity, op7_neighbours, op8_media, op9_packing, op10_simhash, op11_divergence, op12_mixing, op13_resampling)
 }
 
 ORACLE_SQL = {
@@ -69,4 +84,42 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> response_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> response_id THEN response_id END AS refers_to
         FROM m""",
+    "op11_divergence": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS k FROM documents),
+        w AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS df FROM w GROUP BY ALL),
+        t AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term HAVING sum(df) >= 3),
+        l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM t GROUP BY lang),
+        e AS (SELECT c.lang, c.source, term, c.n::HUGEINT AS n, t.n AS lang_n FROM c JOIN t USING (lang, term)),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(l.total, 0) AS lang_total, coalesce((SELECT sum(n) FROM e WHERE e.lang = g.lang AND e.source = g.source), 0)::HUGEINT AS total FROM g LEFT JOIN l ON l.lang = g.lang),
+        p AS (SELECT s.lang, s.source, t.term, e.n, 1 + (1000000000 * (coalesce(e.n, 0) + 1)) // (s.total + s.v) AS p, 1 + (1000000000 * (t.n + 1)) // (s.lang_total + s.v) AS lang_p FROM s JOIN t ON t.lang = s.lang LEFT JOIN e ON e.lang = s.lang AND e.source = s.source AND e.term = t.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - lang_p) * (p - lang_p) // lang_p FROM p WHERE n > 0 AND p > lang_p),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200""",
+    "op12_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+        v AS (SELECT *, 3 * size / w AS ratio, CAST(sum(size) OVER () - (sum(3 * size) OVER o - 3 * size) AS DOUBLE) / (sum(w) OVER (ORDER BY 3 * size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level
+              FROM s WINDOW o AS (ORDER BY 3 * size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+        t AS (SELECT source, size AS source_size, CASE WHEN ratio < level THEN CAST(3 * size AS DOUBLE) ELSE (max(level) FILTER (ratio >= level) OVER ()) * w END AS target FROM v),
+        g AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal FROM t),
+        b AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN goal % source_size ELSE 0 END AS extra,
+              sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, size, source_size, target, CAST(size * whole + greatest(0, least(size, extra - before)) AS BIGINT) AS taken FROM b""",
+    "op13_resampling": r"""
+        WITH a AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS k, text FROM documents UNION ALL SELECT 'b', NULL, 0, text FROM benchmark),
+        w AS (SELECT side, k, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM a),
+        tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+        h AS (SELECT word, xor(list_reduce(list_transform(range(octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), tab),
+        f AS (SELECT side, k, bucket FROM w JOIN h USING (word)),
+        c AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE)))::BIGINT AS gain FROM c),
+        n AS (SELECT k, count(*) AS n, sum(gain)::BIGINT AS gain FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY k),
+        u AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(CAST(floor(gain::DOUBLE / n) AS BIGINT), 0) AS weight, (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u FROM a LEFT JOIN n USING (k) WHERE side = 'd'),
+        x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM u),
+        r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM x)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM r""",
 }
