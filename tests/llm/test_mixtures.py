@@ -175,9 +175,10 @@ def brute_audit(rows, least=3, most=200):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "held"), [(4096, 200_000), (3, 5)])
-def test_divergence(docs, monkeypatch, chunk, held):
+@pytest.mark.parametrize(("chunk", "held", "tile"), [(1 << 14, 100_000, 16), (3, 5, 2), (10, 5, 1)])
+def test_divergence(docs, monkeypatch, chunk, held, tile):
     monkeypatch.setattr(divergence, "CHUNK", chunk)
+    monkeypatch.setattr(divergence, "TILE", tile)
     monkeypatch.setattr(divergence, "HELD", held)
     got = divergence.audit(docs)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]

@@ -4,9 +4,9 @@ Words are counted by (lang, source) in the workers before anything is shuffled.
 language keeps the words of at least ``least`` of its documents; they are dealt into
 chunks of about ``CHUNK`` by hash and numbered in each, so a word's id is exact and no
 array of ids grows with the vocabulary. Each group gives one sorted array of (id, count)
-a chunk. Pair tasks take two groups' arrays of one chunk, once for each unordered pair:
-the shorter array gallops through the longer one, and words of both, of one side only
-and of neither are priced both ways. Sums over chunks are the divergences.
+a chunk. Pair tasks co-group the arrays of one chunk, once for each unordered pair: the
+shorter array gallops through the longer one, and words of both, of one side only and
+of neither are priced both ways. Sums over chunks are the divergences.
 
 All arithmetic is in whole numbers. Null text, lang and source are ''. Groups without
 words and languages without kept words have divergence 0 to all. An empty table gives
@@ -30,7 +30,9 @@ from .resampling import sliced_words
 #: Words: ASCII letters, and all that is not ASCII. The bytes of a UTF-8 text tell.
 WORDS, GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 #: Words that a worker counts before it passes them on, and kept words of a chunk.
-HELD, CHUNK = 200_000, 4096
+HELD, CHUNK = 100_000, 1 << 14
+#: Groups of a language that lie in one tile.
+TILE = 16
 #: Digits of a share: shares are whole numbers of 10 ** -DIGITS.
 DIGITS = 9
 
@@ -116,40 +118,77 @@ def gallop(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return high
 
 
-def merged(a: tuple, b: tuple, terms: int, size: int) -> tuple[int, int]:
-    """Divergence of a from b, and of b from a, over one chunk of ``size`` of the language's ``terms`` words. A side is (ids, counts, total)."""
-    if len(a[0]) > len(b[0]):
-        return merged(b, a, terms, size)[::-1]
-    (ids, n, total), (other, m, all_) = a, b
-    p, q = shares(n, total, terms), shares(m, all_, terms)
-    p0, q0 = int(shares(np.zeros(1, dtype=np.int64), total, terms)[0]), int(shares(np.zeros(1, dtype=np.int64), all_, terms)[0])
-    at = gallop(ids, other) if len(other) else np.zeros(len(ids), dtype=np.int64)
-    both = np.zeros(len(ids), dtype=bool)
-    inside = at < len(other)
-    both[inside] = other[at[inside]] == ids[inside]
-    alone = np.ones(len(other), dtype=bool)
+class Side:
+    """One group's words of one chunk: sorted ids, their shares, and the share of a word that it lacks."""
+
+    def __init__(self, source: str, ids: np.ndarray, n: np.ndarray, total: int, terms: int):
+        self.source, self.ids, self.p = source, ids, shares(n, total, terms) if terms else n
+        self.p0 = int(shares(np.zeros(1, dtype=np.int64), total, terms)[0]) if terms else 1
+
+
+def merged(a: Side, b: Side, size: int) -> tuple[int, int]:
+    """Divergence of a from b, and of b from a, over one chunk of ``size`` words."""
+    if len(a.ids) > len(b.ids):
+        return merged(b, a, size)[::-1]
+    at = gallop(a.ids, b.ids) if len(b.ids) else np.zeros(len(a.ids), dtype=np.int64)
+    both = np.zeros(len(a.ids), dtype=bool)
+    inside = np.flatnonzero(at < len(b.ids))
+    both[inside] = b.ids[at[inside]] == a.ids[inside]
+    alone = np.ones(len(b.ids), dtype=bool)
     alone[at[both]] = False
-    x, y = p[both], q[at[both]]
-    absent = size - len(ids) - int(alone.sum())
-    there = int(price(x, y).sum()) + int(price(p[~both], q0).sum()) + int(price(p0, q[alone]).sum()) + absent * price(p0, q0)
-    back = int(price(y, x).sum()) + int(price(q0, p[~both]).sum()) + int(price(q[alone], p0).sum()) + absent * price(q0, p0)
+    x, y, left, right = a.p[both], b.p[at[both]], a.p[~both], b.p[alone]
+    absent = size - len(a.ids) - len(right)
+    there = int(price(x, y).sum()) + int(price(left, b.p0).sum()) + int(price(a.p0, right).sum()) + absent * price(a.p0, b.p0)
+    back = int(price(y, x).sum()) + int(price(b.p0, left).sum()) + int(price(right, a.p0).sum()) + absent * price(b.p0, a.p0)
     return there, back
 
 
 def pair_sums(cells: DataFrame) -> DataFrame:
-    """``lang, source, item, value`` of all ordered pairs, from ``cells(lang, chunk, source, total, terms, size, ids, ns)``."""
-    left = cells.select("lang", "chunk", "terms", "size", *(F.col(c).alias(f"a_{c}") for c in ("source", "total", "ids", "ns")))
-    right = cells.select("lang", "chunk", *(F.col(c).alias(f"b_{c}") for c in ("source", "total", "ids", "ns")))
-    tasks = left.join(right, ["lang", "chunk"]).where("a_source < b_source")
+    """``lang, source, item, value`` of all ordered pairs, from ``cells(lang, chunk, tile, tiles, source, total, terms, size, ids, ns)``.
+
+    A chunk's groups meet by pairs of tiles, so an array is sent once for each tile and
+    not once for each group that it is compared with, and a task holds two tiles' arrays.
+    """
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
+    keys = ("lang", "chunk", "first", "second")
+    tasks = cells.select("*", others).withColumns({"first": F.least("tile", "other"), "second": F.greatest("tile", "other")})
+    tasks = tasks.drop("other", "tiles").repartition(*keys).sortWithinPartitions(*keys, "tile", "source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        sums: dict[tuple, list[int]] = {}
+        now, sides = None, ([], [])
+
+        def met() -> None:
+            lang, _, first, second, size = now
+            for k, a in enumerate(sides[0]):
+                for b in sides[0][k + 1 :] if first == second else sides[1]:
+                    low, high = (a, b) if a.source < b.source else (b, a)
+                    there, back = merged(low, high, size)
+                    own = sums.setdefault((lang, low.source, high.source), [0, 0])
+                    own[0] += there
+                    own[1] += back
+
+        def summed() -> dict:
+            keys = list(sums)
+            out = {n: [k[i] for k in keys] for i, n in enumerate(("lang", "a", "b"))} | {n: [sums[k][i] for k in keys] for i, n in enumerate(("there", "back"))}
+            sums.clear()
+            return out
+
         for batch in batches:
             at = {c: batch.column(c) for c in batch.schema.names}
-            sums = []
-            for k in range(batch.num_rows):
-                side = lambda s: (at[f"{s}_ids"][k].values.to_numpy(zero_copy_only=False), at[f"{s}_ns"][k].values.to_numpy(zero_copy_only=False), at[f"{s}_total"][k].as_py())  # noqa: B023, E731
-                sums.append(merged(side("a"), side("b"), at["terms"][k].as_py(), at["size"][k].as_py()))
-            yield {"lang": at["lang"], "a": at["a_source"], "b": at["b_source"], "there": [t for t, _ in sums], "back": [b for _, b in sums]}
+            heads = zip(*(at[c].to_pylist() for c in (*keys, "size", "tile", "source", "total", "terms")), strict=True)
+            for k, (*key, tile, source, total, terms) in enumerate(heads):
+                if key != now:
+                    if now is not None:
+                        met()
+                    now, sides = key, ([], [])
+                    if len(sums) > HELD:
+                        yield summed()
+                ids, n = (at[c][k].values.to_numpy(zero_copy_only=False) for c in ("ids", "ns"))
+                sides[tile != key[2]].append(Side(source, ids, n, total, terms))
+        if now is not None:
+            met()
+        yield summed()
 
     parts = common.map_arrow(tasks, run, "lang string, a string, b string, there long, back long")
     sums = parts.groupBy("lang", "a", "b").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
@@ -177,10 +216,12 @@ def audit(docs: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
 
     arrays = entries.groupBy("lang", "source", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("own"))
     widths = known.groupBy("lang", "chunk").agg(F.count("*").alias("size"))
-    grid = groups.withColumn("chunk", F.explode(F.sequence(none, F.greatest(F.col("chunks") - 1, none)))).join(widths, ["lang", "chunk"], "left")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    tiled = groups.withColumn("tile", F.floor(place / TILE)).withColumn("tiles", F.max("tile").over(Window.partitionBy("lang")) + 1)
+    grid = tiled.withColumn("chunk", F.explode(F.sequence(none, F.greatest(F.col("chunks") - 1, none)))).join(widths, ["lang", "chunk"], "left")
     cells = grid.join(arrays, ["lang", "source", "chunk"], "left")
     field = lambda name, kind: F.coalesce(F.col(f"own.{name}"), F.array()).cast(f"array<{kind}>").alias(f"{name}s")
-    cells = common.keep(cells.select("lang", "chunk", "source", "total", "terms", F.coalesce("size", none).alias("size"), field("id", "int"), field("n", "long")), "cells")
+    cells = common.keep(cells.select("lang", "chunk", "tile", "tiles", "source", "total", "terms", F.coalesce("size", none).alias("size"), field("id", "int"), field("n", "long")), "cells")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_sums(cells).withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
 
