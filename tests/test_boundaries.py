@@ -171,12 +171,12 @@ def test_keywords_drop_the_ticker_numbers_and_stop_words(spark):
     assert not {"the", "2330", "2024"} & set(found)
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 5, 200])
-def test_running_total(spark, ranges):
+@pytest.mark.parametrize("limit", [1, 2, 5, 200])
+def test_running_total(spark, limit):
     rows = spark.createDataFrame([(x, n) for n, x in enumerate(["b", "a", "é", "", "ab" * 60, "ab" * 50, None], 1)], "k string, n long")
-    found = {r.k: r.upto for r in ordering.running_total(rows, "k", F.col("n"), "upto", ranges).collect()}
+    found = {r.k: r.upto for r in ordering.running_total(rows, "k", F.col("n"), "upto", limit).collect()}
     assert found == {None: 7, "": 11, "a": 13, "ab" * 50: 19, "ab" * 60: 24, "b": 25, "é": 28}
-    assert ordering.running_total(rows.limit(0), "k", F.col("n"), "upto", ranges).count() == 0
+    assert ordering.running_total(rows.limit(0), "k", F.col("n"), "upto", limit).count() == 0
 
 
 def test_keywords_of_a_single_title(spark):

@@ -69,13 +69,16 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) by running terms; log-space start keeps small terms."""
-    start = F.struct((n * F.log(1 - p)).alias("term"), F.lit(0.0).alias("sum"))
+    """P(X >= k) by running terms; log-space start keeps small terms. At p 0 and 1 all draws are alike."""
+    q = F.when((p > 0) & (p < 1), p).otherwise(0.5)  # a stand-in where no sum is needed
+    start = F.struct((n * F.log(1 - q)).alias("term"), F.lit(0.0).alias("sum"))
     step = lambda acc, i: F.struct(
-        (acc["term"] + F.log((n - i) / (i + 1)) + F.log(p / (1 - p))).alias("term"), (acc["sum"] + F.when(i >= k, F.exp(acc["term"])).otherwise(0.0)).alias("sum")
+        (acc["term"] + F.log((n - i) / (i + 1)) + F.log(q / (1 - q))).alias("term"), (acc["sum"] + F.when(i >= k, F.exp(acc["term"])).otherwise(0.0)).alias("sum")
     )
     body = F.aggregate(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")), start, step)
-    return body["sum"] + F.when(k <= n, F.exp(body["term"])).otherwise(0.0)
+    tail = body["sum"] + F.when(k <= n, F.exp(body["term"])).otherwise(0.0)
+    sure = F.when(k <= 0, 1.0).when(k > n, 0.0).when(p <= 0, 0.0).when(p >= 1, 1.0)
+    return F.coalesce(F.when(p.isNotNull(), sure), F.when(p.isNotNull(), tail))
 
 
 def mcnemar(b: Column, c: Column) -> Column:

@@ -17,10 +17,17 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+#: Full-width forms of ASCII and the ideographic space, and what NFKC makes of them.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
+#: Texts of these letters alone are their own NFKC form: ASCII, unified ideographs and CJK marks.
+_STABLE = r"^[\p{ASCII}\u3001-\u3003\u3005-\u3011\u3400-\u4DBF\u4E00-\u9FFF]*\z"
+
+
 def nfkc(text: Column) -> Column:
-    """NFKC form. ASCII text stays in the JVM: Python gets null in its place."""
-    plain = text.rlike(r"^\p{ASCII}*\z")
-    return F.when(plain, text).otherwise(_nfkc(F.when(~plain, text)))
+    """NFKC form. ASCII and Chinese text stays in the JVM, full-width forms too: Python gets null in its place."""
+    narrow = F.translate(text, _WIDE, _NARROW)
+    plain = narrow.rlike(_STABLE)
+    return F.when(plain, narrow).otherwise(_nfkc(F.when(~plain, text)))
 
 
 def strip_markup(text: Column) -> Column:
@@ -78,10 +85,24 @@ def checked_ticker(ticker: Column) -> Column:
     return F.when(valid_ticker(ticker), F.upper(ticker)).otherwise(F.raise_error(F.concat(F.lit("invalid ticker: "), F.coalesce(ticker, F.lit("null")))))
 
 
+#: Stands after a text to show where it ends.
+_END = "end of the text"
+
+
+def whole_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value as a whole; null for others, for text after a value, and for objects that repeat a key."""
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    alone = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def answer_label(raw: Column) -> Column:
-    """Label of a judge's answer: JSON ``label``, else the only label that it mentions, else null."""
+    """Label of a judge's answer: of a JSON object its ``label``, and of text that is none the only label that it mentions; else null.
+
+    JSON counts if the whole text is one value; one with text after it is no JSON.
+    """
     text = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^```(?:json)?\s*|\s*```$", "")
-    own = F.lower(F.trim(F.get_json_object(text, "$.label")))
+    own = F.lower(F.trim(F.try_variant_get(whole_json(text), "$.label", "string")))
     hits = F.filter(F.array(*map(F.lit, C.LABELS)), lambda name: F.contains(F.lower(text), name))
     return F.when(own.isin(*C.LABELS), own).when(F.size(hits) == 1, F.get(hits, F.lit(0)))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scores as S
+from ..functions import text as T
 
 
 def intervals(calendar: DataFrame) -> DataFrame:
@@ -19,19 +22,43 @@ def intervals(calendar: DataFrame) -> DataFrame:
 def by_session(titles: DataFrame, calendar: DataFrame) -> DataFrame:
     """Titles with the session whose open is the first after them.
 
-    Each interval is exploded into its UTC days, so that the join is an equi-join on
-    the day with the exact bounds as a filter, and no nested loop over the calendar.
+    Sessions open at one hour of their day, so a title's time less that hour falls on a
+    day, and every day between two opens belongs to one session: the calendar becomes one
+    row a day, and an equi-join on the day is all. No title meets more than one row.
     """
-    spans = intervals(calendar)
-    days = spans.select("session", "start", "end", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias("_day"))
-    rows = titles.withColumn("_day", F.to_date("published_at")).join(days, "_day")
-    return rows.where((F.col("published_at") >= F.col("start")) & (F.col("published_at") < F.col("end"))).drop("_day", "start", "end")
+    order = Window.orderBy("session")
+    spans = calendar.select("session", F.lag("session").over(order).alias("_first")).where("_first is not null")
+    days = spans.select("session", F.explode(F.sequence("_first", F.date_sub("session", 1))).alias("_day"))
+    opened = F.to_date(F.col("published_at") - F.expr(f"INTERVAL {C.OPEN_UTC_HOUR} HOUR"))
+    return titles.withColumn("_day", opened).join(days, "_day").drop("_day")
+
+
+def span_of(calendar: DataFrame, as_of, sessions: int = C.BASELINE_SESSIONS + 1) -> DataFrame:
+    """The sessions that a board of ``as_of`` needs: its baseline, itself, and the one before them, whose open is the border."""
+    return calendar.where(F.col("session") <= F.lit(as_of).cast("date")).orderBy(F.desc("session")).limit(sessions + 1)
+
 
+def borders(calendar: DataFrame) -> tuple[datetime, datetime]:
+    """Opens of the first and the last session (UTC): titles from the one up to the other count. One row comes to the driver."""
+    row = calendar.agg(F.min("session").alias("a"), F.max("session").alias("b")).first()
+    if row.a is None:
+        raise ValueError("a calendar without sessions")
+    return tuple(datetime(d.year, d.month, d.day, C.OPEN_UTC_HOUR) for d in (row.a, row.b))
 
-def daily_scores(titles: DataFrame, calendar: DataFrame) -> DataFrame:
-    """``ticker, session, score, n`` for every ticker and session; without titles the score is null and n zero."""
-    found = by_session(titles, calendar).groupBy("ticker", "session").agg(F.avg(F.col("p_positive") - F.col("p_negative")).alias("score"), F.count("*").alias("n"))
-    grid = titles.select("ticker").distinct().join(F.broadcast(intervals(calendar).select("session")))
+
+def headlines_that_count(titles: DataFrame) -> DataFrame:
+    """Titles that are no price reports: those drop out when they are read, even if they were scored."""
+    return titles.where(~T.is_price_report(F.col("title")))
+
+
+def daily_scores(titles: DataFrame, calendar: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """``ticker, session, score, n`` for every ticker and session; without titles the score is null and n zero.
+
+    ``tickers`` is the universe; without it, all tickers with a title, price reports included.
+    """
+    found = by_session(headlines_that_count(titles), calendar).groupBy("ticker", "session").agg(F.avg(F.col("p_positive") - F.col("p_negative")).alias("score"), F.count("*").alias("n"))
+    every = (titles if tickers is None else tickers).select("ticker").distinct()
+    grid = every.join(F.broadcast(intervals(calendar).select("session")))
     return grid.join(found, ["ticker", "session"], "left").select("ticker", "session", "score", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -67,8 +94,8 @@ def with_coverage(assessed: DataFrame, missing: DataFrame) -> DataFrame:
 
 
 def evidence(titles: DataFrame, calendar: DataFrame, n: int = 3) -> DataFrame:
-    """The most negative titles of each ticker and session."""
-    rows = by_session(titles, calendar).withColumn("score", F.col("p_positive") - F.col("p_negative")).where("score < 0")
+    """The most negative titles of each ticker and session, price reports left out."""
+    rows = by_session(headlines_that_count(titles), calendar).withColumn("score", F.col("p_positive") - F.col("p_negative")).where("score < 0")
     order = Window.partitionBy("ticker", "session").orderBy("score", "published_at", "title")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 

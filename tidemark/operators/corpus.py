@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .ordering import running_total
+from .ordering import numbered
 
 
 def dedup(rows: DataFrame) -> DataFrame:
@@ -18,13 +18,12 @@ def dedup(rows: DataFrame) -> DataFrame:
 def split_rows(rows: DataFrame, by: str, key: str, seed: int = C.SPLIT_SEED) -> DataFrame:
     """Stratified split by ``by``: rows in hash order of ``key``, floors for train and validation, the rest for test.
 
-    Places come from running counts over ranges of (class, hash), so no class is one task. Keys are distinct.
+    Places are numbered over ranges of (class, hash), so no class is one task, and rows that share a key get different ones.
     """
     own = F.col(key).cast("string")
-    place = F.concat(F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit("\x01"), F.md5(F.concat(own, F.lit(f"|{seed}"))), F.lit("|"), own)
-    dealt = running_total(rows.withColumn("_place", place), "_place", F.lit(1), "_upto")
+    dealt = numbered(rows, [F.col(by), F.md5(F.concat(own, F.lit(f"|{seed}"))), own], "_upto")
     sizes = dealt.groupBy(F.col(by).alias("_by")).agg((F.min("_upto") - 1).alias("_before"), F.count("*").alias("_n"))
-    both = dealt.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    both = dealt.join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_by")))  # one row a class
     at = F.col("_upto") - F.col("_before")
     train = F.floor(F.col("_n") * C.SPLIT_RATIOS[0])
     val = F.floor(F.col("_n") * C.SPLIT_RATIOS[1])
@@ -38,12 +37,16 @@ def grouped_split(rows: DataFrame, group: str, seed: int = C.SPLIT_SEED) -> Data
 
 
 def permute_labels(rows: DataFrame, seed: int = C.SPLIT_SEED) -> DataFrame:
-    """Labels permuted over distinct texts; equal texts share their new label."""
-    own = rows.groupBy("text").agg(F.min_by("label", "idx").alias("label"))
-    keyed = own.withColumn("h", F.md5(F.concat(F.col("text"), F.lit(f"|{seed}"))))
-    a = running_total(keyed, "text", F.lit(1), "n").select("text", "n")
-    b = running_total(keyed, "h", F.lit(1), "n").select(F.col("label").alias("permuted"), "n")
-    return rows.join(a.join(b, "n").drop("n"), "text")
+    """Labels permuted over distinct texts; equal texts share their new label, and a null text is a text like others.
+
+    Texts are grouped and joined by a 128-bit digest, so what is shuffled and sorted is that, not the text.
+    """
+    digest = F.md5(F.concat(F.when(F.col("text").isNull(), "-").otherwise("+"), F.coalesce("text", F.lit(""))))
+    keyed = rows.withColumn("_text", digest)
+    own = keyed.groupBy("_text").agg(F.min_by("label", "idx").alias("label"))
+    a = numbered(own, ["_text"], "n").select("_text", "n")
+    b = numbered(own, [F.md5(F.concat("_text", F.lit(f"|{seed}")))], "n").select(F.col("label").alias("permuted"), "n")
+    return keyed.join(a.join(b, "n").drop("n"), "_text").drop("_text")
 
 
 def keywords(titles: DataFrame, ticker: str, n: int = 15, max_df: float = 0.8, features: int = 500, stop: list[str] | None = None) -> DataFrame:

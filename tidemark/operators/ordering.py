@@ -1,26 +1,65 @@
-"""Running totals over a whole table in the order of a key, without sorting it in one task."""
+"""Places and running totals over a whole table in the order of keys, without sorting it in one task.
+
+Rows are dealt into ranges by their whole keys, sorted in each, and written once with
+their place in their range. How many a range holds is then known exactly; while one
+holds more than ``limit``, all are dealt again into more ranges. What lies before each
+range is a table with one row a range.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the keys are dealt into, and characters of a text that serve as a bound.
-RANGES, BOUND_CHARS = 200, 64
+from .tables import keep
+
+#: Rows of a range, and how often ranges are dealt anew while one holds more.
+LIMIT, ROUNDS = 2_000_000, 3
 
 
-def range_of(rows: DataFrame, key: str, ranges: int = RANGES) -> Column:
-    """The number of a row's range: how many bounds are at most its key; a null key is in the first.
+def ranged(rows: DataFrame, keys: list[str | Column], limit: int = LIMIT) -> tuple[DataFrame, dict[int, int]]:
+    """``rows`` with ``_range`` and ``_at``, their place from 0 in it, and each range's number of rows.
 
-    The bounds are the keys with the smallest hashes, which is a fair sample of
-    distinct keys and the same one whenever it is taken.
+    Rows whose keys are all equal share a range, whatever the limit; they get places one after another.
     """
-    bound = F.substring(key, 1, BOUND_CHARS) if dict(rows.dtypes)[key] == "string" else F.col(key)
-    picked = rows.where(F.col(key).isNotNull()).select(bound.alias("b"), F.xxhash64(key).alias("h")).orderBy("h", "b").limit(ranges - 1).collect()
-    bounds = sorted({r.b for r in picked})
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
+    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
+    names = [f"_sort{n}" for n in range(len(keys))]
+    keyed = rows.select("*", *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    parts, sizes = None, {}
+    for _ in range(ROUNDS):
+        dealt = keyed.repartitionByRange(*names) if parts is None else keyed.repartitionByRange(parts, *names)
+        # The high bits of this number are the partition, the low 33 the place in it.
+        at = dealt.sortWithinPartitions(*names).withColumn("_at", F.monotonically_increasing_id())
+        at = at.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(2**33 - 1))
+        table = keep(at.drop(*names), "ranged")
+        sizes = {r["_range"]: r["n"] for r in table.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # one row a range
+        if max(sizes.values(), default=0) <= limit:
+            break
+        parts = max(2 * len(sizes), 2 * -(-sum(sizes.values()) // limit))
+    return table, sizes
+
+
+def _before(table: DataFrame, sums: dict[int, float]) -> DataFrame:
+    upto, rows = 0, []
+    for k in sorted(sums):
+        rows.append((k, upto))
+        upto += sums[k]
+    kind = "double" if any(isinstance(b, float) for _, b in rows) else "long"
+    return table.sparkSession.createDataFrame(rows, f"_range long, _before {kind}")
+
+
+def numbered(rows: DataFrame, keys: list[str | Column], name: str, limit: int = LIMIT) -> DataFrame:
+    """Add each row's place, from 1, in the order of ``keys``; rows with equal keys get different ones."""
+    table, sizes = ranged(rows, keys, limit)
+    return table.join(F.broadcast(_before(table, sizes)), "_range").select(*rows.columns, (F.col("_before") + F.col("_at") + 1).alias(name))
+
+
+def running_total(rows: DataFrame, key: str, weight: Column, name: str, limit: int = LIMIT) -> DataFrame:
+    """Add the sum of ``weight`` over all rows up to the own in the order of ``key``; of rows with one key, each counts those placed before it."""
+    table, _ = ranged(rows.withColumn("_weight", weight), [key], limit)
+    sums = {r["_range"]: r["s"] for r in table.groupBy("_range").agg(F.sum("_weight").alias("s")).collect()}  # one row a range
+    own = F.sum("_weight").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return table.withColumn("_own", own).join(F.broadcast(_before(table, sums)), "_range").select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))
 
 
 def percentiles(rows: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
@@ -29,21 +68,10 @@ def percentiles(rows: DataFrame, column: str, shares: tuple[float, ...]) -> Data
     Nulls don't count.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
-    upto = running_total(counts, "x", F.col("c"), "upto").join(F.broadcast(counts.agg(F.sum("c").alias("n"))))
+    upto = running_total(counts, "x", F.col("c"), "upto")
+    upto = upto.join(F.broadcast(upto.agg(F.sum("c").alias("n"))))
     at = [F.lit(s) * (F.col("n") - 1) for s in shares]
     value = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
     found = upto.agg(F.max("n").alias("n"), *(value(F.floor(a)).alias(f"l{k}") for k, a in enumerate(at)), *(value(F.ceil(a)).alias(f"h{k}") for k, a in enumerate(at)))
     part = lambda s: s * (F.col("n") - 1) - F.floor(s * (F.col("n") - 1))
     return found.select("n", F.array(*(F.col(f"l{k}") + part(F.lit(s)) * (F.col(f"h{k}") - F.col(f"l{k}")) for k, s in enumerate(shares))).alias("p"))
-
-
-def running_total(rows: DataFrame, key: str, weight: Column, name: str, ranges: int = RANGES) -> DataFrame:
-    """Add the sum of ``weight`` over all rows whose key is not above the own; keys are distinct.
-
-    Ranges are summed apart, and what lies before each is a table of at most ``ranges`` rows.
-    """
-    dealt = rows.withColumn("_range", range_of(rows, key, ranges)).withColumn("_weight", weight)
-    sums = dealt.groupBy("_range").agg(F.sum("_weight").alias("_sum"))
-    before = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
-    own = F.sum("_weight").over(Window.partitionBy("_range").orderBy(key))
-    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))

@@ -32,7 +32,8 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def replace_by(old: DataFrame, new: DataFrame, key: str, value) -> DataFrame:
-    return old.where(F.col(key) != value).unionByName(new)
+    """``old`` without the rows whose key is ``value``, and ``new``; rows with another key stay, a null one too."""
+    return old.where(~F.col(key).eqNullSafe(F.lit(value))).unionByName(new)
 
 
 def unscored(headlines: DataFrame, scores: DataFrame, since=None) -> DataFrame:

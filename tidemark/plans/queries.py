@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import agreement, alerts, corpus, events, storage
+from ..operators import agreement, alerts, asof, corpus, events, storage
 from ..operators.ordering import percentiles
 from ..sources import views as V
 
@@ -31,13 +31,15 @@ def query(sql: str | None = None):
     return keep
 
 
-HEAD = """h AS (SELECT CAST(user_id AS VARCHAR) AS ticker, event_type || '-' || event_id AS title, ts AS published_at,
+#: Titles that the rule takes for price reports; DuckDB's digits are ASCII, so full-width ones are named.
+PRICE = "regexp_matches(title, '" + "|".join(C.PRICE_REPORT_PATTERNS).replace("[\\d", "[0-9０-９").replace("\\d", "[0-9０-９]") + "')"
+HEAD = """h AS (SELECT CAST(user_id AS VARCHAR) AS ticker, event_type || '-' || event_id || CASE event_id % 9 WHEN 4 THEN ' 台股收跌' WHEN 5 THEN ' 重挫１' || (event_id % 10) || '點' ELSE '' END AS title, ts AS published_at,
   CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_negative,
   CASE WHEN event_type IN ('purchase', 'signup') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_positive,
   least(value / 500, 1.0) AS confidence, event_type AS source, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id FROM events)"""
 CAL = """cal AS (SELECT CAST(d AS DATE) AS session, d + INTERVAL 1 HOUR AS open FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6),
   spans AS (SELECT * FROM (SELECT session, open AS "end", lag(open) OVER (ORDER BY session) AS start FROM cal) WHERE start IS NOT NULL)"""
-DAILY = f"""{HEAD}, {CAL}, b AS (SELECT h.*, s.session FROM h JOIN spans s ON h.published_at >= s.start AND h.published_at < s."end"),
+DAILY = f"""{HEAD}, {CAL}, b AS (SELECT h.*, s.session FROM h JOIN spans s ON h.published_at >= s.start AND h.published_at < s."end" WHERE NOT {PRICE}),
   f AS (SELECT ticker, session, avg(p_positive - p_negative) AS score, count(*) AS n FROM b GROUP BY ALL),
   daily AS (SELECT t.ticker, s.session, f.score, coalesce(f.n, 0) AS n FROM (SELECT DISTINCT ticker FROM h) t CROSS JOIN spans s LEFT JOIN f ON f.ticker = t.ticker AND f.session = s.session)"""
 ASSESSED = f"""{DAILY}, w AS (SELECT *, avg(score) OVER p AS mean, stddev_samp(score) OVER p AS std, count(score) OVER p AS days,
@@ -52,15 +54,26 @@ def assessed(spark, sf):
     return alerts.assess(alerts.daily_scores(V.headlines(spark, sf), V.calendar(spark)))
 
 
+def board_parts(spark, sf):
+    """What the board of AS_OF reads: its sessions, and the titles between their borders, which reach the scan."""
+    calendar = alerts.span_of(V.calendar(spark), AS_OF)
+    return V.headlines(spark, sf, *alerts.borders(calendar)), calendar
+
+
+def board(spark, sf, include_all=True):
+    titles, calendar = board_parts(spark, sf)
+    return alerts.board(alerts.assess(alerts.daily_scores(titles, calendar, V.universe(spark, sf))), AS_OF, include_all)
+
+
 @query(f"WITH {ASSESSED} SELECT ticker, session, level, round(z, 4) AS z, round(score, 4) AS score, n, round(mean, 4) AS mean, round(std, 4) AS std, round(recent_score, 4) AS recent_score, round(score - mean, 4) AS change FROM a WHERE session = DATE '{AS_OF}'")
 def alert_board(spark, sf):
-    rows = alerts.board(assessed(spark, sf), AS_OF)
+    rows = board(spark, sf)
     return rows.select("ticker", "session", "level", *(R(c, 4) for c in ("z", "score")), "n", *(R(c, 4) for c in ("mean", "std", "recent_score", "change")))
 
 
 @query(f"WITH {ASSESSED} SELECT ticker, level, round(z, 4) AS z FROM a WHERE session = DATE '{AS_OF}' AND level IN ('high', 'watch')")
 def alert_triggered(spark, sf):
-    return alerts.board(assessed(spark, sf), AS_OF, include_all=False).select("ticker", "level", R("z", 4))
+    return board(spark, sf, include_all=False).select("ticker", "level", R("z", 4))
 
 
 @query(f"WITH {ASSESSED} SELECT session, count(*) FILTER (level = 'high') AS high, count(*) FILTER (level = 'watch') AS watch, count(*) FILTER (level = 'normal') AS normal, count(*) FILTER (level = 'insufficient') AS insufficient FROM a GROUP BY session")
@@ -68,9 +81,11 @@ def alert_level_counts(spark, sf):
     return assessed(spark, sf).groupBy("session").agg(*(F.count_if(F.col("level") == x).alias(x) for x in C.LEVELS))
 
 
-@query(f"WITH {ASSESSED} SELECT a.ticker, count(*) AS sessions, count(*) FILTER (level = 'insufficient') AS short, cast(0 AS BIGINT) AS covered FROM a GROUP BY a.ticker")
+@query(f"WITH {ASSESSED} SELECT ticker, count(*) AS sessions, count(*) FILTER (level = 'insufficient') AS short, count(*) FILTER (days < 10) AS little_history, count(*) FILTER (n < 2) AS few_titles FROM a GROUP BY ticker")
 def alert_short_history(spark, sf):
-    return assessed(spark, sf).groupBy("ticker").agg(F.count("*").alias("sessions"), F.count_if(F.col("level") == "insufficient").alias("short"), F.lit(0).cast("long").alias("covered"))
+    """Why sessions of a ticker have no level: too little history, or too few titles."""
+    short = [F.count_if(F.col("level") == "insufficient").alias("short"), F.count_if(F.col("days") < C.MIN_BASELINE_DAYS).alias("little_history"), F.count_if(F.col("n") < C.MIN_ARTICLES).alias("few_titles")]
+    return assessed(spark, sf).groupBy("ticker").agg(F.count("*").alias("sessions"), *short)
 
 
 @query(f"WITH {DAILY} SELECT ticker, session, round(score, 6) AS score, n FROM daily")
@@ -107,8 +122,7 @@ def coverage_missing_days(spark, sf):
 
 @query(f"WITH {ASSESSED}, {MISSING} SELECT a.ticker, CASE WHEN missing > 0 THEN 'insufficient' ELSE level END AS level, CASE WHEN missing = 0 THEN round(z, 4) END AS z FROM a JOIN miss USING (ticker) WHERE session = DATE '{AS_OF}'")
 def coverage_override(spark, sf):
-    rows = assessed(spark, sf).where(F.col("session") == F.lit(AS_OF).cast("date"))
-    return alerts.with_coverage(rows, coverage_missing_days(spark, sf)).select("ticker", "level", R("z", 4))
+    return alerts.with_coverage(board(spark, sf), coverage_missing_days(spark, sf)).select("ticker", "level", R("z", 4))
 
 
 @query(f"WITH {HEAD}, s AS (SELECT ticker, sum((p_positive - p_negative) * confidence) / count(*) AS raw, count(*) AS n FROM h GROUP BY ticker) SELECT ticker, round(raw, 4) AS score, CASE WHEN raw > 0.15 THEN 'positive' WHEN raw < -0.15 THEN 'negative' ELSE 'neutral' END AS label, n FROM s")
@@ -244,7 +258,7 @@ def grouped_split(spark, sf):
     return corpus.grouped_split(V.corpus(spark, sf).select("idx", "label", "grp"), "grp").select("idx", "grp", "split")
 
 
-@query(f"WITH {CORPUS}, k AS (SELECT text, arg_min(label, idx) AS label FROM c GROUP BY text), a AS (SELECT text, row_number() OVER (ORDER BY text) AS n FROM k), b AS (SELECT label AS permuted, row_number() OVER (ORDER BY md5(text || '|42')) AS n FROM k) SELECT idx, permuted FROM c JOIN a USING (text) JOIN b USING (n)")
+@query(f"WITH {CORPUS}, t AS (SELECT *, md5('+' || text) AS d FROM c), k AS (SELECT d, arg_min(label, idx) AS label FROM t GROUP BY d), a AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM k), b AS (SELECT label AS permuted, row_number() OVER (ORDER BY md5(d || '|42')) AS n FROM k) SELECT idx, permuted FROM t JOIN a USING (d) JOIN b USING (n)")
 def permuted_labels(spark, sf):
     return corpus.permute_labels(V.corpus(spark, sf).select("idx", "text", "label")).select("idx", "permuted")
 
@@ -357,7 +371,7 @@ def event_timeline(spark, sf):
   t AS (SELECT k, n, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.1) + (n - i) * ln(0.9) AS l FROM c, generate_series(0, n) g(i))
   SELECT k, n, round(coalesce(sum(exp(l)) FILTER (i >= k), 0), 6) AS p, round(1 - pow(0.9, 5), 6) AS any_of_five FROM t GROUP BY k, n""")
 def alarm_binomial(spark, sf):
-    rows = assessed(spark, sf).where((F.col("session") == F.lit(AS_OF).cast("date")) & (F.col("level") != "insufficient")).agg(F.count_if(F.col("level").isin("high", "watch")).alias("k"), F.count("*").alias("n"))
+    rows = board(spark, sf).where(F.col("level") != "insufficient").agg(F.count_if(F.col("level").isin("high", "watch")).alias("k"), F.count("*").alias("n"))
     return rows.select("k", "n", F.round(S.binomial_tail(F.col("k"), F.col("n"), F.lit(0.1)), 6).alias("p"), F.round(1 - F.pow(F.lit(0.9), F.lit(5)), 6).alias("any_of_five"))
 
 
@@ -375,10 +389,19 @@ def fetch_origin(spark, sf):
 
 @query(f"WITH {FETCHED}, {CAL} SELECT ticker, utc_day, coalesce((SELECT max(session) FROM cal WHERE session <= utc_day), (SELECT min(session) FROM cal)) AS session FROM fl")
 def snap_to_session(spark, sf):
-    sessions = V.calendar(spark).agg(F.array_sort(F.collect_list("session")).alias("all"))
-    rows = fetch_log(spark, sf).join(F.broadcast(sessions))
-    past = F.filter("all", lambda s: s <= F.col("utc_day"))
-    return rows.select("ticker", "utc_day", F.coalesce(F.array_max(past), F.get("all", F.lit(0))).alias("session"))
+    """Days with the last session at or before them, or the first session of all."""
+    sessions = V.calendar(spark)
+    rows = asof.as_of(fetch_log(spark, sf), sessions, "utc_day", "session")
+    first = F.broadcast(sessions.agg(F.min("session").alias("first")))
+    return rows.join(first).select("ticker", "utc_day", F.coalesce("found.session", "first").alias("session"))
+
+
+@query(f"WITH {HEAD}, e AS (SELECT * FROM h WHERE p_negative = 1), q AS (SELECT ticker, title, published_at FROM h WHERE p_positive = 1) SELECT q.ticker, q.title, (SELECT max(e.published_at) FROM e WHERE e.ticker = q.ticker AND e.published_at < q.published_at) AS last_negative FROM q")
+def last_negative_before(spark, sf):
+    """Each positive title with the time of its ticker's last negative one strictly before it."""
+    h = V.headlines(spark, sf).select("ticker", "title", "published_at", "p_negative", "p_positive")
+    rows = asof.as_of(h.where("p_positive = 1"), h.where("p_negative = 1").select("ticker", "published_at"), "published_at", "published_at", ["ticker"], strict=True)
+    return rows.select("ticker", "title", F.col("found.published_at").cast("timestamp_ntz").alias("last_negative"))
 
 
 @query("SELECT CAST(d AS DATE) AS session FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6")

@@ -9,7 +9,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..operators import agreement, alerts, events, storage
 from ..sources import views as V
-from .queries import AS_OF, ASSESSED, CORPUS, HEAD, PAIRS, R, assessed, pairs, query
+from .queries import AS_OF, ASSESSED, CORPUS, HEAD, PAIRS, PRICE, R, assessed, board, board_parts, pairs, query
 
 
 @query(f"WITH {CORPUS}, n AS (SELECT label, count(*) AS n FROM c GROUP BY label) SELECT (SELECT label FROM n ORDER BY n DESC, label LIMIT 1) AS majority, round(max(n) / sum(n), 6) AS baseline FROM n")
@@ -24,12 +24,12 @@ def batch_agreement(spark, sf):
     return rows.groupBy("batch").agg(F.count("*").alias("n"), F.round(F.avg((F.col("h") == F.col("m")).cast("double")), 6).alias("agreement"))
 
 
-@query(f"""WITH {HEAD}, b AS (SELECT *, k % 3 = 0 AND published_at >= TIMESTAMP '2024-01-10' AS scored FROM h), f AS (SELECT min(published_at) AS first FROM b WHERE scored),
-  x AS (SELECT count(*) AS legacy, count(*) FILTER (scored) AS paired FROM b, f WHERE k % 2 = 0 AND published_at >= first)
+@query(f"""WITH {HEAD}, b AS (SELECT *, k % 3 = 0 AND published_at >= TIMESTAMP '2024-01-10' AS scored FROM h WHERE NOT {PRICE}), f AS (SELECT min(published_at) AS first FROM b WHERE scored),
+  x AS (SELECT count(*) AS legacy, count(*) FILTER (scored) AS paired FROM b, f WHERE k % 2 = 0 AND published_at >= first AND NOT {PRICE})
   SELECT legacy, paired, round(paired / legacy, 6) AS coverage, CASE WHEN paired < 200 THEN 'no conclusion: pairs' WHEN paired / legacy < 0.95 THEN 'no conclusion: coverage' ELSE 'other' END AS verdict FROM x""")
 def scorer_coverage(spark, sf):
-    """Titles of the legacy scorer since the new one's first score, how many of them it has scored, and the verdict at kappa zero."""
-    h = V.headlines(spark, sf)
+    """Titles of the legacy scorer since the new one's first score, how many of them it has scored, and the verdict at kappa zero; price reports don't count."""
+    h = alerts.headlines_that_count(V.headlines(spark, sf))
     legacy = h.where("k % 2 = 0").select("ticker", "title", "published_at")
     new = h.where("k % 3 = 0").where(F.col("published_at") >= F.lit("2024-01-10").cast("timestamp")).select("ticker", "title", "published_at")
     rows = agreement.coverage(legacy, new)
@@ -112,5 +112,6 @@ def event_hits(spark, sf):
   SELECT a.ticker, level, round(z, 4) AS z, coalesce(evidence, '') AS evidence FROM a LEFT JOIN t USING (ticker, session) WHERE session = DATE '{AS_OF}'""")
 def board_with_evidence(spark, sf):
     """The board with each ticker's evidence nested."""
-    rows = alerts.with_evidence(alerts.board(assessed(spark, sf), AS_OF), alerts.evidence(V.headlines(spark, sf), V.calendar(spark)))
+    titles, calendar = board_parts(spark, sf)
+    rows = alerts.with_evidence(board(spark, sf), alerts.evidence(titles, calendar))
     return rows.select("ticker", "level", R("z", 4), F.array_join(F.transform("evidence", lambda e: e["title"]), " | ").alias("evidence"))

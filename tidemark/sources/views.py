@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as scored headlines: ticker, title, time, three probabilities, confidence, source."""
-    kind = F.col("event_type")
-    return read(spark, sf_dir, "events").select(
+def headlines(spark: SparkSession, sf_dir: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Events as scored headlines: ticker, title, time, three probabilities, confidence, source. Some titles are price reports.
+
+    ``start`` and ``end`` (UTC, the latter excluded) reach the scan as bounds of the stored time.
+    """
+    kind, n = F.col("event_type"), F.col("event_id")
+    rows = read(spark, sf_dir, "events")
+    stored = dict(rows.dtypes)["ts"]
+    for bound, within in ((start, F.col("ts").__ge__), (end, F.col("ts").__lt__)):
+        if bound is not None:
+            rows = rows.where(within(F.lit(f"{bound:%Y-%m-%d %H:%M:%S}").cast(stored)))
+    price = F.when(n % 9 == 4, " 台股收跌").when(n % 9 == 5, F.concat(F.lit(" 重挫１"), (n % 10).cast("string"), F.lit("點"))).otherwise("")
+    return rows.select(
         F.col("user_id").cast("string").alias("ticker"),
-        F.concat_ws("-", kind, F.col("event_id").cast("string")).alias("title"),
+        F.concat(kind, F.lit("-"), n.cast("string"), price).alias("title"),
         F.col("ts").cast("timestamp").alias("published_at"),
         F.when(kind == "error", 1.0).otherwise(0.0).alias("p_negative"),
         F.when(kind.isin("error", "purchase", "signup"), 0.0).otherwise(1.0).alias("p_neutral"),
@@ -31,6 +42,11 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tickers, from one column of the stored table."""
+    return read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("ticker")).distinct()
+
+
 def calendar(spark: SparkSession, first: str = "2024-01-01", last: str = "2024-01-31") -> DataFrame:
     """Weekdays as trading sessions."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("session"))
