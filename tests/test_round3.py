@@ -1,5 +1,7 @@
 """Rules on single frames: JSON as a whole, rows that must not be lost, as-of joins, places, price reports, stored tables."""
 
+import json
+import math
 import random
 from collections import Counter
 from datetime import date, datetime
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
-from tidemark.operators import alerts, asof, corpus, ordering, storage, studies, tables
+from tidemark.operators import alerts, asof, classify, corpus, ordering, storage, studies, tables
 from tidemark.plans import queries as plans
 from tidemark.sources import views as V
 
@@ -147,3 +149,105 @@ def test_write_once_and_batches(spark, tmp_path):
     spark.range(50).write.parquet(f"{at}/data/batch=b3")  # a writer lost before its line
     assert tables.batches(spark, at, "id long").count() == 6 and tables.append_batch(spark.range(3), at, "b3")
     assert Counter(r.batch for r in tables.batches(spark, at, "id long").collect()) == {"b1": 4, "b2": 2, "b3": 3}
+
+
+def noisy(spark, n, seed):
+    rng = random.Random(seed)
+    words = {0: ["loss", "falls", "weak"], 1: ["meeting", "held", "today"], 2: ["profit", "rises", "strong"]}
+    rows = []
+    for k in range(n):
+        label = rng.choice([0, 1, 1, 2])
+        said = [rng.choice(words[label if rng.random() < 0.6 else rng.randrange(3)]) for _ in range(3)] + [f"w{rng.randrange(30)}" for _ in range(3)]
+        rows.append((k, " ".join(said), label))
+    return spark.createDataFrame(rows, "idx long, text string, label int")
+
+
+def log_loss(rows, column):
+    return sum(-math.log(max(r[column][r.label], 1e-12)) for r in rows) / len(rows)
+
+
+def test_calibrated_svm(spark, tmp_path):
+    model = classify.fit(noisy(spark, 240, 1), "svm", steps=15)
+    held = noisy(spark, 120, 2)
+    rows = model.probabilities(held).collect()
+    assert all(abs(sum(r.p) - 1) < 1e-9 for r in rows)
+    raw = [r for r in model.margins(held).collect()]
+    plain = []
+    for r in raw:  # margins taken for logits, the mean of the folds
+        folds = [[math.exp(x) for x in r._margins[3 * f : 3 * f + 3]] for f in range(5)]
+        plain.append(-math.log(sum(e[r.label] / sum(e) for e in folds) / 5))
+    assert log_loss(rows, "p") < sum(plain) / len(plain)
+    assert sum(max(range(3), key=lambda k: r.p[k]) == r.label for r in rows) / len(rows) > 0.6
+    model.save(f"{tmp_path}/svm")
+    again = classify.Classifier.load(spark, f"{tmp_path}/svm", seed=42)
+    assert Counter(tuple(round(x, 9) for x in r.p) for r in again.probabilities(held).collect()) == Counter(tuple(round(x, 9) for x in r.p) for r in rows)
+
+
+def test_sigmoids_as_a_search_finds_them(spark):
+    rng = random.Random(3)
+    rows = [(m, x := rng.gauss(0, 2), float(rng.random() < 1 / (1 + math.exp(-(m + 1) * x + 1)))) for m in range(2) for _ in range(150)]
+    got = classify.sigmoid_fit(spark.createDataFrame(rows, "model int, margin double, label double"), 2)
+
+    def loss(own, a, b):
+        up = sum(y for _, _, y in own)
+        hi, lo = (up + 1) / (up + 2), 1 / (len(own) - up + 2)
+        return sum((t := hi if y else lo) * math.log1p(math.exp(a * x + b)) + (1 - t) * math.log1p(math.exp(-a * x - b)) for _, x, y in own)
+
+    for m, (a, b) in enumerate(got):
+        own = [r for r in rows if r[0] == m]
+        at = loss(own, a, b)
+        assert all(at <= loss(own, a + da, b + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+
+
+def test_predictions_as_plain_arithmetic(spark):
+    frame = noisy(spark, 60, 4)
+    model = classify.fit(frame, steps=20)
+    weights = {r.term: (r.idf, r.w) for r in model.weights.collect()}
+    texts = [(r.idx, r.text, r.label) for r in frame.collect()]
+    terms = lambda t: t.split() + [f"{a} {b}" for a, b in zip(t.split(), t.split()[1:], strict=False)]
+    df = Counter(w for _, t, _ in texts for w in set(terms(t)))
+    assert set(weights) == {w for w, n in df.items() if n >= 2} and len(weights) > 30
+    assert all(idf == pytest.approx(math.log(61 / (1 + df[w])) + 1) for w, (idf, _) in weights.items())
+    odd = spark.createDataFrame([(1000, None, 0), (1001, "", 0), (1002, "unseen words", 1), (0, texts[0][1], 0), (0, texts[0][1], 0)], "idx long, text string, label int")
+    got = model.probabilities(frame.unionByName(odd)).collect()
+    assert len(got) == 65
+    for r in got:
+        tf = {w: n for w, n in Counter(terms(r.text or "")).items() if w in weights}
+        v = {w: (1 + math.log(n)) * weights[w][0] for w, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        z = [b + sum(x * weights[w][1][k] for w, x in v.items()) / norm for k, b in enumerate(model.intercepts)]
+        e = [math.exp(x - max(z)) for x in z]
+        assert r.p == pytest.approx([x / sum(e) for x in e])
+    plan = model.probabilities(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_classes_unseen_and_targets(spark):
+    two = classify.fit(spark.createDataFrame([("good news", 2), ("good day", 2), ("bad news", 0), ("bad day", 0)], "text string, label int"), target_dependent=True, steps=10)
+    assert two.probabilities(spark.createDataFrame([("bad",)], "text string")).first().p[1] == 0.0
+    rows = spark.createDataFrame([("bad <b>news</b>", "TSMC"), (None, None)], "title string, target string")
+    assert [r.label for r in two.classify(rows).orderBy("title").collect()][1] == "negative"
+    same = classify.fit(spark.createDataFrame([("a b", 1)], "text string, label int"))
+    assert same.predict(spark.createDataFrame([("x",)], "text string")).first().predicted == 1
+
+
+def test_evaluation_and_comparison(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)], "label int, predicted int")
+    r = classify.evaluate(rows).first()
+    assert (r.n, r.accuracy, r.majority_class, r.majority_share) == (5, 0.6, "negative", 0.4)
+    assert r.confusion == [[1, 1, 0], [0, 2, 0], [0, 1, 0]] and r.macro_f1 == pytest.approx((2 / 3 + 2 / 3 + 0) / 3)
+    assert r.distribution == {"negative": 2, "neutral": 2, "positive": 1}
+    assert classify.evaluate(rows.limit(0)).first().accuracy is None
+    meta = [json.dumps({"model_name": "b", "trained_at": "2026-01-02T03:04", "metrics": {"test": {"macro_f1": 0.5, "cpu_ms_per_sentence": 1.25}}}), json.dumps({"model_name": "a"})]
+    got = classify.comparison(spark.createDataFrame([(m,) for m in meta], "value string")).collect()
+    assert [tuple(r) for r in got] == [("a", "—", "—", "—", "—", "—", ""), ("b", "—", "0.5000", "—", "—", "1.25", "2026-01-02")]
+
+
+def test_leak_is_found_where_test_rows_are_in_train(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(k, " ".join(f"word{rng.randrange(150)}" for _ in range(14)), k % 3) for k in range(120)], "idx long, text string, label int")
+    split = spark.createDataFrame([(k, "train" if k % 3 else "test") for k in range(120)], "idx long, split string")
+    fit = lambda train: classify.fit(train, steps=25)
+    found = studies.leak_score(rows, studies.with_duplicates(split, 40), fit).first()
+    assert found.leaked and found.accuracy > 0.8 and (found.n_train, found.n_test) == (120, 40)
+    assert studies.leak_score(rows, split, fit).first().accuracy < 0.6

@@ -1,27 +1,36 @@
-"""A text classifier with pyspark.ml: tf-idf of words and word pairs, balanced logistic regression, and its stored form.
+"""Text classifiers on tf-idf of words and word pairs: balanced logistic regression and a calibrated linear SVM.
 
 Terms are words of two letters or more and pairs of neighbours that at least two texts
 have; a term counts 1 + ln(tf), times ln((1 + n) / (1 + df)) + 1, and rows have length 1.
-What reaches the driver is the vocabulary, bounded by ``terms``.
+Features are made by joins and aggregations: the vocabulary is a table, numbered over
+ranges, and a text's vector is a row of it. A fitted model is a table of weights by
+term, so predicting is a join, too; what the driver holds is what pyspark.ml's solvers
+keep there, a few numbers a term.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer
+import pandas as pd
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .. import constants as C
+from ..functions import text as T
+from .ordering import numbered
+from .tables import keep
 
 #: What a stored model must agree with to be loaded.
 CHECKED = ("labels", "agreement", "seed")
+CLASSES = range(len(C.LABELS))
+FOLDS = 5
 
 
 def terms_of(text: Column) -> Column:
@@ -31,27 +40,89 @@ def terms_of(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-_sublinear = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
+def input_text(title: Column, target: Column | None = None) -> Column:
+    """What a model reads: the cleaned title, after its target where the model depends on one."""
+    return T.clean_text(title) if target is None else T.target_text(target, title)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``doc, term, tf`` of ``docs(doc, text)``."""
+    return docs.select("doc", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary_of(tf: DataFrame, n: int, least: int = 2) -> DataFrame:
+    """``term, id, idf`` of all terms that ``least`` texts have; ids from 0 in the order of the terms."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
+    return keep(numbered(df, ["term"], "id").select("term", (F.col("id") - 1).cast("int").alias("id"), idf.alias("idf")), "vocabulary")
+
+
+def vectors(docs: DataFrame, tf: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``doc, label, fold, features`` of ``docs(doc, label, fold)``: sparse vectors of length 1, or empty ones.
+
+    The rows are written as what a vector is made of and read as vectors.
+    """
+    width = vocabulary.count()
+    cells = tf.join(vocabulary, "term").select("doc", "id", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    own = cells.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("id", "w"))).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    rows = docs.join(own, "doc", "left")
+    indices = F.coalesce(F.col("cells.id"), F.array().cast("array<int>"))
+    values = F.coalesce(F.transform("cells", lambda c: c["w"] / F.col("norm")), F.array().cast("array<double>"))
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(width).alias("size"), indices.alias("indices"), values.alias("values"))
+    made = rows.select("doc", F.col("label").cast("double").alias("label"), "fold", "weight", parts.alias("features"))
+    return keep(made, "features", StructType([f if f.name != "features" else StructField("features", VectorUDT()) for f in made.schema]))
 
 
 @dataclass
 class Classifier:
-    vectorizer: CountVectorizerModel
-    scale: list[float]
-    model: LogisticRegressionModel
+    """``weights(term, idf, w)``, ``w`` being one number for each of the model's margins, with their intercepts and what turns them to probabilities."""
+
+    weights: DataFrame
+    intercepts: list[float]
+    sigmoids: list[tuple[float, float]] | None
     metadata: dict
 
+    def margins(self, rows: DataFrame) -> DataFrame:
+        """All columns of ``rows(text)`` plus ``_margins``; every row is told apart, repeated ones too."""
+        docs = keep(rows.withColumn("_doc", F.monotonically_increasing_id()), "texts")
+        known = counted(docs.select(F.col("_doc").alias("doc"), "text")).join(self.weights, "term").withColumn("v", (1 + F.log("tf")) * F.col("idf"))
+        width = len(self.intercepts)
+        sums = known.groupBy("doc").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), *(F.sum(F.col("v") * F.col("w")[k]).alias(f"s{k}") for k in range(width)))
+        out = docs.join(sums, docs["_doc"] == sums["doc"], "left")
+        return out.select(*rows.columns, F.array(*(F.lit(b) + F.coalesce(F.col(f"s{k}") / F.col("norm"), F.lit(0.0)) for k, b in enumerate(self.intercepts))).alias("_margins"))
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        """All columns plus ``p``, the labels' probabilities; a label that the model hasn't seen has 0."""
+        out, seen = self.margins(rows), self.metadata["seen"]
+        at = lambda k: F.col("_margins")[k]
+        if self.sigmoids is None:
+            top = F.array_max("_margins")
+            found = [F.exp(at(k) - top) for k in range(len(seen))]
+        else:  # each fold's calibrated classes, made one, and the mean of the folds
+            found = [F.lit(0.0)] * len(seen)
+            for fold in range(len(self.sigmoids) // len(seen)):
+                each = [1 / (1 + F.exp(a * at(m) + b)) for m, (a, b) in ((fold * len(seen) + k, self.sigmoids[fold * len(seen) + k]) for k in range(len(seen)))]
+                total = sum(each[1:], each[0])
+                found = [f + F.coalesce(F.try_divide(e, total), F.lit(1.0 / len(seen))) for f, e in zip(found, each, strict=True)]
+        total = sum(found[1:], found[0])
+        p = {c: f / total for c, f in zip(seen, found, strict=True)}
+        return out.select(*rows.columns, F.array(*(p.get(k, F.lit(0.0)) for k in CLASSES)).alias("p"))
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """All columns plus ``predicted`` (a number, the smallest of equals) and ``confidence``, its probability."""
-        out = self.model.transform(_features(self.vectorizer, self.scale, rows)).withColumn("_p", vector_to_array("probability"))
-        top = F.array_max("_p")
-        return out.select(*rows.columns, (F.array_position("_p", top) - 1).cast("int").alias("predicted"), top.alias("confidence"))
+        top = F.array_max("p")
+        return self.probabilities(rows).select(*rows.columns, (F.array_position("p", top) - 1).cast("int").alias("predicted"), top.alias("confidence"))
+
+    def classify(self, articles: DataFrame) -> DataFrame:
+        """``articles(title)`` with ``label`` and ``confidence``; a model that depends on targets reads ``target`` before the title."""
+        target = F.col("target") if self.metadata.get("target_dependent") else None
+        rows = self.predict(articles.withColumn("text", input_text(F.col("title"), target)))
+        return rows.select(*articles.columns, F.get(F.array(*map(F.lit, C.LABELS)), "predicted").alias("label"), "confidence")
 
     def save(self, path: str) -> None:
-        self.vectorizer.write().save(f"{path}/vectorizer")
-        self.model.write().save(f"{path}/model")
-        spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps(self.metadata | {"scale": self.scale}),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+        self.weights.write.parquet(f"{path}/weights")
+        rest = json.dumps(self.metadata | {"intercepts": self.intercepts, "sigmoids": self.sigmoids})
+        SparkSession.active().createDataFrame([(rest,)], "value string").coalesce(1).write.text(f"{path}/metadata")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **expected) -> Classifier:
@@ -60,28 +131,139 @@ class Classifier:
         for name, value in ({"labels": list(C.LABELS)} | expected).items():
             if name in CHECKED and metadata.get(name) != value:
                 raise ValueError(f"{path}: {name} is {metadata.get(name)!r}, not {value!r}")
-        scale = metadata.pop("scale")
-        return cls(CountVectorizerModel.load(f"{path}/vectorizer"), scale, LogisticRegressionModel.load(f"{path}/model"), metadata)
+        intercepts, sigmoids = metadata.pop("intercepts"), metadata.pop("sigmoids")
+        return cls(spark.read.parquet(f"{path}/weights"), intercepts, sigmoids and [tuple(s) for s in sigmoids], metadata)
 
 
-def _features(vectorizer: CountVectorizerModel, scale: list[float], rows: DataFrame) -> DataFrame:
-    counted = vectorizer.transform(rows.withColumn("_terms", terms_of(F.col("text")))).withColumn("_tf", _sublinear("_counts"))
-    weighted = ElementwiseProduct(scalingVec=DenseVector(scale), inputCol="_tf", outputCol="_weighted").transform(counted)
-    return Normalizer(p=2.0, inputCol="_weighted", outputCol="_features").transform(weighted)
+def folds(docs: DataFrame, n: int = FOLDS, seed: int = C.SPLIT_SEED) -> DataFrame:
+    """Add ``fold``, from 0: each class's rows in hash order, dealt in turn."""
+    place = numbered(docs, [F.col("label"), F.xxhash64("doc", F.lit(seed)), F.col("doc")], "_n")
+    return place.withColumn("fold", (F.col("_n") % n).cast("int")).drop("_n")
 
 
-def fit(rows: DataFrame, seed: int = C.SPLIT_SEED, terms: int = 1 << 16, steps: int = 200, **metadata) -> Classifier | None:
-    """Fit on ``rows(text, label)`` with labels 0 to 2; rows without a label don't count. None without a row."""
-    rows = rows.where("label is not null").select("text", F.col("label").cast("int").alias("label"))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # three rows
+def balanced(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Add ``weight``, which makes all classes count alike, and the classes' sizes (three numbers)."""
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(sizes.values())
+    weight = F.coalesce(*(F.when(F.col("label") == k, n / (len(sizes) * c)) for k, c in sizes.items())) if sizes else F.lit(1.0)
+    return rows.withColumn("weight", weight.cast("double")), sizes
+
+
+def _model_table(vocabulary: DataFrame, columns: list, intercepts: list[float], sigmoids, metadata: dict) -> Classifier:
+    spark = vocabulary.sparkSession
+    frame = pd.DataFrame({"id": range(len(columns[0]))} | {f"c{k}": [float(x) for x in c] for k, c in enumerate(columns)})
+    kind = StructType([StructField("id", IntegerType()), *(StructField(f"c{k}", DoubleType()) for k in range(len(columns)))])
+    weights = vocabulary.join(spark.createDataFrame(frame, kind), "id").select("term", "idf", F.array(*(f"c{k}" for k in range(len(columns)))).alias("w"))
+    return Classifier(keep(weights, "weights"), [float(b) for b in intercepts], sigmoids, metadata)
+
+
+def fit(rows: DataFrame, kind: str = "logistic", seed: int = C.SPLIT_SEED, steps: int = 200, **metadata) -> Classifier | None:
+    """Fit ``logistic`` or ``svm`` on ``rows(text, label)`` with labels 0 to 2; rows without a label don't count. None without a row."""
+    own = rows.where("label is not null").select(F.monotonically_increasing_id().alias("doc"), "text", F.col("label").cast("int").alias("label"))
+    weighed, sizes = balanced(keep(own, "labelled"))
+    n, seen = sum(sizes.values()), sorted(sizes)
     if not n:
         return None
-    own = rows.withColumn("_terms", terms_of(F.col("text")))
-    vectorizer = CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=2, vocabSize=terms).fit(own)
-    df = np.array(IDF(inputCol="_counts", outputCol="_idf").fit(vectorizer.transform(own)).docFreq)
-    scale = (np.log((1 + n) / (1 + df)) + 1).tolist()
-    weight = F.coalesce(*(F.when(F.col("label") == k, n / (len(sizes) * c)) for k, c in sizes.items()))
-    ready = _features(vectorizer, scale, rows).withColumn("_weight", weight)
-    model = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=steps, regParam=1.0 / n, standardization=False, family="multinomial").fit(ready)
-    return Classifier(vectorizer, scale, model, {"labels": list(C.LABELS), "seed": seed, "rows": n} | metadata)
+    metadata = {"labels": list(C.LABELS), "seed": seed, "rows": n, "kind": kind, "seen": seen} | metadata
+    if len(seen) == 1:  # nothing to tell apart
+        return Classifier(weighed.sparkSession.createDataFrame([], "term string, idf double, w array<double>"), [0.0], None, metadata)
+    tf = keep(counted(weighed), "terms")
+    vocabulary = vocabulary_of(tf, n)
+    split = folds(weighed.drop("text"), seed=seed) if kind == "svm" else weighed.select("doc", "label", "weight", F.lit(0).alias("fold"))
+    ready = vectors(split, tf, vocabulary)
+    if kind == "logistic":
+        model = LogisticRegression(weightCol="weight", maxIter=steps, regParam=1.0 / n, standardization=False, family="multinomial").fit(ready)
+        return _model_table(vocabulary, [model.coefficientMatrix.toArray()[k] for k in seen], [model.interceptVector[k] for k in seen], None, metadata)
+    if kind != "svm":
+        raise ValueError(f"unknown kind {kind!r}")
+    columns, intercepts, parts = [], [], []
+    for fold in range(FOLDS):
+        for k in seen:
+            one = ready.withColumn("label", (F.col("label") == k).cast("double"))
+            svm = LinearSVC(weightCol="weight", maxIter=min(steps, 50), regParam=1.0 / n, standardization=False).fit(one.where(F.col("fold") != fold))
+            columns.append(svm.coefficients.toArray())
+            intercepts.append(svm.intercept)
+            raw = svm.setRawPredictionCol("raw").transform(one.where(F.col("fold") == fold))
+            parts.append(raw.select(F.lit(len(parts)).alias("model"), vector_to_array("raw")[1].alias("margin"), "label", "weight"))
+    held = parts[0]
+    for p in parts[1:]:
+        held = held.unionByName(p)
+    sigmoids = sigmoid_fit(keep(held, "held"), len(parts))
+    return _model_table(vocabulary, columns, intercepts, sigmoids, metadata)
+
+
+def sigmoid_fit(held: DataFrame, models: int, steps: int = 30) -> list[tuple[float, float]]:
+    """``(a, b)`` for each model of ``held(model, margin, label)``: P(label) = 1 / (1 + exp(a * margin + b)) by Platt's targets.
+
+    Newton's method on sums: each step is one aggregation for all models at once, with
+    five numbers a model. Steps that make a model's loss grow are halved.
+    """
+    counts = {r["model"]: (r["up"], r["down"]) for r in held.groupBy("model").agg(F.count_if(F.col("label") == 1).alias("up"), F.count_if(F.col("label") == 0).alias("down")).collect()}
+    goal = {m: ((up + 1) / (up + 2), 1 / (down + 2)) for m, (up, down) in counts.items()}
+    now = {m: (0.0, math.log((counts[m][1] + 1) / (counts[m][0] + 1))) for m in counts}
+    loss = dict.fromkeys(now, math.inf)
+    best = dict(now)
+    move = dict.fromkeys(now, (0.0, 0.0))
+    for _ in range(steps):
+        frame = held.sparkSession.createDataFrame([(m, *now[m], *goal[m]) for m in now], "model int, a double, b double, up double, down double")
+        z = -(F.col("a") * F.col("margin") + F.col("b"))
+        t = F.when(F.col("label") == 1, F.col("up")).otherwise(F.col("down"))
+        p = 1 / (1 + F.exp(-z))
+        # ln(1 + e^-z) without overflow
+        soft = F.greatest(-z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        rows = held.join(F.broadcast(frame), "model").select("model", "margin", (t - p).alias("d"), (p * (1 - p)).alias("h"), (t * soft + (1 - t) * (soft + z)).alias("loss"))
+        x = F.col("margin")
+        sums = rows.groupBy("model").agg(F.sum(F.col("d") * x).alias("ga"), F.sum("d").alias("gb"), F.sum(F.col("h") * x * x).alias("aa"), F.sum(F.col("h") * x).alias("ab"), F.sum("h").alias("bb"), F.sum("loss").alias("loss")).collect()
+        still = False
+        for r in sums:
+            m = r["model"]
+            if r["loss"] > loss[m] + 1e-12:
+                move[m] = (move[m][0] / 2, move[m][1] / 2)
+                now[m] = (best[m][0] + move[m][0], best[m][1] + move[m][1])
+                still |= max(map(abs, move[m])) > 1e-9
+                continue
+            loss[m], best[m] = r["loss"], now[m]
+            aa, bb, ab = r["aa"] + 1e-12, r["bb"] + 1e-12, r["ab"]
+            det = aa * bb - ab * ab
+            if det <= 0 or max(abs(r["ga"]), abs(r["gb"])) < 1e-7:
+                move[m] = (0.0, 0.0)
+                continue
+            move[m] = (-(bb * r["ga"] - ab * r["gb"]) / det, -(aa * r["gb"] - ab * r["ga"]) / det)
+            now[m] = (best[m][0] + move[m][0], best[m][1] + move[m][1])
+            still |= max(map(abs, move[m])) > 1e-9
+        if not still:
+            break
+    return [best.get(m, (-1.0, 0.0)) for m in range(models)]
+
+
+def evaluate(predicted: DataFrame) -> DataFrame:
+    """One row on ``predicted(label, predicted)``: size, accuracy, macro-F1 over the classes of either side, the majority class with its share, confusion and distribution."""
+    cells = predicted.groupBy(F.col("label").alias("h"), F.col("predicted").alias("m")).agg(F.count("*").alias("n"))
+    cell = lambda h, m: F.coalesce(F.sum(F.when((F.col("h") == h) & (F.col("m") == m), F.col("n"))), F.lit(0)).cast("long")
+    total = cells.agg(F.array(*(F.array(*(cell(h, m) for m in CLASSES)) for h in CLASSES)).alias("confusion"))
+    rows = total.withColumn("support", F.transform("confusion", lambda row: F.aggregate(row, F.lit(0).cast("long"), lambda a, x: a + x)))
+    said = F.array(*(sum((F.col("confusion")[h][m] for h in CLASSES), F.lit(0).cast("long")) for m in CLASSES))
+    rows = rows.withColumn("said", said).withColumn("n", F.aggregate("support", F.lit(0).cast("long"), lambda a, x: a + x))
+    hits = [F.col("confusion")[k][k] for k in CLASSES]
+    f1 = F.array_compact(F.array(*(F.when(F.col("support")[k] + F.col("said")[k] > 0, 2.0 * hits[k] / (F.col("support")[k] + F.col("said")[k])) for k in CLASSES)))
+    majority = F.array_position("support", F.array_max("support")) - 1
+    return rows.select(
+        "n", F.try_divide(sum(hits[1:], hits[0]), F.col("n")).alias("accuracy"),
+        F.try_divide(F.aggregate(f1, F.lit(0.0), lambda a, x: a + x), F.size(f1)).alias("macro_f1"),
+        F.when(F.col("n") > 0, F.get(F.array(*map(F.lit, C.LABELS)), majority.cast("int"))).alias("majority_class"),
+        F.try_divide(F.array_max("support"), F.col("n")).alias("majority_share"),
+        "confusion", F.map_from_arrays(F.array(*map(F.lit, C.LABELS)), F.col("support")).alias("distribution"),
+    )
+
+
+def comparison(metadata: DataFrame) -> DataFrame:
+    """The table of models from their metadata (``name, trained_at, metrics``): figures to four digits, and a dash for what one lacks."""
+    raw = lambda *path: F.get_json_object("value", "$." + ".".join(path)).cast("double")
+    figure = lambda *path: F.when(raw(*path).isNotNull(), F.format_string("%.4f", raw(*path))).otherwise("—")
+    text = lambda name: F.get_json_object("value", f"$.{name}")
+    number = F.get_json_object("value", "$.metrics.test.cpu_ms_per_sentence")
+    return metadata.select(
+        F.coalesce(text("model_name"), F.lit("—")).alias("model"), figure("metrics", "val", "macro_f1").alias("val_macro_f1"), figure("metrics", "test", "macro_f1").alias("test_macro_f1"),
+        figure("metrics", "test", "accuracy").alias("test_accuracy"), figure("metrics", "test", "majority_baseline_accuracy").alias("majority"),
+        F.coalesce(number, F.lit("—")).alias("cpu_ms"), F.left(F.coalesce(text("trained_at"), F.lit("")), F.lit(10)).alias("trained"),
+    ).orderBy("model")

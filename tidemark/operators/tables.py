@@ -22,11 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh table and read it back: what several later jobs use is computed once and outlives executors."""
+def keep(df: DataFrame, name: str, read_as: StructType | None = None) -> DataFrame:
+    """Write ``df`` to a fresh table and read it back: what several later jobs use is computed once and outlives executors.
+
+    ``read_as`` is another schema to read it with, such as one with vectors for what they are made of.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(read_as or df.schema).parquet(path)
 
 
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:

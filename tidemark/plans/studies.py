@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import scores as S
 from ..functions import text as T
-from ..operators import classify, corpus, events, storage, studies
+from ..operators import classify, corpus, events, storage, studies, tables
 from ..sources import views as V
 from .queries import CORPUS, GREEDY, HEAD, NOW, SPLIT, R, query
 from .queries import stratified_split as split_of
@@ -277,14 +277,36 @@ def keywords_without_name(spark, sf):
     return corpus.without_own_name(V.read(spark, sf, "nation").select(F.col("n_name").alias("term")), ["China", "Peru"])
 
 
+#: Steps of the solvers in the registered studies.
+STEPS = 30
+
+
+def sides(spark, sf):
+    """The corpus with its split, made once for all that a study does with it."""
+    return tables.keep(split_of(spark, sf).join(V.corpus(spark, sf).select("idx", "text"), "idx"), "sides")
+
+
 @query()
 def classifier_report(spark, sf):
-    """A classifier fitted on the split's train rows, judged on its test rows: accuracy, macro-F1 and the majority's share."""
-    texts = V.corpus(spark, sf).select("idx", "text")
-    rows = split_of(spark, sf).join(texts, "idx")
-    model = classify.fit(rows.where("split = 'train'"))
-    test = model.predict(rows.where("split = 'test'").select("idx", "text", "label"))
-    cells = test.groupBy(F.lit(0).alias("all"), F.col("label").alias("h"), F.col("predicted").alias("m")).agg(F.count("*").alias("n"))
-    total = cells.agg(F.sum("n").alias("n_test"), (F.sum(F.when(F.col("h") == F.col("m"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    majority = cells.groupBy("h").agg(F.sum("n").alias("n")).agg((F.max("n") / F.sum("n")).alias("majority"))
-    return total.join(majority).join(studies.macro_f1(cells, "all").select("macro_f1")).select(F.lit(model.metadata["rows"]).alias("n_train"), "n_test", R("accuracy"), R("majority"), R("macro_f1"))
+    """Both classifiers fitted on the split's train rows, judged on its test rows: accuracy, macro-F1, the majority's share, confusion."""
+    rows = sides(spark, sf)
+    out = None
+    for kind in ("logistic", "svm"):
+        model = classify.fit(rows.where("split = 'train'"), kind, steps=STEPS)
+        found = classify.evaluate(model.predict(rows.where("split = 'test'").select("idx", "text", "label")))
+        confusion = F.array_join(F.flatten("confusion").cast("array<string>"), " ")
+        found = found.select(F.lit(kind).alias("kind"), F.lit(model.metadata["rows"]).alias("n_train"), F.col("n").alias("n_test"), R("accuracy"), F.round("majority_share", 6).alias("majority"), R("macro_f1"), confusion.alias("confusion"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query()
+def leakage_check(spark, sf):
+    """A model trained on permuted labels, on the split as it is and with test rows in train, too, where it has to find the leak."""
+    rows = sides(spark, sf)
+    split = rows.select("idx", "split")
+    out = None
+    for name, own in (("as it is", split), ("duplicates", studies.with_duplicates(split, 100))):
+        found = studies.leak_score(rows.drop("split"), own, lambda train: classify.fit(train, steps=STEPS)).withColumn("case", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out.select("case", "n_train", "n_test", *(R(c) for c in ("accuracy", "majority", "macro_f1", "chance")), "leaked")
