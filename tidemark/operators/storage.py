@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+def upsert_state(rows: DataFrame, seq: str = "seq") -> DataFrame:
+    """What the keep-earliest rule needs to know of each (ticker, title): the earliest row ``a`` and the first insert ``b``.
+
+    States of parts of the inserts merge by ``merged_state``, in any order and any grouping.
+    """
+    rows = rows.where("title is not null and published_at is not null")
+    a, b = F.struct("published_at", F.col(seq).alias("seq"), "url", "source"), F.struct(F.col(seq).alias("seq"), "fetched_at", "origin")
+    return merged_state(rows.select("ticker", "title", a.alias("a"), b.alias("b")))
+
+
+def merged_state(states: DataFrame) -> DataFrame:
+    return states.groupBy("ticker", "title").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+
+
+def headlines_of(state: DataFrame) -> DataFrame:
+    return state.select("ticker", "title", "a.published_at", "a.url", "a.source", "b.fetched_at", "b.origin")
+
+
 def upsert_earliest(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """Headlines by (ticker, title): earliest time; url and source of the row that has it (first insert wins ties); fetched_at and origin of the first insert."""
-    rows = rows.where("title is not null and published_at is not null")
-    return (
-        rows.groupBy("ticker", "title")
-        .agg(
-            F.min("published_at").alias("published_at"),
-            F.min_by(F.struct("url", "source"), F.struct("published_at", seq)).alias("_a"),
-            F.min_by(F.struct("fetched_at", "origin"), F.col(seq)).alias("_b"),
-        )
-        .select("ticker", "title", "published_at", "_a.url", "_a.source", "_b.fetched_at", "_b.origin")
-    )
+    return headlines_of(upsert_state(rows, seq))
 
 
 def last_write(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:

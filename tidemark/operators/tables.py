@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
@@ -32,6 +33,13 @@ def keep(df: DataFrame, name: str, read_as: StructType | None = None) -> DataFra
     return df.sparkSession.read.schema(read_as or df.schema).parquet(path)
 
 
+def delete(path: str) -> None:
+    """Delete a folder that nothing reads any more; one that isn't there is none."""
+    files, at = FileSystem.from_uri(path if not path.startswith("file:") else "/" + path.removeprefix("file:").lstrip("/"))
+    if files.get_file_info(at).type == FileType.Directory:
+        files.delete_dir(at)
+
+
 def stored(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, or an empty one if nothing is stored yet."""
     try:
