@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def upsert_into(stream: DataFrame, path: str, checkpoint: str, merge_after: int
     """
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        own = batch.withColumns({c: F.col(c).cast("timestamp") for c in ("published_at", "fetched_at")} | {"seq": F.lit(epoch).cast("long")})
+        own = batch.withColumn("seq", F.lit(epoch).cast("long"))
         storage.upsert_state(own).write.mode("overwrite").parquet(f"{path}/log/epoch={epoch}")
         merge(batch.sparkSession, path, epoch, merge_after, buckets)
 
@@ -47,8 +48,16 @@ def _last(spark: SparkSession, path: str) -> tuple[int, int]:
 
 def _states(spark: SparkSession, path: str) -> DataFrame:
     upto, version = _last(spark, path)
-    log = stored(spark, f"{path}/log", STATE + ", epoch long").where(F.col("epoch") > upto).drop("epoch")
-    return log if version < 0 else stored(spark, f"{path}/base/{version}", STATE).unionByName(log)
+    try:
+        log = spark.read.parquet(f"{path}/log").where(F.col("epoch") > upto).drop("epoch")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        log = None  # nothing waits
+    base = spark.read.parquet(f"{path}/base/{version}") if version >= 0 else None
+    if base is None:
+        return spark.createDataFrame([], STATE) if log is None else log
+    return base if log is None else base.unionByName(log)
 
 
 def merge(spark: SparkSession, path: str, epoch: int, merge_after: int, buckets: int) -> None:
