@@ -2,6 +2,9 @@
 
 import json
 import math
+import random
+import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -164,8 +167,31 @@ def test_storage_for_exports(spark):
     assert {tuple(r) for r in storage.replace_by(old, spark.createDataFrame([("m1", 9)], "model string, v int"), "model", "m1").collect()} == {("m2", 2), ("m1", 9)}
 
 
-def test_most_similar_sent_or_joined(spark):
-    c = spark.createDataFrame([(f"c{k}", f"alpha beta {k} gamma delta") for k in range(20)], "doc string, text string")
-    q = spark.createDataFrame([("q1", "alpha beta 3 gamma delta"), ("q2", "zzz")], "doc string, text string")
-    sent, joined = ({r.q: round(r.cosine, 9) for r in corpus.most_similar(q, c, n).collect()} for n in (10**6, 0))
-    assert sent == joined and sent["q1"] == 1.0
+def plain_cosines(queries, texts):
+    def grams(text):
+        words = [f" {w} " for w in re.split(r"\s+", (text or "").lower()) if w]
+        return Counter(w[k : k + n] for w in words for n in (3, 4, 5) for k in range(len(w) - n + 1))
+
+    tf = [grams(t) for t in texts]
+    df = Counter(g for c in tf for g in c)
+    idf = {g: math.log((1 + len(texts)) / (1 + n)) + 1 for g, n in df.items()}
+
+    def unit(c):
+        v = {g: n * idf[g] for g, n in c.items() if g in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()} if norm else {}
+
+    own = [unit(c) for c in tf]
+    return {q: max((sum(x * v.get(g, 0.0) for g, x in unit(grams(t)).items()) for v in own), default=0.0) for q, t in queries}
+
+
+@pytest.mark.parametrize(("bounds", "sent"), [((0.2,), 10**6), ((), 0), ((0.95, 0.9, 0.3), 0)])
+def test_most_similar_as_all_pairs(spark, bounds, sent):
+    rng = random.Random(8)
+    words = [f"w{k}x" for k in range(40)] + ["alpha", "beta"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [say(rng.randint(1, 8)) for _ in range(40)] + [None, "", "alpha beta gamma", "alpha beta gamma"]
+    queries = [(f"q{k}", say(6)) for k in range(12)] + [("same", "alpha beta gamma"), ("near", texts[0] + " more"), ("none", "zzz"), ("null", None)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc string, text string")
+    got = {r.q: r.cosine for r in corpus.most_similar(frame(queries), frame([(f"c{k}", t) for k, t in enumerate(texts)]), bounds, sent).collect()}
+    assert got == pytest.approx(plain_cosines(queries, texts), abs=1e-9) and got["none"] == got["null"] == 0.0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -68,9 +69,34 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+"))).cast("long")
 
 
+def _compatible_letters() -> tuple[str, str]:
+    """Letters that NFKC turns into what the price patterns look for, and one letter that the patterns take alike.
+
+    A form of several digits (a ten in a circle) may stand as one digit, as patterns ask for
+    runs of them; with a full stop or comma in it, as a full stop.
+    """
+    wanted = set("".join(C.PRICE_REPORT_PATTERNS)) - set(r"\d+|()[]?,.")
+    found = {}
+    for c in range(0x80, 0x30000):
+        form = unicodedata.normalize("NFKC", chr(c)) if not 0xD800 <= c < 0xE000 else chr(c)
+        if form == chr(c):
+            continue
+        if form in wanted:
+            found[chr(c)] = form
+        elif re.fullmatch(r"\d+", form):
+            found[chr(c)] = "0"
+        elif re.fullmatch(r"[\d,.]+", form):
+            found[chr(c)] = "."
+    return "".join(found), "".join(found.values())
+
+
+_FORMS, _PLAIN = _compatible_letters()
+
+
 def is_price_report(title: Column, normalize: bool = True) -> Column:
+    """Whether a title in NFKC form is a price report; all in the JVM, by a table of the forms that matter."""
     text = F.coalesce(title, F.lit(""))
-    return (nfkc(text) if normalize else text).rlike("(?U)" + "|".join(C.PRICE_REPORT_PATTERNS))
+    return (F.translate(text, _FORMS, _PLAIN) if normalize else text).rlike("(?U)" + "|".join(C.PRICE_REPORT_PATTERNS))
 
 
 def is_forum_post(title: Column) -> Column:

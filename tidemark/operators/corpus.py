@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .ordering import numbered
+from .tables import keep
 
 
 def dedup(rows: DataFrame) -> DataFrame:
@@ -83,26 +84,54 @@ def char_grams(texts: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
     return grams.groupBy("doc", "gram").agg(F.count("*").alias("tf"))
 
 
-def most_similar(queries: DataFrame, corpus: DataFrame, sent_rows: int = 2_000_000) -> DataFrame:
-    """Largest tf-idf cosine of each query against the corpus; idf and vocabulary are the corpus's.
+#: Cosines that a query's best must reach for a round to settle it, in turn; the last round has none.
+BOUNDS = (0.2,)
 
-    The corpus is dealt by text, so a text's products with the queries' grams are summed
-    where it lies and only the largest of each query travels. The queries' grams are sent
-    to the tasks if they are ``sent_rows`` at most; beyond, both sides join by gram.
+
+def most_similar(queries: DataFrame, corpus: DataFrame, bounds: tuple[float, ...] = BOUNDS, sent_rows: int = 2_000_000) -> DataFrame:
+    """``q, cosine``: the largest tf-idf cosine of every query against the corpus, 0 where nothing matches; idf and vocabulary are the corpus's.
+
+    An inverted index with a prefix filter. A query's grams go from the rarest on; what
+    remains after some of them has a norm that bounds what it can add, as texts have norm
+    1. A text without a gram of the prefix can't reach the bound and makes no pair, so
+    the postings of common grams are not touched. Of the pairs that the prefix makes,
+    only those whose sum so far and the remaining norm reach the largest sum are summed in
+    full. A query whose best is below the bound goes on to the next, which is at least
+    the best found, so every answer is exact.
+
+    Where the queries' grams are ``sent_rows`` at most they are sent to the texts, so a
+    text's sums are made where it lies; beyond, both sides join by gram.
     """
-    c, q = char_grams(corpus), char_grams(queries)
     docs = corpus.agg(F.count("*").alias("docs"))
-    idf = c.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(docs)).select("gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = keep(char_grams(corpus), "grams")
+    idf = tf.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(docs)).select("gram", "df", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = keep(idf, "idf")
 
-    def weighted(tf: DataFrame, name: str) -> DataFrame:
+    def weighted(tf: DataFrame) -> DataFrame:
         w = tf.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
         norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "doc").select(F.col("doc").alias(name), "gram", (F.col("w") / F.col("norm")).alias(f"w{name}"))
-
-    wanted = weighted(q, "q")
-    if wanted.limit(sent_rows + 1).count() <= sent_rows:
-        pairs = weighted(c, "c").repartition("c").join(F.broadcast(wanted), "gram")
-    else:
-        pairs = weighted(c, "c").join(wanted, "gram")
-    pairs = pairs.groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("cosine"))
-    return pairs.groupBy("q").agg(F.max("cosine").alias("cosine"))
+        return w.join(norm, "doc").select("doc", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
+
+    texts = keep(weighted(tf).select(F.col("doc").alias("c"), "gram", F.col("w").alias("wc")), "texts")
+    own = weighted(char_grams(queries)).select(F.col("doc").alias("q"), "gram", "df", F.col("w").alias("wq"))
+    rare = Window.partitionBy("q").orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.greatest(F.lit(0.0), 1 - F.sum(F.col("wq") * F.col("wq")).over(rare))
+    own = keep(own.withColumn("left", left).withColumn("before", F.col("left") + F.col("wq") * F.col("wq")), "queries")
+    few = own.count() <= sent_rows
+    best = keep(queries.select(F.col("doc").alias("q"), F.lit(0.0).alias("cosine"), F.lit(False).alias("done")).distinct(), "best")
+    for bound in (*bounds, 0.0):
+        open_ = best.where("not done").select("q", F.col("cosine").alias("found"), F.greatest("cosine", F.lit(bound)).alias("bound"))
+        prefix = own.join(open_, "q").where(F.col("before") >= F.col("bound") * F.col("bound") - 1e-12)
+        rest = prefix.groupBy("q").agg(F.sqrt(F.min("left")).alias("rest"), F.max("found").alias("found"))
+        wanted = prefix.select("q", "gram", "wq")
+        met = texts.repartition("c").join(F.broadcast(wanted), "gram") if few else texts.join(wanted, "gram")
+        sums = keep(met.groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("part")), "pairs")
+        least = sums.groupBy("q").agg(F.max("part").alias("least"))
+        may = sums.join(least.join(rest, "q"), "q").where(F.col("part") + F.col("rest") + 1e-12 >= F.greatest("least", "found"))
+        named = keep(may.select("q", "c"), "candidates")
+        full = named.join(own.select("q", "gram", "wq"), "q").join(texts, ["c", "gram"]).groupBy("q", "c").agg(F.sum(F.col("wq") * F.col("wc")).alias("cosine"))
+        now = best.join(full.groupBy("q").agg(F.max("cosine").alias("now")), "q", "left").withColumn("cosine", F.greatest("cosine", F.coalesce("now", F.lit(0.0))))
+        best = keep(now.select("q", "cosine", (F.col("done") | (F.col("cosine") >= bound)).alias("done")), "best")
+        if not best.where("not done").take(1):
+            break
+    return best.select("q", "cosine")

@@ -8,6 +8,8 @@ range is a table with one row a range.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +67,21 @@ def running_total(rows: DataFrame, key: str, weight: Column, name: str, limit: i
 def percentiles(rows: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
     """One row with ``n`` and ``p``, the exact percentiles by linear interpolation, from running counts of the distinct values.
 
-    Nulls don't count.
+    Nulls don't count. Sums of ranges tell which ones hold the places asked for, and only those are looked into.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
-    upto = running_total(counts, "x", F.col("c"), "upto")
-    upto = upto.join(F.broadcast(upto.agg(F.sum("c").alias("n"))))
-    at = [F.lit(s) * (F.col("n") - 1) for s in shares]
-    value = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
-    found = upto.agg(F.max("n").alias("n"), *(value(F.floor(a)).alias(f"l{k}") for k, a in enumerate(at)), *(value(F.ceil(a)).alias(f"h{k}") for k, a in enumerate(at)))
-    part = lambda s: s * (F.col("n") - 1) - F.floor(s * (F.col("n") - 1))
-    return found.select("n", F.array(*(F.col(f"l{k}") + part(F.lit(s)) * (F.col(f"h{k}") - F.col(f"l{k}")) for k, s in enumerate(shares))).alias("p"))
+    table, _ = ranged(counts, ["x"], LIMIT)
+    sums = {r["_range"]: r["s"] for r in table.groupBy("_range").agg(F.sum("c").alias("s")).collect()}  # one row a range
+    n, before, upto = sum(sums.values()), {}, 0
+    for k in sorted(sums):
+        before[k] = upto
+        upto += sums[k]
+    at = [s * (n - 1) for s in shares]
+    places = sorted({f(a) for a in at for f in (math.floor, math.ceil)}) if n else []
+    some = [k for k in before if any(before[k] <= a < before[k] + sums[k] for a in places)]
+    base = F.coalesce(*(F.when(F.col("_range") == k, before[k]) for k in some)) if some else F.lit(0)
+    own = F.sum("c").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + base
+    looked = table.where(F.col("_range").isin(some)).withColumn("_upto", own)
+    value = {a: F.min(F.when(F.col("_upto") > a, F.col("x"))) for a in places}
+    each = [value[math.floor(a)] + (a - math.floor(a)) * (value[math.ceil(a)] - value[math.floor(a)]) for a in at] if n else [F.lit(None).cast("double")] * len(shares)
+    return looked.agg(F.lit(n or None).cast("long").alias("n"), F.array(*each).alias("p"))
