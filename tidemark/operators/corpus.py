@@ -85,7 +85,7 @@ def char_grams(texts: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
 
 
 #: Cosines that a query's best must reach for a round to settle it, in turn; the last round has none.
-BOUNDS = (0.2,)
+BOUNDS = (0.05,)
 
 
 def most_similar(queries: DataFrame, corpus: DataFrame, bounds: tuple[float, ...] = BOUNDS, sent_rows: int = 2_000_000) -> DataFrame:
