@@ -251,3 +251,62 @@ def test_leak_is_found_where_test_rows_are_in_train(spark):
     found = studies.leak_score(rows, studies.with_duplicates(split, 40), fit).first()
     assert found.leaked and found.accuracy > 0.8 and (found.n_train, found.n_test) == (120, 40)
     assert studies.leak_score(rows, split, fit).first().accuracy < 0.6
+
+
+def test_zip_members_by_ending(spark, tmp_path):
+    import zipfile
+
+    for name in ("one", "two"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("x/Sentences_50Agree.txt", "up é@positive\r\nmail a@b.c fell@negative\n\nflat@neutral".encode("latin-1"))
+            z.writestr("x/Sentences_AllAgree.txt", "only@neutral\n")
+    lines = V.zip_lines(spark, f"{tmp_path}/*.zip", "50Agree.txt", chunk=2)
+    assert Counter(map(tuple, V.phrase_rows(lines).collect())) == {("up é", 2): 2, ("mail a@b.c fell", 0): 2, ("flat", 1): 2}
+    assert V.phrase_rows(V.zip_lines(spark, f"{tmp_path}/one.zip", "AllAgree.txt")).count() == 1
+    with pytest.raises(Exception, match="no member"):
+        V.zip_lines(spark, f"{tmp_path}/one.zip", "none.txt").collect()
+
+
+def test_ex_dates_refuse_other_answers(spark):
+    good = spark.createDataFrame([("1", '{"status":200,"data":[{"date":"2024-07-08"},{"date":"2024-07-08"}]}'), ("2", '{"status":200,"data":[]}')], "ticker string, payload string")
+    assert [tuple(r) for r in V.ex_dates(good).collect()] == [("1", date(2024, 7, 8))]
+    for bad in ('{"status":402,"msg":"quota","data":[]}', "oops", None):
+        with pytest.raises(Exception, match="ex-rights of 3"):
+            V.ex_dates(spark.createDataFrame([("3", bad)], "ticker string, payload string")).collect()
+
+
+def test_exports(spark, tmp_path):
+    rows = [("a", date(2025, 1, d), "normal" if d % 2 else "insufficient") for d in range(1, 7)]
+    boards = spark.createDataFrame(rows, "ticker string, session date, level string")
+    storage.export_boards(boards, f"{tmp_path}/b", 3)
+    assert sorted(p.name for p in (tmp_path / "b").glob("session=*")) == ["session=2025-01-05"]  # the last three, one of them with levels
+    names = spark.createDataFrame([("a", "A"), ("b", "B")], "ticker string, name string")
+    news = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("c", "t3")], "ticker string, title string")
+    site = lambda **k: storage.export_site(f"{tmp_path}/site", boards, {"news": news, "sentiment": news}, names, **({"mock": False} | k))
+    assert site(before="2025-01-01") == {"alerts_latest": "2025-01-05", "coverage": 1.0, "tickers": 2}
+    assert sorted(p.name for p in (tmp_path / "site/stocks/news").glob("ticker=*")) == ["ticker=a", "ticker=b"]
+    for wrong in ({"mock": True}, {"before": "2025-01-06"}):
+        with pytest.raises(ValueError, match="refused"):
+            site(**wrong)
+    with pytest.raises(ValueError, match="coverage=0.25"):
+        storage.export_site(f"{tmp_path}/site", boards, {"news": news.where("ticker = 'a'"), "sentiment": news.limit(0)}, names, mock=False)
+    storage.blind_copies(spark.createDataFrame([("t", "neutral")], "title string, label string"), f"{tmp_path}/s", ["label"])
+    assert spark.read.csv(f"{tmp_path}/s/blind", header=True).columns == ["title"] and spark.read.csv(f"{tmp_path}/s/full", header=True).columns == ["title", "label"]
+
+
+def test_small_rules(spark, tmp_path):
+    none, some = spark.range(0), spark.range(2)
+    assert V.or_else(none, some).count() == 2 and V.or_else(some, none).count() == 2
+    with pytest.raises(LookupError, match="news"):
+        storage.required(none, "news")
+    rows = spark.createDataFrame([("a", "2024-01-02"), ("b", "broken"), ("c", None), ("d", "2024-01-03T00:00:00Z")], "title string, published_at string")
+    assert [r.title for r in storage.newest_first(rows).collect()] == ["d", "a", "b", "c"]
+    hot = spark.createDataFrame([("negative",), ("odd",)], "l string").select(*S.one_hot(F.col("l"))).collect()
+    assert [tuple(r) for r in hot] == [(1.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+    assert spark.range(1).select(V.col_or_null(some, "x", "string")).first().x is None and V.col_or_null(some, "id", "long") is not None
+    assert values(spark, ["m"], T.scorer_version(F.col("raw"))) == ["llm-m"] and values(spark, [None], T.scorer_version(F.lit("m"), F.col("raw"))) == ["llm-m"]
+    assert spark.range(1).select(alerts.parameters().alias("p")).first().p["high_z"] == -2.0
+    for k in ("a", "b"):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "metadata.json").write_text(json.dumps({"model_name": k}))
+    assert V.model_metadata(spark, f"{tmp_path}/*/metadata.json").count() == 2

@@ -150,6 +150,11 @@ def model_version(name: Column, trained_at: Column) -> Column:
     return F.concat(name, F.lit("-"), F.left(trained_at, F.lit(10)))
 
 
+def scorer_version(model: Column, tag: Column | None = None) -> Column:
+    """Version of a scorer that asks a language model: its tag, or else its name, after ``llm-``."""
+    return F.concat(F.lit("llm-"), model if tag is None else F.coalesce(tag, model))
+
+
 def signed(x: Column, digits: int = 2) -> Column:
     """A number with its sign and so many digits; null stays."""
     return F.when(x.isNotNull(), F.format_string(f"%+.{digits}f", x.cast("double")))

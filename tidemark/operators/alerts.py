@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -114,6 +114,12 @@ def board(assessed: DataFrame, as_of: str, include_all: bool = True) -> DataFram
     return rows.orderBy(S.level_rank(F.col("level")), F.coalesce("z", F.lit(0.0)), "ticker")
 
 
+def parameters() -> Column:
+    """The board's parameters as a map from name to number."""
+    own = {"window_sessions": C.WINDOW_SESSIONS, "baseline_sessions": C.BASELINE_SESSIONS, "watch_z": C.WATCH_Z, "high_z": C.HIGH_Z, "min_articles": C.MIN_ARTICLES, "min_baseline_days": C.MIN_BASELINE_DAYS, "sigma_floor": C.SIGMA_FLOOR}
+    return F.create_map(*(F.lit(x) for name, value in own.items() for x in (name, float(value))))
+
+
 def extend(calendar: DataFrame, now) -> DataFrame:
     """Calendar with the weekdays after it up to the first that opens later than ``now``."""
     last = calendar.agg(F.max("session").alias("last"))

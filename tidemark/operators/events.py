@@ -23,10 +23,18 @@ def cumulative(rows: DataFrame, sessions: int = 5) -> DataFrame:
     return rows.withColumn("car", F.when(F.count("abnormal").over(ahead) == sessions, F.sum("abnormal").over(ahead)))
 
 
-def candidates(rows: DataFrame, abnormal: float = C.EVENT_ABNORMAL, raw: float = C.EVENT_RAW) -> DataFrame:
+def candidates(rows: DataFrame, abnormal: float = C.EVENT_ABNORMAL, raw: float = C.EVENT_RAW, first=None, last=None) -> DataFrame:
+    """Days of a fall, by both bounds, from ``first`` to ``last`` where these are given."""
+    rows = rows if first is None else rows.where(F.col("session") >= F.lit(first).cast("date"))
+    rows = rows if last is None else rows.where(F.col("session") <= F.lit(last).cast("date"))
     return rows.where((F.col("abnormal") <= abnormal) & (F.col("ret") <= raw))
 
 
+def in_order(events: DataFrame) -> DataFrame:
+    """Events by session, then ticker."""
+    return events.orderBy("session", "ticker")
+
+
 def greedy(events: DataFrame, gap: int = C.EVENT_GAP) -> DataFrame:
     """Events at least ``gap`` sessions after the last one kept, by ticker; a ticker has at most one event for each session."""
     empty = F.array().cast("array<int>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,17 +77,43 @@ def read_through(cache: DataFrame, bucket: int, failed: bool) -> DataFrame:
 
 def check_export(ok: int, tickers: int, mock: bool, latest: str | None, before: str | None) -> None:
     """Gates before publishing: no mock model, enough coverage, no step back in time."""
-    coverage = ok / (2 * tickers) if tickers else 1.0
-    if mock or coverage < C.EXPORT_MIN_COVERAGE or (latest and before and latest < before):
+    check_coverage(ok / (2 * tickers) if tickers else 1.0, mock, latest, before)
+
+
+def check_coverage(coverage: float, mock: bool, latest: str | None, before: str | None) -> None:
+    """A published date must not be lost either: none now where there was one is a step back."""
+    if mock or coverage < C.EXPORT_MIN_COVERAGE or (before and (not latest or latest < before)):
         raise ValueError(f"export refused: mock={mock}, coverage={coverage:.2f}, latest={latest}, before={before}")
 
 
 def export_boards(boards: DataFrame, path: str, sessions: int = 120) -> None:
-    """One folder of JSON for each of the last sessions; boards that are insufficient throughout are left out."""
-    use = boards.groupBy("session").agg(F.count_if(F.col("level") != "insufficient").alias("n")).where("n > 0").orderBy(F.desc("session")).limit(sessions)
+    """One folder of JSON for each of the last sessions; of these, boards that are insufficient throughout are left out."""
+    use = boards.groupBy("session").agg(F.count_if(F.col("level") != "insufficient").alias("n")).orderBy(F.desc("session")).limit(sessions).where("n > 0")
     boards.join(use.select("session"), "session").repartition("session").write.partitionBy("session").mode("overwrite").json(path)
 
 
+def export_site(path: str, boards: DataFrame, stocks: dict[str, DataFrame], names: DataFrame, mock: bool, before: str | None = None, sessions: int = 120, **meta) -> dict:
+    """Publish boards, each kind of ``stocks(ticker, ...)`` by ticker, the list of ``names(ticker, name)`` and a line of metadata, or refuse by the gates.
+
+    The metadata come last, so a reader that waits for them never sees half a site. Only counts and one date reach the driver.
+    """
+    spark = boards.sparkSession
+    tickers = names.select("ticker").distinct()
+    have = [df.select("ticker").distinct().join(tickers, "ticker").count() for df in stocks.values()]
+    total, ok = tickers.count(), sum(have)
+    use = boards.groupBy("session").agg(F.count_if(F.col("level") != "insufficient").alias("n")).orderBy(F.desc("session")).limit(sessions).where("n > 0")
+    newest = use.agg(F.max("session").cast("string").alias("s")).first()["s"]
+    coverage = ok / (len(stocks) * total) if total and stocks else 1.0
+    check_coverage(coverage, mock, newest, before)
+    for kind, df in stocks.items():
+        df.join(tickers, "ticker").repartition("ticker").write.partitionBy("ticker").mode("overwrite").json(f"{path}/stocks/{kind}")
+    export_boards(boards, f"{path}/alerts", sessions)
+    names.coalesce(1).write.mode("overwrite").json(f"{path}/tickers")
+    line = {"alerts_latest": newest, "coverage": round(coverage, 4), "tickers": total, **meta}
+    spark.createDataFrame([(json.dumps(line),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    return line
+
+
 def blind_copies(sample: DataFrame, path: str, hidden: list[str]) -> None:
     sample.write.mode("overwrite").option("header", True).csv(f"{path}/full")
     sample.drop(*hidden).write.mode("overwrite").option("header", True).csv(f"{path}/blind")
@@ -93,3 +121,15 @@ def blind_copies(sample: DataFrame, path: str, hidden: list[str]) -> None:
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def newest_first(rows: DataFrame, column: str = "published_at") -> DataFrame:
+    """Rows by time as text, the newest first; what is no time counts as the epoch, ties keep title order."""
+    return rows.orderBy(F.coalesce(F.try_to_timestamp(column), F.timestamp_seconds(F.lit(0))).desc(), "title")
+
+
+def required(rows: DataFrame, what: str) -> DataFrame:
+    """``rows``, or an error if there are none."""
+    if not rows.take(1):
+        raise LookupError(f"no {what}")
+    return rows

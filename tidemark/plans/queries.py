@@ -153,9 +153,13 @@ def last_write_wins(spark, sf):
     return storage.last_write(inserts(spark, sf).select("ticker", "title", "url", "origin", "seq"), ["ticker", "title"])
 
 
-@query("SELECT CAST(d AS DATE) AS session FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-09', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6")
+@query("WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS session, event_type FROM events), s AS (SELECT session, 'events' AS source FROM (SELECT DISTINCT session FROM d WHERE event_type = 'signup')), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session FROM orders UNION SELECT session FROM d) SELECT * FROM s UNION ALL SELECT session, 'later' FROM o WHERE session NOT IN (SELECT session FROM s)")
 def insert_if_absent(spark, sf):
-    return storage.insert_absent(V.calendar(spark), V.calendar(spark, "2024-01-25", "2024-02-09"), ["session"])
+    """Days with a signup, and all other days of events and orders inserted where absent."""
+    e = V.headlines(spark, sf).select(F.to_date("published_at").alias("session"), "source")
+    old = e.where("source = 'signup'").select("session").distinct().withColumn("source", F.lit("events"))
+    new = e.select("session").unionByName(V.read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("session")))
+    return storage.insert_absent(old, new.distinct().withColumn("source", F.lit("later")), ["session"])
 
 
 @query(f"WITH {HEAD} SELECT ticker, title FROM h WHERE k % 3 <> 0 AND published_at >= TIMESTAMP '2024-01-15'")
@@ -404,9 +408,11 @@ def last_negative_before(spark, sf):
     return rows.select("ticker", "title", F.col("found.published_at").cast("timestamp_ntz").alias("last_negative"))
 
 
-@query("SELECT CAST(d AS DATE) AS session FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-05', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6")
+@query("WITH c AS (SELECT DISTINCT CAST(ts AS DATE) AS session FROM events WHERE ts < TIMESTAMP '2024-01-26' AND isodow(ts) < 6), m AS (SELECT max(session) AS last FROM c), d AS (SELECT CAST(d AS DATE) AS session FROM m, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-29', INTERVAL 1 DAY) g(d) WHERE isodow(d) < 6 AND d > last) SELECT session FROM c UNION ALL SELECT session FROM d WHERE session <= (SELECT min(session) FROM d WHERE session + INTERVAL 1 HOUR > TIMESTAMP '2024-02-03 12:00:00')")
 def extended_calendar(spark, sf):
-    return alerts.extend(V.calendar(spark), datetime(2024, 2, 3, 12))
+    """Weekdays with events up to a day, and the weekdays after them up to the first that opens after the time."""
+    days = V.headlines(spark, sf, end=datetime(2024, 1, 26)).select(F.to_date("published_at").alias("session")).where(F.weekday("session") < 5).distinct()
+    return alerts.extend(days, datetime(2024, 2, 3, 12))
 
 
 @query(f"WITH {HEAD} SELECT ticker, title, rank FROM (SELECT ticker, title, row_number() OVER (PARTITION BY ticker ORDER BY published_at DESC, title) AS rank FROM h) WHERE rank <= 6")

@@ -83,10 +83,10 @@ def judge_exam(spark, sf):
     return t.select("batch", "n", F.round("po", 6).alias("agreement"), R("kappa"), R("negative_recall"), *passed)
 
 
-@query(f"WITH {HEAD}, r AS (SELECT ticker, title, {LABEL} AS h, {GUESS} AS m FROM h) SELECT * FROM r WHERE h <> m AND h = 'negative'")
+@query(f"WITH {HEAD}, r AS (SELECT ticker, title, {LABEL} AS h, {GUESS} AS m FROM h) SELECT * FROM r WHERE h <> m")
 def disagreements(spark, sf):
-    """Titles that a human and the model label differently, among the negative ones."""
-    return labelled(spark, sf).where("h <> m AND h = 'negative'").select("ticker", "title", "h", "m")
+    """Titles that a human and the model label differently."""
+    return labelled(spark, sf).where("h <> m").select("ticker", "title", "h", "m")
 
 
 UNBARRED = GREEDY.replace("FROM ev)", "FROM ev WHERE NOT (ord % 3 = ticker % 3))")
@@ -128,6 +128,22 @@ SPLITS = f"""{CORPUS}, d AS (SELECT idx, label FROM (SELECT *, row_number() OVER
   s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(idx || '|42'), idx) AS r, count(*) OVER (PARTITION BY label) AS n FROM d), sp AS (SELECT idx, label, {SPLIT} FROM s)"""
 
 
+@query(f"WITH {SPLITS} SELECT split, count(*) AS n, count(*) FILTER (label = 0) AS negative, count(*) FILTER (label = 1) AS neutral, count(*) FILTER (label = 2) AS positive FROM sp GROUP BY split")
+def labels_by_split(spark, sf):
+    """How many rows of each label a split's part has."""
+    each = [F.count_if(F.col("label") == k).alias(name) for k, name in enumerate(C.LABELS)]
+    return split_of(spark, sf).groupBy("split").agg(F.count("*").alias("n"), *each)
+
+
+@query(f"""WITH RECURSIVE {GREEDY.replace("FROM ev)", "FROM ev WHERE session >= DATE '1994-01-01' AND session <= DATE '1997-06-30')")} SELECT g.ticker, session, row_number() OVER (ORDER BY session, g.ticker) AS place FROM g JOIN x ON x.ticker = g.ticker AND x.ord = g.ord WHERE keep""")
+def events_of_period(spark, sf):
+    """Events of a period, in the order of their sessions."""
+    rows = events.returns(V.prices(spark, sf))
+    kept = events.greedy(events.candidates(rows, first="1994-01-01", last="1997-06-30"))
+    out = kept.select("ticker", "ord").join(rows.select("ticker", "ord", "session"), ["ticker", "ord"])
+    return out.select("ticker", "session", F.row_number().over(Window.orderBy("session", "ticker")).cast("long").alias("place"))
+
+
 @query(f"""WITH {SPLITS}, sh AS (SELECT avg(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS s0, avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS s1 FROM sp WHERE split = 'train'),
   dr AS (SELECT draw, label AS h, CAST('0x' || substr(md5(idx || '|' || draw || '|0'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM sp, (SELECT unnest(generate_series(1, 50)) AS draw) WHERE split = 'test'),
   gu AS (SELECT draw, h, CASE WHEN u < s0 THEN 0 WHEN u < s0 + s1 THEN 1 ELSE 2 END AS m FROM dr, sh),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +74,32 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_lines(raw: DataFrame, content: str = "content") -> DataFrame:
     """``text, label`` of sentence lines (ISO-8859-1 bytes): the last ``@`` parts text and label; an unknown label is an error."""
-    lines = raw.select(F.explode(F.split(F.decode(F.col(content), "ISO-8859-1"), r"\r?\n")).alias("line")).where(F.trim("line") != "")
+    return phrase_rows(raw.select(F.explode(F.split(F.decode(F.col(content), "ISO-8859-1"), r"\r?\n")).alias("line")))
+
+
+def zip_lines(spark: SparkSession, paths: str | list[str], ending: str, encoding: str = "latin-1", chunk: int = 10_000) -> DataFrame:
+    """``path, line`` of the first member of each zip file whose name ends with ``ending``; an archive without one is an error.
+
+    Members are unpacked as streams, ``chunk`` lines at a time, so what a task holds is the packed file and that.
+    """
+
+    def unpack(parts):
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    name = next((n for n in archive.namelist() if n.endswith(ending)), None)
+                    if name is None:
+                        raise ValueError(f"{path} has no member that ends with {ending}")
+                    with io.TextIOWrapper(archive.open(name), encoding=encoding) as lines:
+                        while own := list(itertools.islice(lines, chunk)):
+                            yield pd.DataFrame({"path": path, "line": [x.rstrip("\r\n") for x in own]})
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(unpack, "path string, line string")
+
+
+def phrase_rows(lines: DataFrame) -> DataFrame:
+    """``text, label`` of ``lines(line)``, blank ones left out."""
+    lines = lines.where(F.trim("line") != "")
     label = F.lower(F.trim(F.regexp_extract("line", r"^(.*)@([^@]*)$", 2)))
     number = F.array_position(F.array(*map(F.lit, C.LABELS)), label) - 1
     return lines.select(F.trim(F.regexp_extract("line", r"^(.*)@([^@]*)$", 1)).alias("text"), F.when(number >= 0, number).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), label))).cast("int").alias("label"))
@@ -130,6 +159,14 @@ def cached_articles(cache: DataFrame) -> DataFrame:
     return cache.select("ticker", "bucket", "created_at", F.explode(F.from_json("payload", kind)).alias("a")).select("ticker", "bucket", "created_at", "a.*")
 
 
+def ex_dates(raw: DataFrame, column: str = "payload") -> DataFrame:
+    """``ticker, session`` of ex-rights answers ``{"status": 200, "data": [{"date": ...}]}``; another status is an error, as its data are empty."""
+    answer = F.from_json(column, "struct<status:int,msg:string,data:array<struct<date:string>>>")
+    rows = raw.select("ticker", answer.alias("a"))
+    whole = F.when(F.coalesce(F.col("a.status"), F.lit(0)) == 200, F.col("a.data")).otherwise(F.raise_error(F.concat(F.lit("ex-rights of "), "ticker", F.lit(": "), F.coalesce("a.msg", F.lit("no answer")))))
+    return rows.select("ticker", F.explode(whole).alias("d")).select("ticker", F.to_date("d.date", "yyyy-MM-dd").alias("session")).distinct()
+
+
 def trading_dates(raw: DataFrame) -> DataFrame:
     """Distinct sessions of a feed's ``date`` strings, in order; what is no date goes."""
     return raw.select(F.try_to_timestamp("date", F.lit("yyyy-MM-dd")).cast("date").alias("session")).where("session is not null").distinct().orderBy("session")
