@@ -571,6 +571,42 @@ def test_toxicity_without_labels_and_odd_rows(spark):
     assert {r.severity for r in toxicity.reject(docs, labels).collect()} == {7, 8, 9}
 
 
+def test_toxicity_as_brute_force(spark):
+    """Three grades: every expected severity from the class probabilities, feature by feature."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = common.documents(spark, at), spark.read.parquet(f"{at}/labels.parquet")
+    model = toxicity.fit(docs, labels, F.when(F.col("toxic") == 1, 2).otherwise(1 - F.col("quality")), features=200)
+    assert model.grades == [0, 1, 2] and model.thresholds[0] < model.thresholds[1]
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "1 2 _"), (-4, "é" * 50_000)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(odd)
+    got = {r.doc_id: (r.expected_severity, r.severity) for r in toxicity.score(every, model).select("doc_id", "expected_severity", "severity").collect()}
+    for r in every.collect():
+        words = {"".join(g) for alpha, g in itertools.groupby((r.text or "").lower(), key=lambda c: bool(re.match(r"[^\W\d_]", c))) if alpha}
+        z = sum(v for w, v in model.words.items() if any(x.startswith(w[:-1]) if w.endswith("-") else x == w for x in words))
+        upto = [1 / (1 + np.exp(z - t)) for t in model.thresholds]
+        shares = [upto[0], upto[1] - upto[0], 1 - upto[1]]
+        assert abs(got[r.doc_id][0] - (shares[1] + 2 * shares[2])) < 2e-6
+        if min(abs(u - 0.5) for u in upto) > 1e-9:
+            assert got[r.doc_id][1] == sum(u < 0.5 for u in upto)
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    """Columns named like the stages' own, in any case, nested ones with odd names among them, stay as they are."""
+    passage, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "wv")
+    rows = [(1, passage, 1, "a", [1], (3,)), (2, passage, 2, "b", [2], (4,)), (3, f"{other} {passage} tail", 3, None, None, None), (None, None, 4, "d", [], (5,)), (None, None, 4, "d", [], (5,))]
+    fields = "doc_id long, text string, _tm_found int, _TM_KEY string, _tm_emptied array<int>, _tm_n struct<`odd name`: int>"
+    docs = spark.createDataFrame(rows, fields).select("*", *(F.lit(7).alias(c) for c in ("_tm_id", "_tm_other", "_tm_expected", "_Tm_Severity", "_tm_html", "k", "t", "u", "c", "low", "fp", "tkey", "a.dot", "a `tick`")))
+    plain = lambda df: Counter(map(str, df.collect()))
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    assert plain(toxicity.reject(docs, labels)) == plain(docs)
+    one = simhash.keep_one(docs)
+    assert one.columns == docs.columns and sorted((r.doc_id or 0, r._tm_found) for r in one.collect()) == [(0, 4), (1, 1), (3, 3)]
+    kept = substrings.strip_repeats(docs)
+    assert kept.columns == docs.columns
+    assert plain(kept) == plain(docs.where("doc_id is null or doc_id <> 2").withColumn("text", F.when(F.col("doc_id") == 3, f"{other} tail").otherwise(F.col("text"))))
+    assert plain(media.interleave(docs, "text").drop("sequence")) == plain(docs)
+
+
 def test_chat_recovers_roles(spark):
     turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
     model = chat.fit(turns.where("conv_id % 2 = 0"))

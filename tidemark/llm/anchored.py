@@ -478,9 +478,10 @@ def covered(n: int, found, length: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents with their stretches as ``_tm_found``, null where nothing is repeated; all columns stay."""
-    own = found.select(F.col("doc_id").alias("_tm_id"), F.col("tkey").alias("_tm_other"), F.col("found").alias("_tm_found"))
-    keyed = docs.withColumn("_tm_key", text_key())
-    same = F.col("doc_id").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_key") == F.col("_tm_other"))
-    return keyed.join(own, same, "left").drop("_tm_id", "_tm_other", "_tm_key")
+def with_found(docs: DataFrame, found: DataFrame, name: str = "_tm_found") -> DataFrame:
+    """Documents with their stretches as ``name``, which must be free, null where nothing is repeated; all columns stay."""
+    id_, other, key = common.free(docs, "_tm_id", "_tm_other", "_tm_key")
+    own = found.select(F.col("doc_id").alias(id_), F.col("tkey").alias(other), F.col("found").alias(name))
+    keyed = docs.withColumn(key, text_key())
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(other))
+    return keyed.join(own, same, "left").drop(id_, other, key)

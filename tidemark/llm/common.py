@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,18 +57,42 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores appended where ``df`` has a column so called, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def widened(df: DataFrame, **more: str) -> StructType:
+    """The schema of ``df`` with ``more`` columns, all nullable."""
+    own = [StructField(f.name, f.dataType) for f in df.schema]
+    return StructType(own + [StructField(name, DataType.fromDDL(kind)) for name, kind in more.items()])
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` for functions that yield a dict of columns for each output batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    kind = to_arrow_schema(_parse_datatype_string(schema))
+    out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, wanted = df.columns, [f.name for f in out]
+    # Spark resolves the columns by name there, which dots and backticks would break.
+    plain = not any(c in name for name in names for c in ".`")
+    own = out if plain else StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(out)])
+    kind = to_arrow_schema(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(batches):
-            yield pa.RecordBatch.from_arrays([own.cast(f.type) if isinstance(own := columns[f.name], pa.Array) else pa.array(own, f.type) for f in kind], schema=kind)
+        for columns in fn(batch.rename_columns(names) for batch in batches):
+            cells = ((columns[name], f.type) for name, f in zip(wanted, kind, strict=True))
+            yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in cells], schema=kind)
 
-    return df.mapInArrow(run, schema)
+    if plain:
+        return df.mapInArrow(run, out)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, own).toDF(*wanted)
 
 
 def text_rows(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:

@@ -157,15 +157,15 @@ def sequence(html: str) -> list[dict]:
 
 def interleave(pages: DataFrame, column: str = "html") -> DataFrame:
     """All columns plus ``sequence``, the ordered structs of the page; a column of that name is replaced."""
-    pages = pages.withColumn("_tm_html", F.col(column)).drop("sequence")
-    names = [c for c in pages.columns if c != "_tm_html"]
+    (html,) = common.free(pages, "_tm_html")
+    rest = pages.drop("sequence")
+    pages, names = pages.withColumn(html, F.col(column)).drop("sequence"), rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {c: batch.column(c) for c in names} | {"sequence": [sequence(t) for t in common.text_rows(batch, "_tm_html")]}
+            yield {c: batch.column(c) for c in names} | {"sequence": [sequence(t) for t in common.text_rows(batch, html)]}
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in names)
-    return common.map_arrow(pages, run, f"{kinds}, sequence {SEQUENCE}")
+    return common.map_arrow(pages, run, common.widened(rest, sequence=SEQUENCE))
 
 
 def resolve(sequences: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

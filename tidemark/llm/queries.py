@@ -84,6 +84,14 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> response_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> response_id THEN response_id END AS refers_to
         FROM m""",
+    "op4_substrings": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS k FROM documents),
+        w AS (SELECT k, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+        f AS (SELECT win, min(doc_id) AS low FROM w GROUP BY win HAVING count(*) > 1),
+        g AS (SELECT DISTINCT k, unnest(range(i, i + 13)) AS j FROM w JOIN f USING (win) WHERE low < doc_id),
+        s AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+        c AS (SELECT s.k, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY s.j) FILTER (g.j IS NULL) AS kept FROM s LEFT JOIN g ON g.k = s.k AND g.j = s.j GROUP BY s.k)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (k)""",
     "op11_divergence": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS k FROM documents),
         w AS (SELECT k, lang, source, unnest(ws) AS term FROM d),

@@ -201,9 +201,10 @@ def hex_of(fp):
 def keep_one(docs: DataFrame, budget: int = 4) -> DataFrame:
     """One row of each group stays: one with the smallest id, or if no row has an id any one."""
     first = groups(docs, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("one")).select(F.col("one.doc_id").alias("_tm_id"), F.col("one.tkey").alias("_tm_other"))
-    keyed = docs.withColumn("_tm_key", text_key())
-    same = F.col("doc_id").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_key") == F.col("_tm_other"))
+    id_, other, key, place = common.free(docs, "_tm_id", "_tm_other", "_tm_key", "_tm_n")
+    first = first.groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("one")).select(F.col("one.doc_id").alias(id_), F.col("one.tkey").alias(other))
+    keyed = docs.withColumn(key, text_key())
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(other))
     kept = keyed.join(first, same, "left_semi")
-    order = Window.partitionBy("doc_id", "_tm_key").orderBy("_tm_key")
-    return kept.withColumn("_tm_n", F.row_number().over(order)).where("_tm_n = 1").drop("_tm_n", "_tm_key")
+    order = Window.partitionBy("doc_id", key).orderBy(key)
+    return kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place, key)

@@ -65,9 +65,9 @@ def _units(packed: list[bytes]) -> np.ndarray:
 SYMBOLS = anchored.Symbols(numbers=_numbers, split=_split, pack=b" ".join, units=_units)
 
 
-def _found(docs: DataFrame, length: int) -> DataFrame:
+def _found(docs: DataFrame, length: int, name: str = "_tm_found") -> DataFrame:
     found = anchored.flagged(docs.select("doc_id", "text"), SYMBOLS, length, min(MINIMISER_WORDS, length), earlier=True)
-    return anchored.with_found(docs, found)
+    return anchored.with_found(docs, found, name)
 
 
 def _kept(text: str, stretches, length: int) -> tuple[list[bytes], list[bytes]]:
@@ -98,23 +98,24 @@ def remove_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
 def strip_repeats(docs: DataFrame, length: int = 13) -> DataFrame:
     """Documents without the repeated words: changed texts have their kept words joined by one space, others stay as they are.
 
-    Documents of which nothing is left go; those that had no words stay.
+    Documents of which nothing is left go; those that had no words stay. Columns of any
+    other name stay as they are.
     """
     names = docs.columns
-    both = _found(docs, length)
+    mark, gone = common.free(docs, "_tm_found", "_tm_emptied")
+    both = _found(docs, length, mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             texts, emptied = [], []
-            for value, stretches in zip(batch.column("text"), batch.column("_tm_found"), strict=True):
+            for value, stretches in zip(batch.column("text"), batch.column(mark), strict=True):
                 text = value.as_py()
                 if stretches.values is not None and len(stretches.values):
                     _, kept = _kept(text, stretches.values, length)
                     text = b" ".join(kept).decode()
                 texts.append(text)
                 emptied.append(text == "" and value.as_py() != "")
-            yield {c: batch.column(c) for c in names} | {"text": texts, "_tm_emptied": emptied}
+            yield {c: batch.column(c) for c in names} | {"text": texts, gone: emptied}
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = common.map_arrow(both.select(*names, "_tm_found"), run, f"{kinds}, _tm_emptied boolean").where("not _tm_emptied").drop("_tm_emptied")
+    out = common.map_arrow(both.select(*(f"`{c.replace('`', '``')}`" for c in names), mark), run, common.widened(docs, **{gone: "boolean"})).where(~F.col(gone)).drop(gone)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out

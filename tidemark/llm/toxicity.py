@@ -150,15 +150,15 @@ def score(docs: DataFrame, model: OrdinalModel, expected: str = "expected_severi
             found = [own.expected(t) for t in common.text_rows(batch)]
             yield {c: batch.column(c) for c in names} | {expected: [round(m, 6) for m, _ in found], severity: [g for _, g in found]}
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return common.map_arrow(docs, run, f"{kinds}, {expected} double, {severity} int")
+    return common.map_arrow(docs, run, common.widened(docs, **{expected: "double", severity: "int"}))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the model gives the lowest grade; rows without text stay, whatever the grade of an empty text."""
     model = fit(docs, labels)
     empty = F.coalesce("text", F.lit("")) == ""
-    kept = score(docs, model, "_tm_expected", "_tm_severity").where((F.col("_tm_severity") == model.grades[0]) | empty)
-    return kept.drop("_tm_expected", "_tm_severity")
+    expected, severity = common.free(docs, "_tm_expected", "_tm_severity")
+    kept = score(docs, model, expected, severity).where((F.col(severity) == model.grades[0]) | empty)
+    return kept.drop(expected, severity)
 
 
