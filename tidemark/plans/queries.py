@@ -313,7 +313,17 @@ def target_texts(spark, sf):
     return rows.select("conv_id", "turn", "combined", target.alias("target"), rest.alias("rest"))
 
 
-@query()
+#: Spark's default English stop words without those that hold an apostrophe, which no term matches.
+STOP = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now cannot could ought would"
+
+
+@query(f"""WITH w AS (SELECT item_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}')) AS term FROM benchmark),
+  tf AS (SELECT doc, term, count(*) AS tf FROM w WHERE NOT list_contains(string_split('{STOP}', ' '), term) GROUP BY doc, term),
+  df AS (SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(*) FROM benchmark) AS docs FROM tf GROUP BY term),
+  top AS (SELECT term, ln((1 + docs) / (1 + df)) + 1 AS idf FROM df WHERE df <= 0.8 * docs OR (SELECT min(df / docs) FROM df) > 0.8 ORDER BY total DESC, term LIMIT 500),
+  v AS (SELECT doc, term, tf * idf AS w FROM tf JOIN top USING (term)),
+  u AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM v)
+  SELECT term, round(sum(w), 4) AS score FROM u WHERE term <> 'the' AND NOT regexp_full_match(term, '[0-9]+') GROUP BY term ORDER BY sum(w) DESC, term LIMIT 15""")
 def keywords(spark, sf):
     docs = V.read(spark, sf, "benchmark").select(F.col("item_id").alias("doc"), "text")
     return corpus.keywords(docs, "THE").select("term", R("score", 4))
