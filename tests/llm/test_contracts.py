@@ -137,7 +137,7 @@ def test_warc(spark, tmp_path):
 
 def test_sql_of_the_operators(spark):
     duck, at = duckdb.connect(), "/root/testdata/sf0.001"
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "embeddings"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{at}/{name}.parquet')")
     for name, sql in queries.ORACLE_SQL.items():
         cur = duck.execute(sql)

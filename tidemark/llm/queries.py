@@ -75,6 +75,45 @@ QUERIES = {
     for f in (op1_bpe, op2_warc, op3_repeats, op4_substrings, op5_chat, op6_toxicity, op7_neighbours, op8_media, op9_packing, op10_simhash, op11_divergence, op12_mixing, op13_resampling)
 }
 
+def _simhash_sql() -> str:
+    """SQL of op10: XXH64 in 128-bit arithmetic, one step a column, as DuckDB has no such function."""
+    p = [0, 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+    full, seed = "18446744073709551616::UHUGEINT", 42
+    times = lambda x, k: f"(({x}) * {p[k]}::UHUGEINT % {full})"
+    turned = lambda x, n: f"(({x}) * {1 << n}::UHUGEINT % {full} + ({x}) // {1 << 64 - n}::UHUGEINT)"
+    number = lambda at, n: "CAST('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + " AS UBIGINT)::UHUGEINT"
+    mixed = lambda x: times(turned(x, 31), 1)
+    start = [(seed + p[1] + p[2]) % (1 << 64), (seed + p[2]) % (1 << 64), seed, (seed - p[1]) % (1 << 64)]
+    stripes = ", ".join(
+        f"list_reduce(list_transform(range(n // 32), lambda i: lanes[4 * i + {k + 1}]), lambda v, y: {mixed(f'(v + y) % {full}')}, {start[k]}::UHUGEINT) AS v{k}" for k in range(4)
+    )
+    joined = " + ".join(turned(f"v{k}", n) for k, n in enumerate((1, 7, 12, 18)))
+    folded = f"list_reduce([{', '.join(mixed(times(f'v{k}', 2)) for k in range(4))}], lambda h, y: ({times('xor(h, y)', 1)} + {p[4]}::UHUGEINT) % {full}, ({joined}) % {full})"
+    bits = " + ".join(f"CASE WHEN 2 * sum(h // {1 << k}::UBIGINT % 2) > count(*) THEN {1 << k}::HUGEINT ELSE 0 END" for k in range(64))
+    return rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS k FROM documents),
+        w AS (SELECT k, array_to_string(ws[i:i + 3], ' ') AS shingle FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM d WHERE len(ws) > 0)),
+        x AS (SELECT shingle, hex(encode(shingle)) AS x, octet_length(encode(shingle)) AS n FROM (SELECT DISTINCT shingle FROM w)),
+        a AS (SELECT *, list_transform(range(n // 8), lambda i: {number("8 * i", 8)}) AS y FROM x),
+        b AS (SELECT *, list_transform(y, lambda i: {times("i", 2)}) AS lanes FROM a),
+        s AS (SELECT *, {stripes} FROM b),
+        h0 AS (SELECT *, CASE WHEN n < 32 THEN {seed + p[5]}::UHUGEINT ELSE {folded} END + n::UHUGEINT AS h FROM s),
+        h1 AS (SELECT shingle, x, n, list_reduce(list_transform(lanes[4 * (n // 32) + 1:], lambda i: {mixed("i")}), lambda h, i: ({times(turned("xor(h, i)", 27), 1)} + {p[4]}::UHUGEINT) % {full}, h % {full}) AS h FROM h0),
+        h2 AS (SELECT shingle, x, n, CASE WHEN n % 8 < 4 THEN h ELSE xor(h, {times(number("n // 8 * 8", 4), 1)}) END AS h FROM h1),
+        h3 AS (SELECT shingle, x, n, CASE WHEN n % 8 < 4 THEN h ELSE ({times(turned("h", 23), 2)} + {p[3]}::UHUGEINT) % {full} END AS h FROM h2),
+        h4 AS (SELECT shingle, list_reduce(list_transform(range(n // 4 * 4, n), lambda i: {number("i", 1)}), lambda h, i: {times(turned(f"xor(h, i * {p[5]}::UHUGEINT % {full})", 11), 1)}, h) AS h FROM h3),
+        h5 AS (SELECT shingle, {times(f"xor(h, h // {1 << 33}::UHUGEINT)", 2)} AS h FROM h4),
+        h6 AS (SELECT shingle, {times(f"xor(h, h // {1 << 29}::UHUGEINT)", 3)} AS h FROM h5),
+        h7 AS (SELECT shingle, xor(h, h // {1 << 32}::UHUGEINT)::UBIGINT AS h FROM h6),
+        f AS (SELECT k, {bits} AS fp FROM w JOIN h7 USING (shingle) GROUP BY k),
+        g AS (SELECT doc_id, coalesce(fp, 0) AS fp FROM d LEFT JOIN f USING (k)),
+        u AS (SELECT fp, min(doc_id) AS low FROM g GROUP BY fp),
+        l AS (SELECT a.fp AS a, b.fp AS b FROM u a JOIN u b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 4),
+        r AS (SELECT fp, fp AS met FROM u UNION SELECT r.fp, l.b FROM r JOIN l ON r.met = l.a),
+        c AS (SELECT r.fp, min(u.low) AS component_id FROM r JOIN u ON u.fp = r.met GROUP BY r.fp)
+        SELECT doc_id, lower(printf('%016x', fp::UBIGINT)) AS fingerprint, component_id FROM g JOIN c USING (fp)"""
+
+
 ORACLE_SQL = {
     "op2_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -84,6 +123,17 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> response_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> response_id THEN response_id END AS refers_to
         FROM m""",
+    "op3_repeats": r"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, row_number() OVER () AS k FROM documents),
+        h AS (SELECT k, hex(b) AS x, octet_length(b) AS n FROM d),
+        c AS (SELECT k, n, first, substr(x, 2 * first + 1, 8990) AS piece FROM (SELECT *, unnest(range(0, n - 399, 4096)) AS first FROM h)),
+        w AS (SELECT k, first + i AS i, md5(substr(piece, 2 * i + 1, 800)) AS win FROM (SELECT *, unnest(range(0, least(4096, n - 399 - first))) AS i FROM c)),
+        f AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
+        g AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM w SEMI JOIN f USING (win)),
+        r AS (SELECT k, min(i) AS a, max(i) + 400 AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY k ORDER BY i) AS run FROM g) GROUP BY k, run),
+        s AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY k ORDER BY a) AS since FROM r),
+        t AS (SELECT k, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS kept FROM s JOIN h USING (k) GROUP BY k)
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM d LEFT JOIN t USING (k)""",
     "op4_substrings": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, row_number() OVER () AS k FROM documents),
         w AS (SELECT k, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM d)),
@@ -92,6 +142,15 @@ ORACLE_SQL = {
         s AS (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
         c AS (SELECT s.k, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY s.j) FILTER (g.j IS NULL) AS kept FROM s LEFT JOIN g ON g.k = s.k AND g.j = s.j GROUP BY s.k)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (k)""",
+    "op7_neighbours": """
+        WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+        u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95),
+        r AS (SELECT vec_id AS node, vec_id AS met FROM e UNION SELECT r.node, l.b FROM r JOIN l ON r.met = l.a),
+        c AS (SELECT node, min(met) AS component_id FROM r GROUP BY node),
+        n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id""",
+    "op10_simhash": _simhash_sql(),
     "op11_divergence": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS k FROM documents),
         w AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
