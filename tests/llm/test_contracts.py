@@ -401,6 +401,32 @@ def test_neighbours_of_any_bucket_size(spark, monkeypatch, small):
     assert counted(rows_of(neighbours.linked(frame)), "vec_id", "n_links", "component_id") == want
 
 
+@pytest.mark.parametrize("turns", [3, 4])
+def test_neighbours_by_longer_codes(spark, turns):
+    """Codes of more rotations, as very many vectors get them, lose next to no link near the threshold and count none twice."""
+    rng = np.random.default_rng(turns)
+    a, b = rng.normal(size=(2, 400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.952 * a + np.sqrt(1 - 0.952**2) * b, a[:20] + 0.01 * b[:20]])
+    frame = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in neighbours.linked(frame, turns=turns).collect()}
+    assert all(got[k] <= near[k].sum() for k in range(len(x)))
+    assert sum(got.values()) >= 0.99 * near.sum() > 0
+
+
+def test_codes_grow_with_the_classes(monkeypatch):
+    assert [neighbours.turns_for(n, 64) for n in (0, 131_072, 131_073, 16_777_216, 16_777_217)] == [2, 2, 3, 3, 4]
+    assert neighbours.turns_for(10**9, 768) == 3
+    monkeypatch.setattr(neighbours, "FOLD", 7)  # few codes: a class still has each bucket once
+    codes = neighbours.corners(np.eye(4), 2, 1, 3)
+    assert all(len(set(row)) == 4 for row in codes.reshape(-1, 4).tolist())
+
+
 def test_neighbours_that_share_an_id(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (1, [1.0, 0.01, 0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.n_links, r.component_id, r.kept) for r in neighbours.linked(frame).collect()] == [(1, 1, True)] * 2

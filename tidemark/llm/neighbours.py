@@ -1,8 +1,10 @@
 """Embedding near-dedup: cross-polytope hashing after fast Hadamard rotations.
 
 Equal vectors are one class. A class goes to a bucket for each table: the nearest
-corners of two pseudo-random rotations (three rounds of signs and fast Hadamard
-transforms); multiprobe adds the buckets of the next corners. Sizes of buckets are
+corners of two or more pseudo-random rotations (three rounds of signs and fast Hadamard
+transforms); multiprobe adds the buckets with the next corner of one rotation. A code
+takes as many rotations as the number of classes asks for, so buckets stay small, and
+longer codes come with more tables, which keep the recall. Sizes of buckets are
 counted on ids alone; only classes that meet another in a bucket travel there, once for
 each bucket, with their components as they came. Pairs that share a bucket (one of them
 by its own corners) are verified by cosine in double precision, in blocks for large
@@ -32,6 +34,10 @@ from . import common, simhash
 BLOCK = 1024
 #: Buckets of so many classes are verified pair by pair, larger ones by matrix products.
 SMALL = 64
+#: Classes for each possible code beyond which codes take one rotation more.
+CROWDED = 8
+#: Codes of large spaces are folded below this prime; what then shares a bucket is told apart by its cosine.
+FOLD = (1 << 31) - 1
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -44,19 +50,25 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def corners(x: np.ndarray, tables: int, seed: int) -> np.ndarray:
-    """Corners of unit vectors: (rows, tables, 3), own corners first and then the probes; codes are unique within a table."""
+def turns_for(classes: int, components: int) -> int:
+    """Rotations a code takes, so that it has a value for every CROWDED classes at least."""
+    faces, turns = 2 << max(1, (components - 1).bit_length()), 2
+    while classes > CROWDED * faces**turns:
+        turns += 1
+    return turns
+
+
+def corners(x: np.ndarray, tables: int, seed: int, turns: int = 2) -> np.ndarray:
+    """Corners of unit vectors: (rows, tables, turns + 1), own corners first and then the probes, each with the next corner of one rotation."""
     n, d = x.shape
     size = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :d] = x
     rng = np.random.default_rng([seed, d])
-    if 4 * size * size >= 1 << 31:
-        raise ValueError(f"vectors of {d} components: codes have room for 16384")
-    codes = np.empty((n, tables, 3), dtype=np.int32)
+    codes = np.empty((n, tables, turns + 1), dtype=np.int32)
     for t in range(tables):
-        first, second, loss = [], [], []
-        for _ in range(2):
+        nearest, following = [], []
+        for _ in range(turns):
             y = padded
             for _ in range(3):
                 y = hadamard(y * rng.choice([-1.0, 1.0], size)) / np.sqrt(size)
@@ -66,10 +78,16 @@ def corners(x: np.ndarray, tables: int, seed: int) -> np.ndarray:
             top = np.where((swap[:, :1] >= swap[:, 1:]), top, top[:, ::-1])
             sign = np.take_along_axis(y, top, 1) < 0
             code = top * 2 + sign
-            first.append(code[:, 0])
-            second.append(code[:, 1])
-        for k, (a, b) in enumerate(((first[0], first[1]), (second[0], first[1]), (first[0], second[1]))):
-            codes[:, t, k] = a * 2 * size + b
+            nearest.append(code[:, 0])
+            following.append(code[:, 1])
+        for k in range(turns + 1):
+            code = np.zeros(n, dtype=np.int64)
+            for turn in range(turns):
+                code = (code * 2 * size + (following if turn == k - 1 else nearest)[turn]) % FOLD
+            # Two codes that fold to one are one bucket, where the class is already; the second moves on.
+            while (same := (codes[:, t, :k] == code[:, None]).any(axis=1)).any():
+                code[same] = (code[same] + 1) % FOLD
+            codes[:, t, k] = code
     return codes
 
 
@@ -106,44 +124,52 @@ def _matrix(vecs: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(vecs.to_pylist()), dtype=kind).reshape(len(vecs), -1)
 
 
-def _bucketed(nodes: DataFrame, kind: type, tables: int, seed: int) -> DataFrame:
-    """``key, low, mult, vec, codes, places``: codes lists the own corners and two probes of each table, places numbers their buckets over all sizes and tables."""
+def _bucketed(nodes: DataFrame, kind: type, tables: int, seed: int, turns: int) -> DataFrame:
+    """``key, low, mult, vec, codes, places``: codes lists the own corners and the probes of each table, places numbers their buckets over all sizes and tables."""
+
+    width = tables * (turns + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             raw = batch.column("vec")
             sizes = pc.binary_length(raw).to_numpy()
-            codes, places = np.empty((len(raw), tables * 3), dtype=np.int32), np.empty((len(raw), tables * 3), dtype=np.int64)
+            codes, places = np.empty((len(raw), width), dtype=np.int32), np.empty((len(raw), width), dtype=np.int64)
             for size in np.unique(sizes):
                 which = np.flatnonzero(sizes == size)
                 x = _matrix(raw.take(pa.array(which)), kind)
-                codes[which] = corners(_unit(x), tables, seed).reshape(len(which), -1)
-                places[which] = (x.shape[1] * tables + np.arange(tables * 3) // 3 << 32) + codes[which]
-            edges = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * (tables * 3))
+                codes[which] = corners(_unit(x), tables, seed, turns).reshape(len(which), -1)
+                places[which] = (x.shape[1] * tables + np.arange(width) // (turns + 1) << 32) + codes[which]
+            edges = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * width)
             lists = {"codes": pa.ListArray.from_arrays(edges, pa.array(codes.ravel())), "places": pa.ListArray.from_arrays(edges, pa.array(places.ravel()))}
             yield {c: batch.column(c) for c in ("key", "low", "mult", "vec")} | lists
 
     return common.map_arrow(nodes, run, "key binary, low long, mult long, vec binary, codes array<int>, places array<long>")
 
 
-def linked(vectors: DataFrame, least: float = 0.95, tables: int = 8, seed: int = 7) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every vector."""
+def linked(vectors: DataFrame, least: float = 0.95, tables: int = 8, seed: int = 7, turns: int | None = None) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every vector. ``tables`` are those of codes of two rotations; each rotation more adds as many."""
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64
     rows = common.stash(classes(vectors.withColumn("embedding", F.col("embedding").cast("array<float>" if kind is np.float32 else "array<double>"))), "vectors")
     known = rows.where("key is not null")
     nodes = known.groupBy("key").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"), F.first("vec").alias("vec"))
-    hashed = common.stash(_bucketed(nodes, kind, tables, seed).withColumn("node", F.monotonically_increasing_id()), "hashed")
+    nodes = common.stash(nodes, "nodes")
+    if turns is None:
+        size = nodes.agg(F.count("*").alias("n"), F.min(F.octet_length("vec")).alias("bytes")).first()
+        turns = turns_for(size["n"], (size["bytes"] or 0) // np.dtype(kind).itemsize)
+    hashed = common.stash(_bucketed(nodes, kind, tables * (turns - 1), seed, turns).withColumn("node", F.monotonically_increasing_id()), "hashed")
+    common.discard(nodes)
+    probes = turns + 1
     keyed = hashed.select("node", F.posexplode("places").alias("place", "bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if(F.col("place") % 3 == 0).alias("own")).where("size > 1 and own > 0")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if(F.col("place") % probes == 0).alias("own")).where("size > 1 and own > 0")
     sizes = sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    # A class has at most three places for each table.
+    # A class has at most turns + 1 places for each table.
     met = keyed.join(sizes, "bucket").groupBy("node").agg(F.collect_list(F.struct("place", "bucket", "blocks")).alias("met"))
     met = hashed.select("node", "mult", "vec", "codes").join(met, "node").select("node", "mult", "vec", "codes", F.inline("met"))
     met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A block meets itself and every other block of its bucket once.
     dealt = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    found = common.stash(_verified(dealt.select("bucket", "lo", "hi", "block", "place", "node", "mult", "vec", "codes"), kind, least), "links")
+    found = common.stash(_verified(dealt.select("bucket", "lo", "hi", "block", "place", "node", "mult", "vec", "codes"), kind, least, probes), "links")
     more = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     parts = common.components(found.select("a", "b"))
     named = hashed.select("key", "node", "low", "mult").join(more, F.col("node") == F.col("a"), "left").join(parts.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
@@ -157,7 +183,7 @@ def linked(vectors: DataFrame, least: float = 0.95, tables: int = 8, seed: int =
     return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _verified(dealt: DataFrame, kind: type, least: float) -> DataFrame:
+def _verified(dealt: DataFrame, kind: type, least: float, probes: int) -> DataFrame:
     """``a, b, links``: for each class and block pair the rows it links with that meet it here first, and an edge."""
 
     def near_pairs(heads: np.ndarray, ends: np.ndarray, x: list[np.ndarray], own: np.ndarray, block: np.ndarray, crossed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,11 +232,11 @@ def _verified(dealt: DataFrame, kind: type, least: float) -> DataFrame:
         count = np.zeros(n, dtype=np.int64)
 
         def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for p, q in near_pairs(heads, np.r_[heads[1:], n], x, place % 3 == 0, block, lo != hi):
+            for p, q in near_pairs(heads, np.r_[heads[1:], n], x, place % probes == 0, block, lo != hi):
                 for at in range(0, len(p), 1 << 16):
                     a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                    table, code = _first_meeting(codes[a], codes[b])
-                    first = (table == place[a] // 3) & (code == codes[a, place[a]])
+                    table, code = _first_meeting(codes[a], codes[b], probes)
+                    first = (table == place[a] // probes) & (code == codes[a, place[a]])
                     count[:] += np.bincount(a[first], mult[b[first]], n).astype(np.int64) + np.bincount(b[first], mult[a[first]], n).astype(np.int64)
                 yield p, q
 
@@ -239,14 +265,14 @@ def _new(*keys: np.ndarray) -> np.ndarray:
     return np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _first_meeting(a: np.ndarray, b: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """Table and code of the first bucket that two classes share with one of them there by its own corners."""
     table, code = np.full(len(a), -1), np.full(len(a), -1, dtype=np.int32)
-    for t in range(0, a.shape[1], 3):
+    for t in range(0, a.shape[1], probes):
         low = np.full(len(a), np.iinfo(np.int32).max, dtype=np.int32)
-        for i, j in ((0, 0), (0, 1), (0, 2), (1, 0), (2, 0)):
+        for i, j in [(0, k) for k in range(probes)] + [(k, 0) for k in range(1, probes)]:
             same = a[:, t + i] == b[:, t + j]
             low[same] = np.minimum(low[same], a[same, t + i])
         new = (table < 0) & (low < np.iinfo(np.int32).max)
-        table[new], code[new] = t // 3, low[new]
+        table[new], code[new] = t // probes, low[new]
     return table, code
