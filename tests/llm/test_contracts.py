@@ -225,6 +225,45 @@ def test_buckets_whole_and_split(spark, monkeypatch, cells):
     assert got == want
 
 
+def test_runs_bring_their_anchors_place():
+    """It is the leftmost smallest hash of the stretch that all windows of the run share."""
+    from tidemark.llm import anchored
+
+    rng = random.Random(18)
+    text = " ".join(rng.choice("abcdefg") for _ in range(700))
+    hashed = anchored.Hashed(substrings.SYMBOLS.numbers(text))
+    found = anchored.runs(hashed, np.array([0]), np.array([700]), 13, 5)
+    keys = hashed.all(5) & ~anchored.LOW_BITS
+    assert len(found["at"]) > 50 and found["n"].sum() == 688
+    for at, n, spot, k in zip(*(found[c].tolist() for c in ("at", "n", "spot", "k")), strict=True):
+        assert spot == n - 1 + int(keys[at + n - 1 : at + 9].argmin()) and k == hashed.all(5).view(np.int64)[at + spot]
+
+
+def test_packed_runs_are_cut_without_hashing_their_texts(spark):
+    from tidemark.llm import anchored
+
+    def never(text):
+        raise AssertionError("a text was hashed for runs of a narrow bucket")
+
+    symbols = anchored.Symbols(numbers=never, split=substrings.SYMBOLS.split, pack=substrings.SYMBOLS.pack, units=substrings.SYMBOLS.units)
+    frame = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x y"), (3, "p q r s t")], "doc_id long, text string").coalesce(1)
+    run = "array<struct<at: int, n: int, spot: int, k: long, t: long, u: long, c: long, low: long, wide: boolean>>"
+    own = [(1, [(0, 2, 1, 7, 70, 71, 1, 1, False), (4, 1, 0, 8, 80, 81, 2, 1, False)]), (3, [(1, 1, 2, 7, 72, 73, 1, 3, False)])]
+    unsure = spark.createDataFrame(own, f"doc_id long, runs {run}").join(frame.select("doc_id", anchored.text_key()), "doc_id")
+    got = {tuple(r) for r in anchored._packed(frame, unsure, symbols, 4, 2).select("k", "t", "u", "c", "low", "n", "spot", "packed").collect()}
+    assert got == {(7, 70, 71, 1, 1, 2, 1, b"a b c d e"), (8, 80, 81, 2, 1, 1, 0, b"e f g h"), (7, 72, 73, 1, 3, 1, 2, b"q r s t")}
+
+
+def test_hashes_of_words_keep_nothing_of_other_words():
+    """Workers once kept a table of 300,000 words, which a large vocabulary filled over and over."""
+    common._KEPT.clear()
+    words = ["", "a", "é", "a", "zz" * 400]
+    got = substrings.SYMBOLS.numbers(" ".join(words))
+    both = [xxhash.xxh3_128_intdigest(w.encode()) for w in words if w]
+    assert got.T.tolist() == [[b >> 67 | 1, b & ((1 << 61) - 1)] for b in both] and not common._KEPT
+    assert substrings.SYMBOLS.numbers(" \t").shape == (2, 0)
+
+
 def test_regular_texts_are_told_apart(spark):
     """A word of Thue and Morse and its complement agree in any polynomial modulo 2^64."""
     rng = random.Random(15)

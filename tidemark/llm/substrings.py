@@ -13,7 +13,6 @@ rows of one id are not earlier than each other; other columns stay.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,27 +24,6 @@ from pyspark.sql import functions as F
 from . import anchored, common
 
 MINIMISER_WORDS = 5
-REMEMBERED = 300_000
-
-
-class WordHashes(dict):
-    """Two independent numbers below 2^61 for each word a worker has met, within a bound."""
-
-    def __init__(self):
-        self.pairs = array("Q")
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self)
-        both = xxhash.xxh3_128_intdigest(word)
-        self.pairs.extend((both >> 67 | 1, both & anchored.PRIME))
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self.pairs = array("Q")
-        which = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return np.frombuffer(self.pairs, dtype=np.uint64).reshape(-1, 2)[which].T if len(words) else np.empty((2, 0), dtype=np.uint64)
 
 
 def _split(text: str) -> list[bytes]:
@@ -53,7 +31,9 @@ def _split(text: str) -> list[bytes]:
 
 
 def _numbers(text: str) -> np.ndarray:
-    return common.remembered("words", WordHashes).of(_split(text))
+    """Two independent numbers below 2^61 for each word, hashed anew: to look a word up takes longer in a large vocabulary."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, _split(text))), dtype=">u8").reshape(-1, 2).T.astype(np.uint64)
+    return np.stack([both[0] >> np.uint64(3) | np.uint64(1), both[1] & np.uint64(anchored.PRIME)])
 
 
 def _units(packed: list[bytes]) -> np.ndarray:
