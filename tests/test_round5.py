@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from datetime import datetime
 
@@ -66,7 +67,7 @@ def test_cells_and_margins_are_those_of_single_counts(spark, monkeypatch):
 
 def test_rows_numbers_travel_once_a_task_of_blocks(spark, monkeypatch):
     # As many blocks as a larger table has: each row's numbers went to every one of them, now to a few tasks.
-    for name, value in (("CHUNK", 16), ("LITTLE", 2), ("BLOCK", 2), ("FEW", 4)):
+    for name, value in (("CHUNK", 16), ("LITTLE", 2), ("BLOCK", 2), ("FEW", 4), ("MANY", 4)):
         monkeypatch.setattr(linear, name, value)
     sent, real = [], linear._numbers
     monkeypatch.setattr(linear, "_numbers", lambda *a: sent.append(out := real(*a)) or out)
@@ -77,5 +78,20 @@ def test_rows_numbers_travel_once_a_task_of_blocks(spark, monkeypatch):
     found.weights()
     assert ready.blocks >= 16
     assert sent[-1].agg(F.count_distinct("chunk")).first()[0] == 3
-    assert sent[-1].count() <= 3 * max(linear.FEW, ready.blocks // linear.FEW + 1) < 3 * ready.blocks
+    assert sent[-1].count() <= 3 * max(linear.FEW, ready.blocks // linear.MANY + 1) < 3 * ready.blocks
     found.close()
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(" ".join(f"word{rng.randrange(30)}" for _ in range(20)), k % 2) for k in range(48)], "text string, label int")
+    ready = classify.features(rows)
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {m[1] for m in re.findall(r"(shuffle_(\d+)_\d+_\d+)", blocks.mkString(" "))}
+
+    before = shuffles()
+    classify.fit(ready, steps=8)
+    # Those of the table that the steps share and of the weights are left, not three of every step.
+    assert len(shuffles() - before) < 10
